@@ -48,7 +48,7 @@ def compare(spark, con, key, run, sql, folder) -> list[str]:
         return [f"columns {sorted(frame.columns)} != {sorted(names)}"]
     if len(ours) != len(theirs):
         return [f"rows {len(ours)} != {len(theirs)}; ours {ours[:2]} theirs {theirs[:2]}"]
-    bad = [(a, b) for a, b in zip(ours, theirs) if a != b]
+    bad = [(a, b) for a, b in zip(ours, theirs) if repr(a) != repr(b)]
     return [f"{len(bad)} of {len(ours)} rows differ, e.g. {sorted(names)} ours {a} theirs {b}" for a, b in bad[:3]]
 
 

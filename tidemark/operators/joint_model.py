@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,17 +87,22 @@ def design_matrix(series: DataFrame, events: Sequence[Event], design: Design = D
         design_row(design, events, u, standard).alias("row"))
 
 
-def _solve(rows: np.ndarray, target: np.ndarray, scale: np.ndarray, laplace: np.ndarray):
-    """Posterior mode under normal and Laplace priors, by reweighted ridge steps."""
-    gram, moment, energy = rows.T @ rows, rows.T @ target, float(target @ target)
-    n = len(target)
-    weight, noise = 1.0 / scale**2, max(float(np.var(target)), 1e-12)
-    theta = np.zeros(len(scale))
-    for _ in range(20):
-        theta = np.linalg.solve(gram + np.diag(noise * weight), moment)
-        noise = max((energy - 2 * theta @ moment + theta @ gram @ theta) / n, 1e-12)
-        weight = np.where(laplace, 1.0 / (scale * np.maximum(np.abs(theta), 1e-4)), 1.0 / scale**2)
-    return theta, math.sqrt(noise)
+def posterior_mode(scale: np.ndarray, laplace: np.ndarray):
+    """A solver for given priors: (rows, target) to (coefficients, residual spread).
+
+    Normal and Laplace priors, by reweighted ridge steps on the normal
+    equations. The solver is a closure, so it travels to the workers by value.
+    """
+    def solve(rows, target):
+        gram, moment, energy = rows.T @ rows, rows.T @ target, float(target @ target)
+        weight, noise = 1.0 / scale**2, max(float(np.var(target)), 1e-12)
+        for _ in range(20):
+            theta = np.linalg.solve(gram + np.diag(noise * weight), moment)
+            noise = max((energy - 2 * theta @ moment + theta @ gram @ theta) / len(target), 1e-12)
+            weight = np.where(laplace, 1.0 / (scale * np.maximum(np.abs(theta), 1e-4)), 1.0 / scale**2)
+        return theta, noise**0.5
+
+    return solve
 
 
 def fit_joint(series: DataFrame, events: Sequence[Event], design: Design = Design(),
@@ -108,12 +112,14 @@ def fit_joint(series: DataFrame, events: Sequence[Event], design: Design = Desig
     terms = design.terms(events, settings)
     scale = np.array([t[1] for t in terms])
     laplace = np.array([t[2] == "laplace" for t in terms])
+    revenue_solver = posterior_mode(scale, laplace)
+    spend_solver = posterior_mode(scale[:-1], laplace[:-1])
     kept = ["first_ds", "last_ds", "span", "y_scale", "z_scale", "spend_mean", "spend_sd"]
 
-    def fit(days: pd.DataFrame) -> pd.DataFrame:
+    def fit(days):
         rows = np.vstack(days["row"].to_numpy())
-        coef, noise = _solve(rows, days["y"].to_numpy(), scale, laplace)
-        spend_coef, spend_noise = _solve(rows[:, :-1], days["z"].to_numpy(), scale[:-1], laplace[:-1])
+        coef, noise = revenue_solver(rows, days["y"].to_numpy())
+        spend_coef, spend_noise = spend_solver(rows[:, :-1], days["z"].to_numpy())
         head = days[[*keys, *kept]].iloc[[0]]
         return head.assign(coef=[coef], sigma=noise, spend_coef=[spend_coef], spend_sigma=spend_noise)
 

@@ -98,9 +98,9 @@ def historical_averages(spark, folder):
 
 
 @query("revenue_floor", sql=Q.query(Q.series(), Q.rolling(), Q.guards(), select="""
-SELECT level, entity, window_days, round(revenue_floor, 3) AS revenue_floor FROM guards"""))
+SELECT level, entity, window_days, round(revenue_floor, 6) AS revenue_floor FROM guards"""))
 def revenue_floor(spark, folder):
-    return rounded(M.window_guards(series_of(spark, folder)).drop("roas_cv"), 3, "revenue_floor")
+    return rounded(M.window_guards(series_of(spark, folder)).drop("roas_cv"), 6, "revenue_floor")
 
 
 @query("roas_cv", sql=Q.query(Q.series(), Q.rolling(), Q.guards(), select="""
@@ -145,7 +145,7 @@ lagged AS (SELECT *, lag(revenue) OVER (PARTITION BY level, entity ORDER BY week
     select="""
 SELECT level, entity, week, CAST(revenue AS DOUBLE) AS revenue,
        round(CASE WHEN before = 0 AND revenue > 0 THEN CAST('inf' AS DOUBLE)
-            ELSE CAST(revenue AS DOUBLE) / nullif(CAST(before AS DOUBLE), 0) - 1 END, 6) AS change
+            ELSE CAST(revenue AS DOUBLE) / nullif(CAST(before AS DOUBLE), 0) - 1 END, 6) + 0 AS change
 FROM lagged"""))
 def weekly_revenue(spark, folder):
     return rounded(doubles(M.weekly_revenue(series_of(spark, folder)), "revenue"), 6, "change")

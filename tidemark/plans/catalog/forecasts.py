@@ -31,7 +31,7 @@ def shown(forecasts, columns=(*MONEY, *RATIO), keys=cfg.SLICE):
 
 @query("design_matrix", sql=Q.query(Q.series(), Q.fit(EVENTS), select="""
 SELECT level, entity, ds, round(y, 8) AS y, round(x, 8) AS x, CAST(t AS INTEGER) AS t, CAST(dow AS INTEGER) AS dow,
-       CAST(moy AS INTEGER) AS moy, event, round(y4, 6) AS y_res, round(x4, 6) AS x_res FROM r4"""))
+       CAST(moy AS INTEGER) AS moy, event, round(y4, 6) + 0 AS y_res, round(x4, 6) + 0 AS x_res FROM r4"""))
 def design_matrix(spark, folder):
     """Regressors of the staged model and what each day's stages leave unexplained."""
     days = staged_residuals(series_of(spark, folder), EVENTS)
@@ -46,9 +46,9 @@ def design_matrix(spark, folder):
          stddev_samp(ln(1 + CAST(spend AS DOUBLE))) AS s FROM series GROUP BY ALL)""", select="""
 SELECT level, entity, ds, round(date_diff('day', lo, ds) / CAST(date_diff('day', lo, hi) AS DOUBLE), 8) AS slope,
        round(greatest(date_diff('day', lo, ds) / CAST(date_diff('day', lo, hi) AS DOUBLE) - 0.4, 0), 8) AS bend4,
-       round(sin(2 * pi() * date_diff('day', DATE '1970-01-01', ds) / 365.25), 6) AS year_sin1,
-       round(cos(2 * pi() * 3 * date_diff('day', DATE '1970-01-01', ds) / 7), 6) AS week_cos3,
-       round((ln(1 + CAST(spend AS DOUBLE)) - m) / s, 6) AS log_spend,
+       round(sin(2 * pi() * date_diff('day', DATE '1970-01-01', ds) / 365.25), 6) + 0 AS year_sin1,
+       round(cos(2 * pi() * 3 * date_diff('day', DATE '1970-01-01', ds) / 7), 6) + 0 AS week_cos3,
+       round((ln(1 + CAST(spend AS DOUBLE)) - m) / s, 6) + 0 AS log_spend,
        CASE WHEN event LIKE '%black_friday+0%' THEN 1 ELSE 0 END AS black_friday
 FROM series JOIN b USING (level, entity) LEFT JOIN promo USING (ds)"""))
 def joint_design_rows(spark, folder):
@@ -82,9 +82,9 @@ UNION ALL SELECT level, entity, 'spend', 'sigma', x_sigma FROM coef
 
 
 @query("fit_staged", sql=Q.query(Q.series(), Q.slices(), Q.fit(EVENTS), select=
-    f"SELECT level, entity, target, term, round(coef, 7) AS coef FROM ({_COEF})"))
+    f"SELECT level, entity, target, term, round(coef, 9) + 0 AS coef FROM ({_COEF})"))
 def fit_staged_coefficients(spark, folder):
-    return rounded(model_coefficients(models_of(spark, folder)), 7, "coef")
+    return rounded(model_coefficients(models_of(spark, folder)), 9, "coef")
 
 
 @query("fit_joint")
@@ -186,23 +186,23 @@ def refit_changed(spark, folder):
 
 
 @query("train_models", sql=Q.query(Q.series(TOP_LEVELS), Q.slices(), Q.fit(EVENTS), select=
-    f"SELECT level, entity, target, term, round(coef, 7) AS coef FROM ({_COEF}) JOIN slices USING (level, entity) "
+    f"SELECT level, entity, target, term, round(coef, 9) + 0 AS coef FROM ({_COEF}) JOIN slices USING (level, entity) "
     "WHERE eligible"))
 def train_models(spark, folder):
     path = shared_folder(spark, "models")
     model_store.save_models(model_store.train_models(series_of(spark, folder, TOP_LEVELS), EVENTS), path)
-    return rounded(model_coefficients(model_store.load_models(spark, path)), 7, "coef")
+    return rounded(model_coefficients(model_store.load_models(spark, path)), 9, "coef")
 
 
 @query("predictions", sql=Q.query(Q.forecasts(EVENTS), select="""
-SELECT window_days, level, entity, round(revenue_lower, 2) AS revenue_lower,
-       round(revenue_point, 2) AS revenue_point, round(revenue_upper, 2) AS revenue_upper,
-       round(spend_point, 2) AS spend_point, round(roas_lower, 4) AS roas_lower,
-       round(roas_point, 4) AS roas_point, round(roas_upper, 4) AS roas_upper FROM forecasts
+SELECT window_days, level, entity, round_even(revenue_lower, 2) AS revenue_lower,
+       round_even(revenue_point, 2) AS revenue_point, round_even(revenue_upper, 2) AS revenue_upper,
+       round_even(spend_point, 2) AS spend_point, round_even(roas_lower, 4) AS roas_lower,
+       round_even(roas_point, 4) AS roas_point, round_even(roas_upper, 4) AS roas_upper FROM forecasts
 UNION ALL
-SELECT 0, 'trailing_30d', 'all', round(trailing_revenue, 2), round(trailing_revenue, 2),
-       round(trailing_revenue, 2), round(trailing_spend, 2), round(trailing_revenue / trailing_spend, 4),
-       round(trailing_revenue / trailing_spend, 4), round(trailing_revenue / trailing_spend, 4)
+SELECT 0, 'trailing_30d', 'all', round_even(trailing_revenue, 2), round_even(trailing_revenue, 2),
+       round_even(trailing_revenue, 2), round_even(trailing_spend, 2), round_even(trailing_revenue / trailing_spend, 4),
+       round_even(trailing_revenue / trailing_spend, 4), round_even(trailing_revenue / trailing_spend, 4)
 FROM recent_days WHERE level = 'aggregate'"""))
 def predictions(spark, folder):
     models = models_of(spark, folder)

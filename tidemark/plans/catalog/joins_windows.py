@@ -94,7 +94,7 @@ def horizon_expand(spark, folder):
 # -- rolling windows -------------------------------------------------------------
 
 @query("rolling_zscore", sql=Q.query(Q.series(), Q.scored(), select="""
-SELECT level, entity, ds, round(revenue_z, 6) AS z FROM scored"""))
+SELECT level, entity, ds, round(revenue_z, 6) + 0 AS z FROM scored"""))
 def rolling_z(spark, folder):
     z = rolling_zscore(F.col("revenue").cast("double"))
     return series_of(spark, folder).select("level", "entity", "ds", F.round(z, 6).alias("z"))
@@ -118,7 +118,7 @@ def rolling_7d(spark, folder):
 
 
 @query("wow_change", sql=Q.query(Q.series(), Q.scored(), select="""
-SELECT level, entity, ds, round(revenue_wow, 6) AS revenue_wow, round(spend_wow, 6) AS spend_wow FROM scored"""))
+SELECT level, entity, ds, round(revenue_wow, 6) + 0 AS revenue_wow, round(spend_wow, 6) + 0 AS spend_wow FROM scored"""))
 def wow_change(spark, folder):
     days = A.scored(series_of(spark, folder))
     return rounded(days.select("level", "entity", "ds", "revenue_wow", "spend_wow"), 6, "revenue_wow", "spend_wow")

@@ -49,7 +49,8 @@ def models_of(spark: SparkSession, folder: str, levels: Sequence[str] = cfg.LEVE
 
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
+    """Rounded columns; adding zero turns a negative zero into zero."""
+    return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in columns})
 
 
 def doubles(df: DataFrame, *columns: str) -> DataFrame:

@@ -130,12 +130,12 @@ def expm1_back(spark, folder):
 
 
 @query("round_output", sql=Q.query(Q.series(), select="""
-SELECT level, entity, month(ds) AS moy, round_even(CAST(sum(revenue) AS DOUBLE) / 7, 2) AS money,
+SELECT level, entity, month(ds) AS moy, round_even(CAST(sum(revenue) AS DOUBLE) / count(*), 2) AS money,
        round_even(CAST(sum(revenue) AS DOUBLE) / nullif(CAST(sum(spend) AS DOUBLE), 0), 4) AS ratio
 FROM series GROUP BY ALL"""))
 def round_output(spark, folder):
     return series_of(spark, folder).groupBy("level", "entity", F.month("ds").alias("moy")).agg(
-        S.round_money(F.sum("revenue").cast("double") / 7.0).alias("money"),
+        S.round_money(F.sum("revenue").cast("double") / F.count(F.lit(1))).alias("money"),
         S.round_ratio(S.roas_daily(F.sum("revenue"), F.sum("spend"))).alias("ratio"))
 
 
