@@ -58,6 +58,8 @@ def staged_residuals(series: DataFrame, events: Sequence[Event],
             mean = F.sum(f"{v}_res").over(w) / (F.count(F.lit(1)).over(w) + F.lit(kappa))
             applies = F.col(stage).isNotNull()
             effects[f"{v}_{stage}"] = F.when(applies, mean).otherwise(F.lit(0.0))
+        # one row per stage value speaks for all of them when the effects are gathered
+        effects[f"{stage}_speaker"] = applies & (F.col("ds") == F.min("ds").over(w))
         d = d.withColumns(effects)
         d = d.withColumns({f"{v}_res": F.col(f"{v}_res") - F.col(f"{v}_{stage}") for v in TARGETS})
     return d
@@ -67,7 +69,7 @@ def _effect_map(stage: str) -> Column:
     """{stage value: (y effect, x effect)}; at most one entry per weekday, month or event label."""
     entry = F.struct(F.col(stage).alias("key"),
                      F.struct(F.col(f"y_{stage}").alias("y"), F.col(f"x_{stage}").alias("x")).alias("value"))
-    return F.map_from_entries(F.collect_set(F.when(F.col(stage).isNotNull(), entry)))
+    return F.map_from_entries(F.collect_list(F.when(F.col(f"{stage}_speaker"), entry)))
 
 
 def floor_and_cv(days: int) -> tuple[Column, Column]:
