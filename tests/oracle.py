@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import datetime as dt
-import decimal
-import math
-import re
 from pathlib import Path
 
 import duckdb
+import pandas as pd
+import pyarrow as pa
 
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
@@ -18,39 +16,37 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def plain(value):
-    if isinstance(value, decimal.Decimal):
-        return float(value)
-    if isinstance(value, bool):
-        return value
-    if isinstance(value, int):
-        return float(value)
-    if isinstance(value, dt.datetime):
-        return value.date()
-    if isinstance(value, float) and math.isnan(value):
-        return None
-    return value
-
-
-def rows_of(records, names):
-    order = sorted(range(len(names)), key=lambda i: names[i])
-    return sorted((tuple(plain(r[i]) for i in order) for r in records), key=repr)
-
-
-def compare(spark, con, key, run, sql, folder) -> list[str]:
-    """Empty when both sides agree exactly; else a description of the differences."""
-    frame = run(spark, folder)
-    ours = rows_of([tuple(r) for r in frame.collect()], frame.columns)
-    result = con.execute(sql)
-    names = [c[0] for c in result.description]
-    theirs = rows_of(result.fetchall(), names)
-    if sorted(frame.columns) != sorted(names):
-        return [f"columns {sorted(frame.columns)} != {sorted(names)}"]
+def _plain(table: pa.Table) -> pd.DataFrame:
+    """Columns by name; numbers as float64, dates and booleans as text; rows sorted."""
+    columns = {}
+    for name in sorted(table.column_names):
+        column = table.column(name)
+        kind = column.type
+        if pa.types.is_decimal(kind) or pa.types.is_integer(kind) or pa.types.is_floating(kind):
+            columns[name] = column.cast(pa.float64()).to_pandas()
+        elif pa.types.is_timestamp(kind):
+            columns[name] = column.cast(pa.date32()).cast(pa.string()).to_pandas()
+        else:
+            columns[name] = column.cast(pa.string()).to_pandas()
+    frame = pd.DataFrame(columns)
+    # text columns first, so that a last-digit difference cannot reorder the rows
+    order = sorted(frame.columns, key=lambda c: (frame[c].dtype == float, c))
+    return frame.sort_values(order, ignore_index=True) if order else frame
+
+
+def compare(spark, con, run, sql: str, folder: str) -> str | None:
+    """None when both sides agree exactly, else a description of the difference."""
+    ours = _plain(run(spark, folder).toArrow())
+    result = con.execute(sql).arrow()
+    theirs = _plain(result.read_all() if hasattr(result, "read_all") else result)
+    if list(ours.columns) != list(theirs.columns):
+        return f"columns {list(ours.columns)} != {list(theirs.columns)}"
     if len(ours) != len(theirs):
-        return [f"rows {len(ours)} != {len(theirs)}; ours {ours[:2]} theirs {theirs[:2]}"]
-    bad = [(a, b) for a, b in zip(ours, theirs) if repr(a) != repr(b)]
-    return [f"{len(bad)} of {len(ours)} rows differ, e.g. {sorted(names)} ours {a} theirs {b}" for a, b in bad[:3]]
-
-
-def has_scan(sql: str) -> bool:
-    return bool(re.search(r"\b(lineitem|events)\b", sql))
+        return f"{len(ours)} rows != {len(theirs)} rows"
+    same = (ours == theirs) | (ours.isna() & theirs.isna())
+    bad = ~same.all(axis=1)
+    if bad.any():
+        first = bad.idxmax()
+        return (f"{int(bad.sum())} of {len(ours)} rows differ, e.g. {ours.loc[first].to_dict()} "
+                f"!= {theirs.loc[first].to_dict()}")
+    return None

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from tidemark import config as cfg
 from tidemark.functions import scalars as S
+from tidemark.operators.promo import small_table
 
 MONEY = "decimal(18,6)"
 FACT_COLUMNS = ("channel", "campaign_type", "campaign_name", "ds", "revenue", "spend")
@@ -47,19 +48,20 @@ def discover_sources(spark: SparkSession, folder: str) -> DataFrame:
     The exact name wins; else the first name, in sorted order, of the first
     pattern that matches anything; else no source.
     """
-    rules = []
-    for order, p in enumerate(cfg.PLATFORMS):
-        ranked = (("exact", p.file_name),) + tuple(("pattern", g) for g in p.patterns)
-        for rank, (how, pattern) in enumerate(ranked):
+    hits, platforms = [], []
+    name = F.col("source_name")
+    for position, p in enumerate(cfg.PLATFORMS):
+        platforms.append((position, p.channel))
+        for rank, (how, pattern) in enumerate([("exact", p.file_name), *(("pattern", g) for g in p.patterns)]):
             like = pattern.replace("_", r"\_").replace("*", "%")
-            rules.append((order, p.channel, rank, how, like))
-    rule = spark.createDataFrame(
-        rules, "position int, channel string, rank int, matched_by string, name_like string")
-    hits = rule.join(source_names(spark, folder),
-                     F.expr("source_name LIKE name_like"), "left")
-    best = F.min(F.when(F.col("source_name").isNotNull(), F.struct("rank", "source_name", "matched_by")))
+            hits.append(F.when(name.like(like), F.struct(
+                F.lit(p.channel).alias("channel"), F.lit(rank).alias("rank"), F.lit(how).alias("matched_by"))))
+    matched = source_names(spark, folder).select("source_name", F.inline(F.array_compact(F.array(*hits))))
+    best = matched.groupBy("channel").agg(
+        F.min(F.struct("rank", "source_name", "matched_by")).alias("hit"))
     return (
-        hits.groupBy("position", "channel").agg(best.alias("hit"))
+        small_table(spark, platforms, "position int, channel string")
+        .join(best, "channel", "left")
         .select("position", "channel", "hit.source_name", "hit.matched_by")
     )
 
