@@ -37,8 +37,7 @@ def _plain(table: pa.Table) -> pd.DataFrame:
 def compare(spark, con, run, sql: str, folder: str) -> str | None:
     """None when both sides agree exactly, else a description of the difference."""
     ours = _plain(run(spark, folder).toArrow())
-    result = con.execute(sql).arrow()
-    theirs = _plain(result.read_all() if hasattr(result, "read_all") else result)
+    theirs = _plain(con.execute(sql).to_arrow_table())
     if list(ours.columns) != list(theirs.columns):
         return f"columns {list(ours.columns)} != {list(theirs.columns)}"
     if len(ours) != len(theirs):
