@@ -56,7 +56,7 @@ def predict_daily(models: DataFrame, events: Sequence[Event],
     assumed = F.col("average_spend") if budget is None else F.coalesce(F.col(budget), F.col("average_spend"))
     z = F.lit(band_factor(settings.interval_width))
     kept = [c for c in dict.fromkeys((*keys, *_SLICE_COLUMNS, *([budget] if budget else [])))]
-    extra = [c for c in models.columns if c.startswith("actual_") or c == "scenario"]
+    extra = [c for c in models.columns if c.startswith("actual_")]
     staged = future.select(
         *kept, *(c for c in extra if c not in kept), "h", "ds", "beta", "y_sigma", "x_sigma",
         stages("y").alias("y_stages"), stages("x").alias("x_stages"), S.to_log(assumed).alias("x_future"),
@@ -92,14 +92,16 @@ def window_sums(daily: DataFrame, keys: Sequence[str] = cfg.SLICE, floor: bool =
     sums = {f"{m}_{b}": F.sum(S.from_log(F.col(f"{m}_yhat{s}")))
             for m in ("revenue", "spend")
             for b, s in (("lower", "_lower"), ("point", ""), ("upper", "_upper"))}
+    arrays = {"revenue_floor": "floors", "roas_cv": "roas_cvs"}
+    spread = in_windows(daily).withColumns({c: F.col(a)[F.col("slot")] for c, a in arrays.items()})
+    # only fixed-width values are carried through the grouping, which keeps it hash-based
     extra = [c for c in daily.columns if c.startswith("actual_") or c in _SLICE_COLUMNS]
-    extra += [budget] if budget and budget not in extra else []
-    extra = [c for c in extra if c not in keys]
-    windows = in_windows(daily).groupBy(*keys, "window_days", "slot").agg(
+    extra = [c for c in dict.fromkeys((*extra, *arrays, *([budget] if budget else [])))
+             if c not in (*keys, *arrays.values(), "horizons", "channel")]
+    windows = spread.groupBy(*keys, "channel", "window_days", "slot").agg(
         *(F.first(c).alias(c) for c in extra), *(s.alias(n) for n, s in sums.items()))
     if floor:
-        windows = windows.withColumn(
-            "revenue_lower", F.greatest("revenue_lower", F.col("floors")[F.col("slot")]))
+        windows = windows.withColumn("revenue_lower", F.greatest("revenue_lower", "revenue_floor"))
     windows = windows.withColumns({
         f"{m}_upper": F.greatest(f"{m}_upper", f"{m}_point", f"{m}_lower") for m in ("revenue", "spend")})
     if budget is not None:
@@ -112,7 +114,7 @@ def window_sums(daily: DataFrame, keys: Sequence[str] = cfg.SLICE, floor: bool =
 def with_roas(windows: DataFrame) -> DataFrame:
     """ROAS point with a band of plus/minus its historical coefficient of variation."""
     point = S.roas_floor1("revenue_point", "spend_point")
-    cv = F.col("roas_cvs")[F.col("slot")]
+    cv = F.col("roas_cv")
     return windows.withColumn("roas_point", point).withColumns({
         "roas_lower": F.greatest(F.col("roas_point") - F.col("roas_point") * cv,
                                  F.lit(cfg.ROAS_LOWER_BOUND)),

@@ -45,8 +45,13 @@ def top_campaigns(summary: DataFrame, k: int = 20) -> DataFrame:
 
 
 def blended_roas(facts: DataFrame) -> DataFrame:
-    """Total revenue over total spend: overall, per channel, per channel and type."""
-    return facts.rollup("channel", "campaign_type").agg(
+    """Total revenue over total spend: overall, per channel, per channel and type.
+
+    The facts are combined per channel and type before the rollup repeats them.
+    """
+    cells = facts.groupBy("channel", "campaign_type").agg(
+        F.sum("revenue").alias("revenue"), F.sum("spend").alias("spend"))
+    return cells.rollup("channel", "campaign_type").agg(
         F.grouping_id().alias("grouping"),
         F.sum("revenue").alias("revenue"), F.sum("spend").alias("spend"),
     ).select("grouping", "channel", "campaign_type", "revenue", "spend",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import config as cfg
@@ -49,13 +49,17 @@ def fingerprints(series: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64("ds", "revenue", "spend")).alias("fingerprint"))
 
 
-def stale_slices(series: DataFrame, stored: DataFrame,
-                 settings: cfg.ModelSettings = cfg.ModelSettings()) -> DataFrame:
-    """Slices without a stored fit of the same content and the same hyperparameters."""
+def _same_settings(settings: cfg.ModelSettings) -> Column:
     same = F.lit(True)
     for k, v in asdict(settings).items():
         same = same & F.col(f"setting_{k}").eqNullSafe(F.lit(v).cast("double"))
-    fresh = stored.where(same).select(*cfg.SLICE, "fingerprint")
+    return same
+
+
+def stale_slices(series: DataFrame, stored: DataFrame,
+                 settings: cfg.ModelSettings = cfg.ModelSettings()) -> DataFrame:
+    """Slices without a stored fit of the same content and the same hyperparameters."""
+    fresh = stored.where(_same_settings(settings)).select(*cfg.SLICE, "fingerprint")
     return fingerprints(series).join(fresh, [*cfg.SLICE, "fingerprint"], "left_anti").select(*cfg.SLICE)
 
 
@@ -65,8 +69,8 @@ def refit_changed(series: DataFrame, stored: DataFrame, events: Sequence[Event],
     stale = stale_slices(series, stored, settings)
     refitted = with_settings(
         fit_staged(series.join(stale, list(cfg.SLICE), "left_semi"), events, settings=settings), settings)
-    current = series.select(*cfg.SLICE).distinct()
-    kept = stored.join(current, list(cfg.SLICE), "left_semi").join(stale, list(cfg.SLICE), "left_anti")
+    kept = stored.where(_same_settings(settings)).join(
+        fingerprints(series), [*cfg.SLICE, "fingerprint"], "left_semi")
     return kept.select(*refitted.columns).unionByName(refitted)
 
 
