@@ -17,10 +17,11 @@ from tidemark.sources.star_schema import ad_facts
 CHANNEL_OF = {"bing": "A", "meta": "N", "google": "R"}
 
 
-def exported(spark, folder: str) -> str:
-    """The supplied facts as three platform sources in a fresh shared folder."""
+def exported(spark, folder: str, *channels: str) -> str:
+    """The supplied facts as platform sources (all three by default) in a fresh shared folder."""
     target = shared_folder(spark, "platforms")
-    platform_csv.export_platform_layout(ad_facts(spark, folder), target, CHANNEL_OF)
+    wanted = {c: CHANNEL_OF[c] for c in channels or CHANNEL_OF}
+    platform_csv.export_platform_layout(ad_facts(spark, folder), target, wanted)
     return target
 
 
@@ -43,7 +44,7 @@ def validate_sources(spark, folder):
 SELECT CAST(ds AS VARCHAR) AS day_text, count(*) AS n, count(DISTINCT campaign_name) AS n_names
 FROM ads WHERE channel = 'A' GROUP BY ds"""))
 def read_ads_csv(spark, folder):
-    path = f"{exported(spark, folder)}/{cfg.PLATFORMS[0].file_name}"
+    path = f"{exported(spark, folder, 'bing')}/{cfg.PLATFORMS[0].file_name}"
     data, header = platform_csv.read_ads_csv(spark, path)
     return data.groupBy(F.col(header.position("TimePeriod")).alias("day_text")).agg(
         F.count(F.lit(1)).alias("n"),
@@ -74,17 +75,17 @@ def _per_day(facts):
 
 @query("normalize_bing", sql=PLATFORM_SQL["bing"])
 def normalize_bing(spark, folder):
-    return _per_day(platform_csv.load_platform(spark, exported(spark, folder), "bing"))
+    return _per_day(platform_csv.load_platform(spark, exported(spark, folder, "bing"), "bing"))
 
 
 @query("normalize_meta", sql=PLATFORM_SQL["meta"])
 def normalize_meta(spark, folder):
-    return _per_day(platform_csv.load_platform(spark, exported(spark, folder), "meta"))
+    return _per_day(platform_csv.load_platform(spark, exported(spark, folder, "meta"), "meta"))
 
 
 @query("normalize_google", sql=PLATFORM_SQL["google"])
 def normalize_google(spark, folder):
-    return _per_day(platform_csv.load_platform(spark, exported(spark, folder), "google"))
+    return _per_day(platform_csv.load_platform(spark, exported(spark, folder, "google"), "google"))
 
 
 @query("union_raw", sql="SELECT * FROM (" + ") UNION ALL SELECT * FROM (".join(PLATFORM_SQL.values()) + ")")

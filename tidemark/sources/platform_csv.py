@@ -276,7 +276,7 @@ def validate(spark: SparkSession, folder: str) -> DataFrame:
 # -- writing facts back in a platform's own layout ---------------------------------
 
 def export_platform_layout(facts: DataFrame, folder: str, channel_of: dict[str, str]) -> None:
-    """Write facts as the three platform sources (CSV folders); ``channel_of`` maps
+    """Write facts as platform sources (CSV folders); ``channel_of`` maps each wanted
     platform channel to the fact table's channel value."""
     layouts = {
         "bing": dict(TimePeriod="ds", Revenue="revenue", Spend="spend",
@@ -288,7 +288,7 @@ def export_platform_layout(facts: DataFrame, folder: str, channel_of: dict[str,
                        campaign_advertising_channel_type="campaign_type",
                        campaign_name="campaign_name"),
     }
-    for platform in cfg.PLATFORMS:
+    for platform in (p for p in cfg.PLATFORMS if p.channel in channel_of):
         part = facts.where(F.col("channel") == channel_of[platform.channel])
         columns = [F.expr("monotonically_increasing_id()").alias("Unnamed: 0")]
         columns += [F.expr(e).alias(n) for n, e in layouts[platform.channel].items()]
