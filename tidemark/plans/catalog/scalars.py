@@ -130,7 +130,7 @@ def expm1_back(spark, folder):
 
 
 @query("round_output", sql=Q.query(Q.series(), select="""
-SELECT level, entity, month(ds) AS moy, round_even(CAST(sum(revenue) AS DOUBLE) / count(*), 2) AS money,
+SELECT level, entity, CAST(month(ds) AS INTEGER) AS moy, round_even(CAST(sum(revenue) AS DOUBLE) / count(*), 2) AS money,
        round_even(CAST(sum(revenue) AS DOUBLE) / nullif(CAST(sum(spend) AS DOUBLE), 0), 4) AS ratio
 FROM series GROUP BY ALL"""))
 def round_output(spark, folder):
@@ -186,7 +186,7 @@ def title_upper(spark, folder):
 
 
 @query("usd_format", sql=Q.query(Q.series(), select="""
-SELECT level, entity, month(ds) AS moy,
+SELECT level, entity, CAST(month(ds) AS INTEGER) AS moy,
        CASE WHEN v >= 1000000 THEN printf('$%.2fM', v / 1000000)
             WHEN v >= 1000 THEN printf('$%.1fK', v / 1000) ELSE printf('$%.0f', v) END AS revenue
 FROM (SELECT level, entity, ds, CAST(sum(revenue) OVER (PARTITION BY level, entity, month(ds)) AS DOUBLE) AS v,
