@@ -18,7 +18,7 @@ LEAST_LANGUAGE_SHARE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in one language: text without letters and even mixtures of languages go."""
-    found = language.identify(docs, language.learn(language.training_rows(docs)), with_spans=False, keep=docs.columns)
+    found = language.identify(docs, language.learn(language.training_rows(docs)), with_spans=False, with_rows=True)
     return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select("doc.*")
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, language, packing
+from tidemark.llm import decontamination, language, near_duplicates, packing
 
 _QUERIES = {
+    "op3_ngram_jaccard": (near_duplicates.query, near_duplicates.SQL),
     "op4_language_id": (language.query, language.SQL),
     "op5_benchmark_decontamination": (decontamination.query, decontamination.SQL),
     "op8_packing": (packing.query, packing.SQL),

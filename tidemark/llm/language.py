@@ -183,11 +183,16 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     return label
 
 
+SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("lang", pa.string())]))
 RESULT = "doc_id {id}, held_out boolean, lang_pred string, score double, spans array<struct<s:int,e:int,lang:string>>"
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, with_spans: bool = True) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, spans): spans are ranges of words (from 0, end exclusive) of one language."""
+def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, with_spans: bool = True,
+             with_rows: bool = False) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, spans): spans are ranges of words (from 0, end exclusive) of one language.
+
+    with_rows adds `doc`, the whole row of docs as a struct.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -242,14 +247,18 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, with_spans
                 pred.append(lang)
                 score.append(s)
                 spans.append(runs)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score, pa.float64()),
-                 pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("lang", pa.string())])))],
-                names=["doc_id", "held_out", "lang_pred", "score", "spans"])
-
-    source = docs.select("doc_id", "text", held_out().alias("held_out"),
+            columns = {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
+                       "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64()),
+                       "spans": pa.array(spans, SPANS)}
+            if with_rows:
+                columns["doc"] = batch.column("doc")
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    row = [F.struct(*docs.columns).alias("doc")] if with_rows else []
+    source = docs.select(*row, "doc_id", "text", held_out().alias("held_out"),
                          F.coalesce(F.col("text").rlike("[A-Za-z]"), F.lit(False)).alias("ascii"))
-    return source.mapInArrow(run, RESULT.format(id=id_type))
+    schema = RESULT.format(id=id_type) + (f", doc {source.schema['doc'].dataType.simpleString()}" if with_rows else "")
+    return source.mapInArrow(run, schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
