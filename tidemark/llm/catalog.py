@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontamination, language, near_duplicates, packing, substring_dedup, suffix_dedup
+from tidemark.llm import (
+    decontamination, embedding_dedup, language, licenses, near_duplicates, packing, substring_dedup, suffix_dedup,
+)
 
 _QUERIES = {
+    "op1_license_scan": (licenses.query, licenses.SQL),
     "op2_suffix_array_dedup": (suffix_dedup.query, suffix_dedup.SQL),
     "op3_ngram_jaccard": (near_duplicates.query, near_duplicates.SQL),
     "op4_language_id": (language.query, language.SQL),
     "op5_benchmark_decontamination": (decontamination.query, decontamination.SQL),
+    "op6_embedding_dedup": (embedding_dedup.query, embedding_dedup.SQL),
     "op8_packing": (packing.query, packing.SQL),
     "op9_substring_dedup": (substring_dedup.query, substring_dedup.SQL),
 }
