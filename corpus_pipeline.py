@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, language, packing
+from tidemark.llm import decontamination, language, near_duplicates, packing, substring_dedup
 from tidemark.llm.common import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,6 +22,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select("doc.*")
 
 
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates (shingles of five words, similarity 0.8)."""
+    return near_duplicates.one_of_each(docs)
+
+
+def substring_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes passages of 50 words that an earlier document has out of later ones; emptied documents go."""
+    kept = substring_dedup.deduplicated(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that share no window of ten words with a benchmark item."""
     return decontamination.remove_documents(docs, table(spark, sf_dir, "benchmark"))
@@ -34,6 +45,8 @@ def cost_balanced_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", language_id),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("substring_dedup", substring_deduplication),
     ("benchmark_decontamination", benchmark_decontamination),
     ("cost_balanced_packing", cost_balanced_packing),
 ]

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from tidemark.llm import (
-    decontamination, embedding_dedup, language, licenses, near_duplicates, packing, substring_dedup, suffix_dedup,
+    decontamination, embedding_dedup, language, licenses, lm_scoring, near_duplicates, packing, quality,
+    substring_dedup, suffix_dedup,
 )
 
 _QUERIES = {
@@ -13,8 +14,10 @@ _QUERIES = {
     "op4_language_id": (language.query, language.SQL),
     "op5_benchmark_decontamination": (decontamination.query, decontamination.SQL),
     "op6_embedding_dedup": (embedding_dedup.query, embedding_dedup.SQL),
+    "op7_quality_classifier": (quality.query, quality.SQL),
     "op8_packing": (packing.query, packing.SQL),
     "op9_substring_dedup": (substring_dedup.query, substring_dedup.SQL),
+    "op10_lm_scoring": (lm_scoring.query, lm_scoring.SQL),
 }
 
 QUERIES = {name: run for name, (run, _) in _QUERIES.items()}

@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,12 +72,16 @@ def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays(
             [pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["part", "sums"])
 
-    def add(key: tuple, got: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, dtype=np.int64) for x in got["sums"])
-        return pd.DataFrame({"part": [key[0]], "sums": [total.tobytes()]})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, sums in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                total[part] = total.get(part, 0) + np.frombuffer(sums, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "sums"])
 
     schema = "part int, sums binary"
-    rows = docs.select("text").mapInArrow(count, schema).groupBy("part").applyInPandas(add, schema).toArrow()
+    rows = docs.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).toArrow()
     sketch = np.zeros((SLICES, SKETCH // SLICES), dtype=np.int64)
     for part, sums in zip(rows["part"].to_pylist(), rows["sums"].to_pylist(), strict=True):
         sketch[part] = np.frombuffer(sums, dtype=np.int64)
