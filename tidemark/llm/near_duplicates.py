@@ -2,9 +2,10 @@
 
 1. Shingle sets. Documents with equal sets become one node (hash of the set), so exact copies cost one row each.
 2. Blocks. Sets of similarity t share a shingle among the first n - ceil(t n) + 1 of each under any one global order.
-   The order puts rare shingles first: document frequencies of all shingles are summed into a sketch of fixed size,
-   so a common line or passage stands at the end of every set and is hardly ever probed. Nodes that share a
-   prefix shingle are joined to its least node; connected nodes form a block, and every link lies inside one block.
+   The order puts rare shingles first: document frequencies of all shingles are summed into a sketch of bounded size,
+   so a common line or passage stands at the end of every set and is hardly ever probed, and a shingle known to be
+   in one document only is not sent at all. Nodes that share a prefix shingle are joined to its least node;
+   connected nodes form a block, and every link lies inside one block.
 3. Signature trees. A block is cut by set size into leaves of bounded membership; compatible leaf pairs are dealt
    out as tasks. A task builds a tree over each leaf whose nodes hold the OR of the members' token bitmaps and the
    range of their sizes, and walks both trees together: a node pair is dropped when its largest possible overlap
@@ -22,17 +23,21 @@ carried through by `one_of_each`. Shingles are compared as 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import text as T
 from tidemark.llm.common import bounded, components, content_key, table, written
 
-SKETCH = 1 << 20
-SLICES = 64
+#: Cells of the frequency sketch, as powers of two, and slices that are added up in one task each.
+LEAST_BITS, MOST_BITS, SLICE_BITS = 16, 26, 6
+#: Shingles that a task counts before it sends their cells on.
+HELD_SHINGLES = 4_000_000
 LEAF = 256
 BITS = 4096
 #: Ratio between the size classes into which a block is cut.
@@ -56,36 +61,79 @@ def shingle_sets(block: T.Block, k: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(doc, np.arange(len(block) + 1))
 
 
-def _cells(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(44)).astype(np.int64)
+#: Document counts that a cell of the sketch tells apart: level i means at least LEVELS[i] and less than the next.
+LEVELS = np.array([0, 1, 2, 3, 4, 6, 8, 12, 16, 32, 64, 128, 512, 2048, 16384, 1 << 20])
 
 
-def frequency_sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """Number of documents of all shingles that fall in each of SKETCH cells: sums over the whole table."""
+@dataclass
+class Sketch:
+    """Document frequencies of all shingles, summed in 2**bits cells and kept as four-bit levels.
+
+    A shingle in a cell of level 1 stands in one document only. The size follows the corpus up to MOST_BITS (32 MB);
+    it decides how many probes are made, not which links are found.
+    """
+
+    bits: int
+    packed: np.ndarray
+
+    def level(self, grams: np.ndarray) -> np.ndarray:
+        cell = (grams >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (self.packed[cell >> 1] >> ((cell & 1) << 2).astype(np.uint8)) & np.uint8(15)
+
+
+def frequency_sketch(docs: DataFrame, k: int) -> Sketch:
+    """Sums over the whole table: tasks send the counts of their cells, every slice of cells is added up in one task."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, int(size // 8).bit_length()))
+    width = 1 << (bits - SLICE_BITS)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, dtype=np.int64)
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            cells, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            edges = np.searchsorted(cells, np.arange((1 << SLICE_BITS) + 1) * width)
+            some = np.flatnonzero(np.diff(edges))
+            pack = zstandard.ZstdCompressor(level=1).compress
+            gaps = np.diff(cells, prepend=0).astype("<u4")
+            gaps[edges[:-1][some]] = cells[edges[:-1][some]] - some * width
+            n = np.minimum(n, 2**31).astype("<u4")
+            ranges = [(edges[i], edges[i + 1]) for i in some]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some.astype(np.int32)), pa.array([pack(gaps[x:y].tobytes()) for x, y in ranges], pa.binary()),
+                 pa.array([pack(n[x:y].tobytes()) for x, y in ranges], pa.binary())], names=["part", "gaps", "n"])
+
+        waiting = 0
         for batch in batches:
             for block in T.blocks(batch.column("text")):
-                total += np.bincount(_cells(shingle_sets(block, k)[0]), minlength=SKETCH)
-        parts = total.reshape(SLICES, -1)
-        some = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["part", "sums"])
+                held.append((shingle_sets(block, k)[0] >> np.uint64(64 - bits)).astype(np.int64))
+                waiting += len(held[-1])
+                if waiting >= HELD_SHINGLES:
+                    yield from flush()
+                    waiting = 0
+        if held:
+            yield from flush()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for part, sums in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-                total[part] = total.get(part, 0) + np.frombuffer(sums, dtype=np.int64)
+            for part, gaps, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part not in total:
+                    total[part] = np.zeros(width, dtype=np.int64)
+                total[part][np.cumsum(np.frombuffer(unpack(gaps), dtype="<u4").astype(np.int64))] += np.frombuffer(unpack(n), dtype="<u4")
+        levels = [(np.searchsorted(LEVELS, x, side="right") - 1).astype(np.uint8) for x in total.values()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "sums"])
+            [pa.array(list(total), pa.int32()), pa.array([(x[::2] | (x[1::2] << 4)).tobytes() for x in levels], pa.binary())],
+            names=["part", "levels"])
 
-    schema = "part int, sums binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).toArrow()
-    sketch = np.zeros((SLICES, SKETCH // SLICES), dtype=np.int64)
-    for part, sums in zip(rows["part"].to_pylist(), rows["sums"].to_pylist(), strict=True):
-        sketch[part] = np.frombuffer(sums, dtype=np.int64)
-    return np.minimum(sketch.reshape(-1), 2**31 - 1).astype(np.int32)
+    rows = docs.select("text").mapInArrow(count, "part int, gaps binary, n binary").repartition("part").mapInArrow(
+        add, "part int, levels binary").toArrow()
+    packed = np.zeros((1 << SLICE_BITS, width // 2), dtype=np.uint8)
+    for part, levels in zip(rows["part"].to_pylist(), rows["levels"].to_pylist(), strict=True):
+        packed[part] = np.frombuffer(levels, dtype=np.uint8)
+    return Sketch(bits, packed.reshape(-1))
 
 
 def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -106,11 +154,14 @@ def signed_documents(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 doc = np.repeat(np.arange(len(block)), n)
                 sums = np.concatenate([[0], np.cumsum(T.mix(grams), dtype=np.uint64)]).astype(np.uint64)
                 node = T.mix((sums[at[1:]] - sums[at[:-1]]) + n.astype(np.uint64))
-                order = np.lexsort((grams, often[_cells(grams)], doc))
+                level = often.level(grams)
+                order = np.lexsort((grams, level, doc))
                 rank = np.arange(len(grams)) - np.repeat(at[:-1], n)
                 size = np.where(n > 0, prefix_length(n, num, den), 0)
-                chosen = grams[order][rank < np.repeat(size, n)]
-                offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                # a shingle of this document alone meets no other document: it takes its place but need not be sent
+                sent = (rank < np.repeat(size, n)) & (level[order] > 1)
+                chosen = grams[order][sent]
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[sent], minlength=len(block)))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("key").slice(block.lo, len(block)), batch.column("doc_id").slice(block.lo, len(block)),
                      pa.array(n.astype(np.int64)), pa.array(T.signed(node), mask=n == 0),
@@ -234,8 +285,11 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     # leaves: by size class, and by hash within a class
     sizes = signed.where("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("key").alias("key"))
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int")
-    members = written(
-        sizes.join(blocks, "node").select("node", "n", "key", F.col("component").alias("block"), step.alias("class")), "shingle-members")
+    members = written(sizes.join(blocks, "node").select("node", "n", "key", F.col("component").alias("block")), "shingle-members")
+    large = members.groupBy("block").agg(F.count("*").alias("members")).where(F.col("members") > LEAF).select("block", F.lit(True).alias("large"))
+    # a block that fits is one leaf
+    members = members.join(bounded(large, large.count()), "block", "left").withColumn(
+        "class", F.when(F.col("large"), step).otherwise(F.lit(-1)))
     classes = members.groupBy("block", "class").agg(
         F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("largest"))
     leaves = classes.withColumn("parts", F.ceil(F.col("size") / LEAF).cast("long")).select(
@@ -251,9 +305,9 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     pairs = pairs.select("block", "pair", "s.side", "s.leaf.class", "s.leaf.part")
     placed = members.join(classes.select("block", "class", F.ceil(F.col("size") / LEAF).cast("long").alias("parts")), ["block", "class"]) \
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    tasks = written(placed.join(pairs, ["block", "class", "part"]).select("key", "node", "pair", "side"), "shingle-pairs")
-    tokens = _token_sets(docs, members.select("key", "node"), k)
-    dealt = tasks.join(tokens, "node").select("pair", "side", "node", "tokens")
+    tasks = written(placed.join(pairs, ["block", "class", "part"]).groupBy("key", "node").agg(
+        F.collect_list(F.struct("pair", "side")).alias("tasks")), "shingle-pairs")
+    dealt = _token_sets(docs, tasks, k)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = dealt.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(_pair_links(num, den), "a long, b long")
     joined = components(links, "shingle-links")
@@ -261,20 +315,24 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
 
 
 def _token_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """(node, tokens): the whole shingle set of each member, from one of its documents."""
+    """(pair, side, node, tokens): the whole shingle set of each member, for every task that it belongs to."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for block in T.blocks(batch.column("text")):
                 grams, at = shingle_sets(block, k)
-                node = batch.column("node").slice(block.lo, len(block)).to_pylist()
-                new = [i for i in range(len(block)) if node[i] not in seen and not seen.add(node[i])]
+                nodes = batch.column("node").slice(block.lo, len(block)).to_pylist()
+                # of repeated rows one is enough
+                new = [i for i in range(len(block)) if nodes[i] not in seen and not seen.add(nodes[i])]
+                tasks = [(i, t["pair"], t["side"]) for i in new for t in batch.column("tasks")[block.lo + i].as_py()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([node[i] for i in new], pa.int64()),
-                     pa.array([grams[at[i] : at[i + 1]].tobytes() for i in new], pa.binary())], names=["node", "tokens"])
+                    [pa.array([p for _, p, _ in tasks], pa.int64()), pa.array([s for _, _, s in tasks], pa.int32()),
+                     pa.array([nodes[i] for i, _, _ in tasks], pa.int64()),
+                     pa.array([grams[at[i] : at[i + 1]].tobytes() for i, _, _ in tasks], pa.binary())],
+                    names=["pair", "side", "node", "tokens"])
 
     texts = docs.select(content_key().alias("key"), "text").join(bounded(members, members.count()), "key")
-    return texts.select("node", "text").mapInArrow(run, "node long, tokens binary")
+    return texts.select("text", "node", "tasks").mapInArrow(run, "pair long, side int, node long, tokens binary")
 
 
 def _with_components(signed: DataFrame, joined: DataFrame) -> DataFrame:
