@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +33,15 @@ def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def arrow_map(df: DataFrame, run: Callable[[pa.RecordBatch], Iterator[pa.Table]], schema: str) -> DataFrame:
-    """mapInArrow for a function that yields column tables in the order of the schema."""
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for out in run(batch):
-                yield from out.to_batches()
-    return df.mapInArrow(over, schema)
+def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Equi-join whose large partitions may be split.
+
+    An aggregate by the key is partitioned by it already, and a join on top of it would keep a hot key of the other
+    side in one task. With the key's hash as second join column both sides get exchanges of their own, which adaptive
+    execution can split.
+    """
+    check = "__hash_of_key"
+    return left.withColumn(check, F.xxhash64(key)).join(right.withColumn(check, F.xxhash64(key)), [key, check], how).drop(check)
 
 
 def components(edges: DataFrame, purpose: str) -> DataFrame:
@@ -59,11 +58,11 @@ def components(edges: DataFrame, purpose: str) -> DataFrame:
         # large star: every neighbour above u is attached to the least node around u
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = split_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: u and its neighbours below are attached to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(low, "u")
+            split_join(large, low, "u")
             .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")),
                                       F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v").where("u <> v").distinct()

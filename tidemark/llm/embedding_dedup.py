@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, components, table, written
+from tidemark.llm.common import bounded, components, split_join, table, written
 
 THRESHOLD = 0.93
 PROJECTIONS = 32
@@ -200,7 +200,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     v = F.transform("embedding", lambda x: x.cast("double"))
     rows = vectors.select("vec_id", F.when(F.col("label").isNotNull() & F.col("embedding").isNotNull(),
                                            F.xxhash64(F.col("label").cast("string"), v)).alias("node"))
-    return rows.join(named, "node", "left").select(
+    return split_join(rows, named, "node", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
     ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

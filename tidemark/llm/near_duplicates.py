@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import text as T
-from tidemark.llm.common import bounded, components, content_key, table, written
+from tidemark.llm.common import bounded, components, content_key, split_join, table, written
 
 #: Cells of the frequency sketch, as powers of two, and slices that are added up in one task each.
 LEAST_BITS, MOST_BITS, SLICE_BITS = 16, 26, 6
@@ -278,7 +278,7 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     probes = signed.where("node is not null").select(F.explode("prefix").alias("token"), "node")
     shared = probes.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last")
     candidates = (
-        probes.join(shared.select("token", "leader"), "token").where("node <> leader")
+        split_join(probes, shared.select("token", "leader"), "token").where("node <> leader")
         .select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     )
     blocks = components(candidates, "shingle-blocks")
@@ -340,7 +340,7 @@ def _with_components(signed: DataFrame, joined: DataFrame) -> DataFrame:
     known = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = known.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("rows").alias("total")).where("total > 1")
     named = known.join(ids, "component").select("node", "component_id")
-    return signed.select("key", "doc_id", "n", "node").join(named, "node", "left").select(
+    return split_join(signed.select("key", "doc_id", "n", "node"), named, "node", "left").select(
         "key", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

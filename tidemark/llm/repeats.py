@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import text as T
-from tidemark.llm.common import bounded, content_key, written
+from tidemark.llm.common import bounded, content_key, split_join, written
 
 #: Symbols of a block and its documents' offsets into them: bytes or words.
 Symbols = Callable[[T.Block], tuple[np.ndarray, np.ndarray]]
@@ -66,7 +66,7 @@ def repeated_anchors(docs: DataFrame, symbols: Symbols, window: int, gram: int,
         *([F.min("doc_id").alias("first"), F.max("doc_id").alias("last")] if across else []))
     again = grams.where("first < last" if across else "times > 1").select("gram", F.expr("lo <> hi").alias("varied"))
     return written(
-        rows.join(again, "gram").select("key", "doc_id", "gram", F.xxhash64("gram", "extent").alias("ext"), "s", "n", "varied"), purpose)
+        split_join(rows, again, "gram").select("key", "doc_id", "gram", F.xxhash64("gram", "extent").alias("ext"), "s", "n", "varied"), purpose)
 
 
 def copies_to_compare(extents: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import repeats
 from tidemark.llm import text as T
-from tidemark.llm.common import table, written
+from tidemark.llm.common import split_join, table, written
 
 WINDOW = 50
 BLOCK = 25
@@ -63,11 +63,11 @@ def ranges(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFra
     dated = windows.join(extents.select("ext", "first"), "ext")
     earliest = dated.groupBy("w").agg(F.min("first").alias("since"), F.max("first").alias("until")).where("since < until")
     # windows that an extent of an earlier document has too
-    partly = dated.join(earliest.select("w", "since"), "w").where("since < first").groupBy("ext").agg(
+    partly = split_join(dated, earliest.select("w", "since"), "w").where("since < first").groupBy("ext").agg(
         F.collect_list(F.struct("o", "since")).alias("partly"))
     known = extents.select("ext", "first").join(partly, "ext", "left")
     # an extent seen first in this document, with no earlier window, removes nothing
-    placed = found.join(known, "ext").where("first < doc_id or partly is not null")
+    placed = split_join(found, known, "ext").where("first < doc_id or partly is not null")
     whole = placed.where("first < doc_id").select("key", "s", "n")
     some = (
         placed.where("first >= doc_id").select("key", "doc_id", "s", F.explode("partly").alias("p"))

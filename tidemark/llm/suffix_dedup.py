@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import repeats
 from tidemark.llm import text as T
-from tidemark.llm.common import table, written
+from tidemark.llm.common import split_join, table, written
 
 WINDOW = 400
 GRAM = 280
@@ -230,7 +230,7 @@ def ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
     equal = runs.repartition(parts, "range").mapInArrow(_merged, "ext long, o int")
     partly = equal.groupBy("ext").agg(F.collect_set("o").alias("partly"))
     known = extents.select("ext", "times").join(partly, "ext", "left").where("times > 1 or partly is not null")
-    placed = found.select("key", "ext", "s", "n").join(known, "ext")
+    placed = split_join(found.select("key", "ext", "s", "n"), known, "ext")
     whole = placed.where("times > 1").select("key", "s", "n")
     some = placed.where("times = 1").select("key", F.explode("partly").alias("o"), "s").select(
         "key", (F.col("s") + F.col("o")).alias("s"), F.lit(1).alias("n"))
