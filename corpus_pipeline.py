@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates (shingles of five words, similarity 0.8)."""
+    """Keeps one document of each group of near duplicates: shingles of five words, similarity 0.8 or more."""
     return near_duplicates.one_of_each(docs)
 
 

@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import text as T
 from tidemark.llm.common import bounded, content_key, split_join, written
 
+#: Ranges that are broadcast at most, at 8 bytes each; with more, texts and ranges meet by shuffle.
+BROADCAST_RANGES = 4_000_000
+
 #: Symbols of a block and its documents' offsets into them: bytes or words.
 Symbols = Callable[[T.Block], tuple[np.ndarray, np.ndarray]]
 
@@ -79,9 +82,10 @@ def copies_to_compare(extents: DataFrame) -> DataFrame:
 
 
 def texts_with(docs: DataFrame, keyed: DataFrame, how: str = "inner") -> DataFrame:
-    """(key, doc_id, text) of docs joined with keyed by key; broadcast only below the checked size."""
+    """(key, doc_id, text) of docs joined with the spots of keyed; broadcast only below the checked number of spots."""
     texts = docs.select(content_key().alias("key"), "doc_id", "text")
-    return texts.join(bounded(keyed, keyed.count()), "key", how)
+    spots = keyed.agg(F.sum(F.size("spots"))).first()[0] or 0
+    return texts.join(bounded(keyed, spots, BROADCAST_RANGES // 2), "key", how)
 
 
 def kept_parts(docs: DataFrame, ranges: DataFrame, window: int, words: bool, keep: list[str] | None = None) -> DataFrame:
@@ -128,7 +132,8 @@ def kept_parts(docs: DataFrame, ranges: DataFrame, window: int, words: bool, kee
 
     row = [F.struct(*keep).alias("doc")] if keep else []
     texts = docs.select(content_key().alias("key"), "doc_id", "text", *row)
-    joined = texts.join(bounded(found, found.count()), "key", "left").drop("key")
+    entries = found.agg(F.sum(F.size("s"))).first()[0] or 0
+    joined = texts.join(bounded(found, entries, BROADCAST_RANGES), "key", "left").drop("key")
     schema = f"doc_id {id_type}, total long, n_removed long, n_spans long, kept binary, null_text boolean"
     if keep:
         schema += f", doc {joined.schema['doc'].dataType.simpleString()}"

@@ -228,12 +228,16 @@ def ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
                                  F.min(F.struct("key", "s", "n")).alias("rep")), "byte-extents")
     runs = _runs(docs, repeats.copies_to_compare(extents), splitters(docs, parts), window)
     equal = runs.repartition(parts, "range").mapInArrow(_merged, "ext long, o int")
-    partly = equal.groupBy("ext").agg(F.collect_set("o").alias("partly"))
+    # neighbouring offsets of an extent become one range
+    sorted_set = equal.groupBy("ext").agg(F.array_sort(F.collect_set("o")).alias("os"))
+    opens = F.filter("os", lambda x, i: (i == 0) | (F.get("os", i - 1) < x - 1))
+    closes = F.filter("os", lambda x, i: F.coalesce(F.get("os", i + 1) > x + 1, F.lit(True)))
+    partly = sorted_set.select("ext", F.arrays_zip(opens.alias("lo"), closes.alias("hi")).alias("partly"))
     known = extents.select("ext", "times").join(partly, "ext", "left").where("times > 1 or partly is not null")
     placed = split_join(found.select("key", "ext", "s", "n"), known, "ext")
     whole = placed.where("times > 1").select("key", "s", "n")
-    some = placed.where("times = 1").select("key", F.explode("partly").alias("o"), "s").select(
-        "key", (F.col("s") + F.col("o")).alias("s"), F.lit(1).alias("n"))
+    some = placed.where("times = 1").select("key", F.explode("partly").alias("p"), "s").select(
+        "key", (F.col("s") + F.col("p.lo")).alias("s"), (F.col("p.hi") - F.col("p.lo") + 1).alias("n"))
     return whole.union(some)
 
 
