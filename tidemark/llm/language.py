@@ -29,7 +29,7 @@ PENALTY = 12.0
 SMOOTHING = 0.5
 UNDETERMINED = "und"
 #: Words whose scores are held at once.
-HELD_WORDS = 1_000_000
+HELD_WORDS = 400_000
 
 LETTERS = T._bytes_in((0x61, 0x7A), (0x80, 0xFF))
 #: Script classes by leading UTF-8 byte (fixed values): Latin, Greek, Cyrillic, Armenian, Hebrew, Arabic, Indic and

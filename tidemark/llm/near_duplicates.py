@@ -37,7 +37,7 @@ from tidemark.llm.common import bounded, components, content_key, split_join, ta
 #: Cells of the frequency sketch, as powers of two, and slices that are added up in one task each.
 LEAST_BITS, MOST_BITS, SLICE_BITS = 16, 26, 6
 #: Shingles that a task counts before it sends their cells on.
-HELD_SHINGLES = 4_000_000
+HELD_SHINGLES = 2_000_000
 LEAF = 256
 BITS = 4096
 #: Ratio between the size classes into which a block is cut.

@@ -34,7 +34,7 @@ POOL_TOKENS = 2_000_000
 #: Estimated cost of a piece of n tokens: n + n * n / QUADRATIC_AT (equal shares at QUADRATIC_AT tokens).
 QUADRATIC_AT = 2048
 #: Distinct words whose ids are remembered by one Python worker before the memory is emptied.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 
 _LETTER = T._bytes_in((0x61, 0x7A))
 _SPACE = ~T.NONSPACE

@@ -100,9 +100,9 @@ def kept_parts(docs: DataFrame, ranges: DataFrame, window: int, words: bool, kee
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, removed, spans, kept = [], [], [], []
             starts, sizes = batch.column("s"), batch.column("n")
             for block in T.blocks(batch.column("text")):
+                total, removed, spans, kept = [], [], [], []
                 w = T.words(block, T.NONSPACE, lower=False) if words else None
                 at = w.first if words else block.at
                 for i in range(len(block)):
@@ -122,13 +122,14 @@ def kept_parts(docs: DataFrame, ranges: DataFrame, window: int, words: bool, kee
                         kept.append(b" ".join(block.raw[w.start[low + j] : w.end[low + j]].tobytes() for j in np.flatnonzero(left)))
                     else:
                         kept.append(block.raw[at[i] : at[i + 1]][left].tobytes())
-            columns = [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
-                       pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), batch.column("text").is_null()]
-            names = ["doc_id", "total", "n_removed", "n_spans", "kept", "null_text"]
-            if keep:
-                columns.append(batch.column("doc"))
-                names.append("doc")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                rows = batch.slice(block.lo, len(block))
+                columns = [rows.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
+                           pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), rows.column("text").is_null()]
+                names = ["doc_id", "total", "n_removed", "n_spans", "kept", "null_text"]
+                if keep:
+                    columns.append(rows.column("doc"))
+                    names.append("doc")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     row = [F.struct(*keep).alias("doc")] if keep else []
     texts = docs.select(content_key().alias("key"), "doc_id", "text", *row)
