@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, language, near_duplicates, packing, substring_dedup
-from tidemark.llm.common import table, written
+from tidemark.llm.common import bounded_batches, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -18,28 +18,33 @@ LEAST_LANGUAGE_SHARE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in one language: text without letters and even mixtures of languages go."""
+    bounded_batches(spark)
     found = language.identify(docs, language.learn(language.training_rows(docs)), with_spans=False, with_rows=True)
     return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SHARE)).select("doc.*")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: shingles of five words, similarity 0.8 or more."""
+    bounded_batches(spark)
     return near_duplicates.one_of_each(docs)
 
 
 def substring_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes passages of 50 words that an earlier document has out of later ones; emptied documents go."""
+    bounded_batches(spark)
     kept = substring_dedup.deduplicated(docs)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that share no window of ten words with a benchmark item."""
+    bounded_batches(spark)
     return decontamination.remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def cost_balanced_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences with their token ids."""
+    bounded_batches(spark)
     return packing.packed(docs, packing.public_path())
 
 

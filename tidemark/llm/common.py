@@ -7,11 +7,23 @@ from pyspark.sql import functions as F
 
 from tidemark.session import shared_folder
 
+#: Rows and bytes of an Arrow batch that operators exchange with Python.
+BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 #: A side of a join is broadcast only when its counted rows are at most this many; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts differ in size a thousandfold: batches between Spark and Python are bounded by rows and by bytes."""
+    for setting, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(setting, None)
+        if now is None or not 0 < int(now.rstrip("b")) <= most:
+            spark.conf.set(setting, str(most))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
