@@ -369,3 +369,35 @@ def test_contexts_are_json(make_series):
     prompts = N.prompt_table(models, forecasts, found, EVENTS, {"a": 15.0}).collect()
     assert {p.prompt_kind for p in prompts} == {"forecast", "budget", "anomalies", "risk"}
     assert all(len(p.user_text) > 50 for p in prompts)
+
+
+def test_windows_beyond_ninety_days_sum_all_their_days(spark, make_series):
+    from tidemark.operators import forecast, slice_model
+
+    series = make_series({"google": [(1000 + i % 7, 100 + i % 5) for i in range(400)]})
+    models = slice_model.fit_staged(series, [], horizons=(30, 90, 180))
+    got = {r.window_days: r for r in forecast.forecast(models, []).collect()}
+    assert got[180].spend_point > 1.8 * got[90].spend_point and got[180].revenue_point > 1.8 * got[90].revenue_point
+
+
+def test_unfinished_test_windows_are_not_scored(spark, make_series):
+    from tidemark.operators import validation
+
+    series = make_series({"google": [(1000 + i % 7, 100 + i % 5) for i in range(400)]})
+    rows = validation.walk_forward(series, [], ["2025-01-20"]).collect()  # the series ends on 2025-02-03
+    assert rows == []
+    rows = validation.walk_forward(series, [], ["2024-11-20"]).collect()
+    assert sorted(r.window_days for r in rows) == [30, 60]
+
+
+def test_date_notations(spark):
+    from datetime import date
+
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.scalars import parse_date
+
+    texts = ["2024-01-05", "1/5/2024", "2024/1/5", "20240105", "01-05-2024", "Jan 5, 2024", "5 Jan 2024", "2024-01-05 10:00:00"]
+    df = spark.createDataFrame([(t,) for t in [*texts, "45292", "x"]], "t string")
+    got = {r.t: r.d for r in df.select("t", parse_date(F.col("t"), "null").alias("d")).collect()}
+    assert all(got[t] == date(2024, 1, 5) for t in texts) and got["45292"] is None and got["x"] is None

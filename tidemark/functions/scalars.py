@@ -18,14 +18,28 @@ def _double(c: Column | str) -> Column:
 
 # -- cleaning ---------------------------------------------------------------
 
+#: Notations read besides ISO and the given formats, each with the shape that it must have.
+DATE_SHAPES = (
+    (r"^\d{8}$", "yyyyMMdd"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
+    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
+)
+
+
 def parse_date(text: Column, bad_dates: str = "fail",
                formats: Sequence[str] = ("M/d/yyyy", "yyyy/M/d")) -> Column:
-    """Text to date. ISO first, then ``formats``; a blank stays NULL.
+    """Text to date. ISO first, then ``formats``, then ``DATE_SHAPES``; a blank stays NULL.
+
+    A bare number such as a spreadsheet serial is not a date.
 
     ``bad_dates='fail'`` stops the query on an unreadable value, ``'null'``
     turns it into NULL.
     """
-    parsed = F.coalesce(text.try_cast("date"), *(F.try_to_date(text, f) for f in formats))
+    iso = F.when(text.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("date"))
+    shaped = (F.when(F.trim(text).rlike(shape), F.try_to_date(F.trim(text), f)) for shape, f in DATE_SHAPES)
+    slashed = (F.when(text.contains("/"), F.try_to_date(text, f)) if "/" in f else F.try_to_date(text, f) for f in formats)
+    parsed = F.coalesce(iso, *slashed, *shaped)
     if bad_dates == "null":
         return parsed
     blank = text.isNull() | (F.trim(text) == "")

@@ -26,11 +26,16 @@ def band_factor(interval_width: float) -> float:
     return NormalDist().inv_cdf((1.0 + interval_width) / 2.0)
 
 
-def future_days(models: DataFrame, horizon: int = max(cfg.HORIZONS)) -> DataFrame:
+def last_day(horizon: int | None) -> Column:
+    """The given horizon, or the longest window that a slice was fitted for."""
+    return F.lit(horizon) if horizon is not None else F.array_max("horizons").cast("int")
+
+
+def future_days(models: DataFrame, horizon: int | None = None) -> DataFrame:
     """Eligible slices times the days 1..horizon after their last training day."""
     return (
         models.where("eligible")
-        .withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+        .withColumn("h", F.explode(F.sequence(F.lit(1), last_day(horizon))))
         .withColumn("ds", F.date_add("last_ds", F.col("h")))
         .withColumn("t", F.datediff("ds", "first_ds").cast("double"))
     )
@@ -39,7 +44,7 @@ def future_days(models: DataFrame, horizon: int = max(cfg.HORIZONS)) -> DataFram
 def predict_daily(models: DataFrame, events: Sequence[Event],
                   keys: Sequence[str] = cfg.SLICE,
                   settings: cfg.ModelSettings = cfg.ModelSettings(),
-                  horizon: int = max(cfg.HORIZONS), budget: str | None = None) -> DataFrame:
+                  horizon: int | None = None, budget: str | None = None) -> DataFrame:
     """Daily log-scale predictions with bands for revenue and spend.
 
     ``budget`` names a column with the assumed daily spend; where it is NULL (or
@@ -127,8 +132,7 @@ def forecast(models: DataFrame, events: Sequence[Event],
              settings: cfg.ModelSettings = cfg.ModelSettings(),
              budget: str | None = None, floor: bool = True) -> DataFrame:
     """Window forecasts of every eligible slice: lower, point, upper of three metrics."""
-    horizon = max(cfg.HORIZONS)
-    daily = predict_daily(models, events, keys, settings, horizon, budget)
+    daily = predict_daily(models, events, keys, settings, budget=budget)
     return with_roas(window_sums(daily, keys, floor, budget))
 
 

@@ -148,7 +148,7 @@ def joint_coefficients(fitted: DataFrame, events: Sequence[Event], design: Desig
 def predict_joint(fitted: DataFrame, models: DataFrame, events: Sequence[Event],
                   design: Design = Design(), keys: Sequence[str] = cfg.SLICE,
                   settings: cfg.ModelSettings = cfg.ModelSettings(),
-                  horizon: int = max(cfg.HORIZONS)) -> DataFrame:
+                  horizon: int | None = None) -> DataFrame:
     """Daily predictions in the shape of ``forecast.predict_daily``.
 
     ``models`` supplies the eligibility, averages and guards of each slice; both
@@ -160,7 +160,8 @@ def predict_joint(fitted: DataFrame, models: DataFrame, events: Sequence[Event],
         "trailing_revenue", "trailing_spend", "total_revenue", "total_spend")
     future = (
         fitted.join(guards, list(keys))
-        .withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+        .withColumn("h", F.explode(F.sequence(
+            F.lit(1), F.lit(horizon) if horizon is not None else F.array_max("horizons").cast("int"))))
         .withColumn("ds", F.date_add("last_ds", F.col("h")))
     )
     u = F.datediff("ds", "first_ds") / F.col("span")

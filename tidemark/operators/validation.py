@@ -22,7 +22,8 @@ def training_folds(series: DataFrame, cutoffs: Sequence[str],
     """Each series once per cutoff, cut before it, carrying the actual revenue after it.
 
     The actuals are sums over the same window partition, so they need no join.
-    ``test_end`` (exclusive) replaces the end of every test window.
+    ``test_end`` (exclusive) replaces the end of every test window. A window that
+    runs past the last day of its series has no actual: it is not scored.
     """
     cuts = F.array(*(F.lit(c).cast("date") for c in cutoffs))
     folds = series.withColumn("cutoff", F.explode(cuts))
@@ -31,7 +32,8 @@ def training_folds(series: DataFrame, cutoffs: Sequence[str],
     for h in horizons:
         end = F.date_add("cutoff", h) if test_end is None else F.lit(test_end).cast("date")
         tested = (F.col("ds") >= F.col("cutoff")) & (F.col("ds") < end)
-        actuals[f"actual_{h}"] = F.sum(F.when(tested, F.col("revenue"))).over(w).cast("double")
+        complete = F.max("ds").over(w) >= F.date_sub(end, 1)
+        actuals[f"actual_{h}"] = F.when(complete, F.sum(F.when(tested, F.col("revenue"))).over(w)).cast("double")
     return folds.withColumns(actuals).where(F.col("ds") < F.col("cutoff"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import config as cfg
@@ -25,6 +25,13 @@ def load_features(spark: SparkSession, path: str,
     return table
 
 
+def plain_text(column: str, kind: str) -> Column:
+    """A number as plain decimal text, never in scientific notation."""
+    if kind == "double":
+        return F.regexp_replace(F.col(column).cast("decimal(38,4)").cast("string"), r"\.?0+$", "").alias(column)
+    return F.col(column).cast("string").alias(column)
+
+
 def save_predictions(predictions: DataFrame, path: str) -> None:
     """The ten prediction columns as CSV with a header."""
     predictions.select(*PREDICTION_COLUMNS).write.option("header", True).csv(path)
@@ -42,7 +49,7 @@ def predictions_compat(predictions: DataFrame, anomalies: DataFrame) -> DataFram
     An anomaly row carries its date, severity and magnitude in the revenue
     columns, which is why every column has to be text.
     """
-    rows = predictions.select(*(F.col(c).cast("string") for c in PREDICTION_COLUMNS))
+    rows = predictions.select(*(plain_text(c, t) for c, t in predictions.select(*PREDICTION_COLUMNS).dtypes))
     zero = F.lit("0")
     flagged = anomalies.select(
         zero.alias("window_days"), F.lit("anomaly").alias("level"),

@@ -13,7 +13,6 @@ import csv
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
-from fnmatch import fnmatchcase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,11 +147,16 @@ def located(spark: SparkSession, folder: str) -> list[tuple[cfg.Platform, str |
 
 # -- reading and normalising -----------------------------------------------------
 
-def read_ads_csv(spark: SparkSession, path: str, legacy_index: bool = False) -> tuple[DataFrame, Header]:
-    """All columns as text, named by position, with the header beside them."""
+def read_ads_csv(spark: SparkSession, path: str, legacy_index: bool = False,
+                 multi_line: bool = False) -> tuple[DataFrame, Header]:
+    """All columns as text, named by position, with the header beside them.
+
+    Quotes inside quoted fields are doubled and a backslash is an ordinary character.
+    ``multi_line=True`` also reads line breaks inside quotes; a file is then not split.
+    """
     header = read_header(spark, path, legacy_index)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header.names))])
-    data = spark.read.schema(schema).option("header", True).csv(path)
+    data = spark.read.schema(schema).options(header=True, quote='"', escape='"', multiLine=multi_line).csv(path)
     return data.drop(*(f"c{i}" for i in range(header.skipped))), header
 
 
@@ -292,9 +296,4 @@ def export_platform_layout(facts: DataFrame, folder: str, channel_of: dict[str,
         part = facts.where(F.col("channel") == channel_of[platform.channel])
         columns = [F.expr("monotonically_increasing_id()").alias("Unnamed: 0")]
         columns += [F.expr(e).alias(n) for n, e in layouts[platform.channel].items()]
-        part.select(columns).write.option("header", True).csv(f"{folder}/{platform.file_name}")
-
-
-def matches(name: str, platform: cfg.Platform) -> bool:
-    """Whether a source name would be accepted for a platform (exact or by pattern)."""
-    return name == platform.file_name or any(fnmatchcase(name, g) for g in platform.patterns)
+        part.select(columns).write.options(header=True, quote='"', escape='"').csv(f"{folder}/{platform.file_name}")
