@@ -123,7 +123,9 @@ def scored(rows: DataFrame, model: np.ndarray) -> DataFrame:
                 first = np.zeros(len(word), dtype=bool)
                 first[w.first[:-1][w.counts > 0]] = True
                 doc, n = w.doc(), w.counts
-                own = tuple(own_counts(doc, x) for x in (word, pair, history))
+                mine = own_counts(doc, word)
+                # the history is the word before: its own count is that token's, last word of the document included
+                own = (mine, own_counts(doc, pair), np.concatenate([mine[:1], mine[:-1]]))
                 in_target = chosen[block.lo : block.hi][doc].astype(np.float32)
                 each = []
                 for counted, total, by, part in ((target, totals[1], 1.0, in_target), (background, totals[0], scale, np.float32(1))):
