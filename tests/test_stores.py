@@ -40,21 +40,24 @@ def test_only_changed_slices_are_refitted(spark, make_series):
     days = {k: [(50 + r.random(), 5 + r.random()) for _ in range(120)] for k in ("all", "a", "b")}
     path = shared_folder(spark, "models")
     first = make_series(days)
-    model_store.save_models(fit_staged(first, EVENTS), path)
+    model_store.save_models(fit_staged(first, EVENTS), path, EVENTS)
     stored = model_store.load_models(spark, path)
-    assert model_store.stale_slices(first, stored).count() == 0
+    assert model_store.stale_slices(first, stored, EVENTS).count() == 0
     assert model_store.load_settings(stored) == cfg.ModelSettings()
 
     days["a"] = days["a"][:-1] + [(999.0, 5.0)]
     changed = make_series(days)
-    assert [x.entity for x in model_store.stale_slices(changed, stored).collect()] == ["a"]
+    assert [x.entity for x in model_store.stale_slices(changed, stored, EVENTS).collect()] == ["a"]
     table = {x.entity: x for x in model_store.refit_changed(changed, stored, EVENTS).collect()}
     direct = {x.entity: x for x in fit_staged(changed, EVENTS).collect()}
     assert set(table) == {"all", "a", "b"}
     assert all(table[k].total_revenue == direct[k].total_revenue and table[k].beta == pytest.approx(direct[k].beta)
                for k in table)
     other = cfg.ModelSettings(interval_width=0.9)
-    assert model_store.stale_slices(changed, stored, other).count() == 3
+    assert model_store.stale_slices(changed, stored, EVENTS, other).count() == 3
+    assert model_store.stale_slices(first, stored, list(reversed(EVENTS))).count() == 0
+    assert model_store.stale_slices(first, stored, EVENTS[1:]).count() == 3
+    assert model_store.stale_slices(first, stored, EVENTS, horizons=(30, 120)).count() == 3
 
 
 def test_fingerprint_ignores_row_order(make_series):

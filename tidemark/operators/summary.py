@@ -130,8 +130,8 @@ def data_profile(facts: DataFrame) -> DataFrame:
 
 
 def shared_campaign_names(facts: DataFrame, one: str, other: str) -> DataFrame:
-    """Campaign names that occur in both channels."""
+    """Campaign names that occur in both channels; each side shrinks to its names before it is shuffled."""
     def names(channel: str) -> DataFrame:
-        return facts.where(F.col("channel") == channel).select("campaign_name")
+        return facts.where(F.col("channel") == channel).select("campaign_name").distinct()
 
     return names(one).intersect(names(other))

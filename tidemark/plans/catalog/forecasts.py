@@ -178,7 +178,7 @@ FROM slices JOIN coef USING (level, entity)"""))
 def refit_changed(spark, folder):
     """Only the account and the channels are stored; the refit has to add the other slices."""
     path = shared_folder(spark, "models")
-    model_store.save_models(models_of(spark, folder, TOP_LEVELS), path)
+    model_store.save_models(models_of(spark, folder, TOP_LEVELS), path, EVENTS)
     table = model_store.refit_changed(
         series_of(spark, folder), model_store.load_models(spark, path), EVENTS)
     return rounded(table.select("level", "entity", "n_days", "trained_through", "beta", "y_sigma"),
@@ -190,7 +190,7 @@ def refit_changed(spark, folder):
     "WHERE eligible"))
 def train_models(spark, folder):
     path = shared_folder(spark, "models")
-    model_store.save_models(model_store.train_models(series_of(spark, folder, TOP_LEVELS), EVENTS), path)
+    model_store.save_models(model_store.train_models(series_of(spark, folder, TOP_LEVELS), EVENTS), path, EVENTS)
     return rounded(model_coefficients(model_store.load_models(spark, path)), 9, "coef")
 
 

@@ -14,7 +14,7 @@ from tidemark.sources import feature_store, model_store
 
 def _models(spark, folder):
     path = shared_folder(spark, "models")
-    model_store.save_models(models_of(spark, folder, TOP_LEVELS), path)
+    model_store.save_models(models_of(spark, folder, TOP_LEVELS), path, EVENTS)
     return model_store.load_models(spark, path)
 
 

@@ -157,7 +157,7 @@ SELECT level, entity, n_days, nonzero_days, last_ds AS trained_through, round(be
 FROM slices JOIN coef USING (level, entity)"""))
 def model_table(spark, folder):
     path = shared_folder(spark, "models")
-    model_store.save_models(models_of(spark, folder, TOP_LEVELS), path)
+    model_store.save_models(models_of(spark, folder, TOP_LEVELS), path, EVENTS)
     return model_store.load_models(spark, path).select(
         "level", "entity", "n_days", "nonzero_days", "trained_through",
         *(F.round(c, 6).alias(c) for c in ("beta", "y_sigma", "x_sigma")), "setting_interval_width")

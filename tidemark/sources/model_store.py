@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import asdict
 
@@ -13,17 +14,23 @@ from tidemark.operators.promo import Event
 from tidemark.operators.slice_model import fit_staged
 
 
-def with_settings(models: DataFrame, settings: cfg.ModelSettings) -> DataFrame:
-    """Add the hyperparameters and the last training day to every fitted slice."""
+def events_key(events: Sequence[Event]) -> str:
+    """Identity of an event calendar, whatever its order."""
+    return hashlib.sha256(repr(sorted(tuple(e) for e in events)).encode()).hexdigest()
+
+
+def with_settings(models: DataFrame, events: Sequence[Event], settings: cfg.ModelSettings) -> DataFrame:
+    """Add the hyperparameters, the key of the event calendar and the last training day to every fitted slice."""
     return models.withColumns({
+        "fitted_events": F.lit(events_key(events)),
         **{f"setting_{k}": F.lit(v).cast("double") for k, v in asdict(settings).items()},
         "trained_through": F.col("last_ds"),
     })
 
 
-def save_models(models: DataFrame, path: str,
+def save_models(models: DataFrame, path: str, events: Sequence[Event],
                 settings: cfg.ModelSettings = cfg.ModelSettings()) -> None:
-    with_settings(models, settings).write.mode("errorifexists").partitionBy("level").parquet(path)
+    with_settings(models, events, settings).write.mode("errorifexists").partitionBy("level").parquet(path)
 
 
 def load_models(spark: SparkSession, path: str) -> DataFrame:
@@ -49,27 +56,31 @@ def fingerprints(series: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64("ds", "revenue", "spend")).alias("fingerprint"))
 
 
-def _same_settings(settings: cfg.ModelSettings) -> Column:
-    same = F.lit(True)
+def _same_fit(events: Sequence[Event], settings: cfg.ModelSettings, horizons: Sequence[int]) -> Column:
+    same = (F.col("fitted_events") == events_key(events)) & (
+        F.col("horizons") == F.array(*(F.lit(int(h)) for h in horizons)))
     for k, v in asdict(settings).items():
         same = same & F.col(f"setting_{k}").eqNullSafe(F.lit(v).cast("double"))
     return same
 
 
-def stale_slices(series: DataFrame, stored: DataFrame,
-                 settings: cfg.ModelSettings = cfg.ModelSettings()) -> DataFrame:
-    """Slices without a stored fit of the same content and the same hyperparameters."""
-    fresh = stored.where(_same_settings(settings)).select(*cfg.SLICE, "fingerprint")
+def stale_slices(series: DataFrame, stored: DataFrame, events: Sequence[Event],
+                 settings: cfg.ModelSettings = cfg.ModelSettings(),
+                 horizons: Sequence[int] = cfg.HORIZONS) -> DataFrame:
+    """Slices without a stored fit of the same content, event calendar, hyperparameters and horizons."""
+    fresh = stored.where(_same_fit(events, settings, horizons)).select(*cfg.SLICE, "fingerprint")
     return fingerprints(series).join(fresh, [*cfg.SLICE, "fingerprint"], "left_anti").select(*cfg.SLICE)
 
 
 def refit_changed(series: DataFrame, stored: DataFrame, events: Sequence[Event],
-                  settings: cfg.ModelSettings = cfg.ModelSettings()) -> DataFrame:
+                  settings: cfg.ModelSettings = cfg.ModelSettings(),
+                  horizons: Sequence[int] = cfg.HORIZONS) -> DataFrame:
     """A complete model table: stored rows where nothing changed, new fits elsewhere."""
-    stale = stale_slices(series, stored, settings)
+    stale = stale_slices(series, stored, events, settings, horizons)
     refitted = with_settings(
-        fit_staged(series.join(stale, list(cfg.SLICE), "left_semi"), events, settings=settings), settings)
-    kept = stored.where(_same_settings(settings)).join(
+        fit_staged(series.join(stale, list(cfg.SLICE), "left_semi"), events, settings=settings, horizons=horizons),
+        events, settings)
+    kept = stored.where(_same_fit(events, settings, horizons)).join(
         fingerprints(series), [*cfg.SLICE, "fingerprint"], "left_semi")
     return kept.select(*refitted.columns).unionByName(refitted)
 
