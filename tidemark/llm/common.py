@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +27,24 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(setting, str(most))
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def giving_back(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, after which the memory of its task goes back to the system: Spark keeps Python workers for later stages."""
+    def whole(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")

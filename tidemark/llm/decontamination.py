@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import text as T
-from tidemark.llm.common import table
+from tidemark.llm.common import giving_back, table
 
 #: Benchmark bytes that one broadcast holds at most; a larger benchmark is scanned in several such blocks.
 BLOCK_BYTES = 32_000_000
@@ -126,7 +126,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_bytes: int =
     passes = []
     for ids, texts in _item_blocks(benchmark, block_bytes):
         grams = spark.sparkContext.broadcast(TestGrams(ids, texts, n))
-        passes.append(source.mapInArrow(_scanner(grams), SCAN.format(id=id_type)))
+        passes.append(source.mapInArrow(giving_back(_scanner(grams)), SCAN.format(id=id_type)))
     if len(passes) == 1:
         return passes[0]
     # several benchmark blocks: identical rows would meet in one group, so their number is carried along
@@ -192,7 +192,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFram
                 names=["doc_id", "text"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, text string")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), f"doc_id {id_type}, text string")
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import text as T
-from tidemark.llm.common import table
+from tidemark.llm.common import giving_back, table
 
 SLOTS = 1 << 16  # for trigrams, and as many again for words
 SCRIPTS = 16
@@ -106,7 +106,7 @@ def counts(docs: DataFrame) -> DataFrame:
                     sums[lang][2 * SLOTS :] += np.bincount(f.scripts[mine], minlength=SCRIPTS)
         yield from emptied()
 
-    rows = docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, "lang string, feature int, n long")
+    rows = docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(giving_back(run), "lang string, feature int, n long")
     return rows.groupBy("lang", "feature").agg(F.sum("n").alias("n"))
 
 
@@ -258,7 +258,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY, with_spans
     source = docs.select(*row, "doc_id", "text", held_out().alias("held_out"),
                          F.coalesce(F.col("text").rlike("[A-Za-z]"), F.lit(False)).alias("ascii"))
     schema = RESULT.format(id=id_type) + (f", doc {source.schema['doc'].dataType.simpleString()}" if with_rows else "")
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(giving_back(run), schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

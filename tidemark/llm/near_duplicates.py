@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import text as T
-from tidemark.llm.common import bounded, components, content_key, split_join, table, written
+from tidemark.llm.common import bounded, components, content_key, giving_back, split_join, table, written
 
 #: Cells of the frequency sketch, as powers of two, and slices that are added up in one task each.
 LEAST_BITS, MOST_BITS, SLICE_BITS = 16, 26, 6
@@ -128,8 +128,8 @@ def frequency_sketch(docs: DataFrame, k: int) -> Sketch:
             [pa.array(list(total), pa.int32()), pa.array([(x[::2] | (x[1::2] << 4)).tobytes() for x in levels], pa.binary())],
             names=["part", "levels"])
 
-    rows = docs.select("text").mapInArrow(count, "part int, gaps binary, n binary").repartition("part").mapInArrow(
-        add, "part int, levels binary").toArrow()
+    rows = docs.select("text").mapInArrow(giving_back(count), "part int, gaps binary, n binary").repartition("part").mapInArrow(
+        giving_back(add), "part int, levels binary").toArrow()
     packed = np.zeros((1 << SLICE_BITS, width // 2), dtype=np.uint8)
     for part, levels in zip(rows["part"].to_pylist(), rows["levels"].to_pylist(), strict=True):
         packed[part] = np.frombuffer(levels, dtype=np.uint8)
@@ -169,7 +169,7 @@ def signed_documents(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     names=["key", "doc_id", "n", "node", "prefix"])
 
     return docs.select(content_key().alias("key"), "doc_id", "text").mapInArrow(
-        run, f"key long, doc_id {id_type}, n long, node long, prefix array<long>")
+        giving_back(run), f"key long, doc_id {id_type}, n long, node long, prefix array<long>")
 
 
 class Tree:
@@ -309,7 +309,7 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
         F.collect_list(F.struct("pair", "side")).alias("tasks")), "shingle-pairs")
     dealt = _token_sets(docs, tasks, k)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = dealt.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(_pair_links(num, den), "a long, b long")
+    links = dealt.repartition(parts, "pair").sortWithinPartitions("pair").mapInArrow(giving_back(_pair_links(num, den)), "a long, b long")
     joined = components(links, "shingle-links")
     return _with_components(signed, joined)
 
@@ -332,7 +332,7 @@ def _token_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
                     names=["pair", "side", "node", "tokens"])
 
     texts = docs.select(content_key().alias("key"), "text").join(bounded(members, members.count()), "key")
-    return texts.select("text", "node", "tasks").mapInArrow(run, "pair long, side int, node long, tokens binary")
+    return texts.select("text", "node", "tasks").mapInArrow(giving_back(run), "pair long, side int, node long, tokens binary")
 
 
 def _with_components(signed: DataFrame, joined: DataFrame) -> DataFrame:

@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import text as T
-from tidemark.llm.common import table
+from tidemark.llm.common import giving_back, table
 
 LENGTH = 4096
 END_ID = 2
 POOL_TOKENS = 2_000_000
 #: Estimated cost of a piece of n tokens: n + n * n / QUADRATIC_AT (equal shares at QUADRATIC_AT tokens).
 QUADRATIC_AT = 2048
-#: Distinct words whose ids are remembered by one Python worker before the memory is emptied.
+#: Distinct words whose ids are remembered by one task before the memory is emptied.
 CACHE_WORDS = 500_000
 
 _LETTER = T._bytes_in((0x61, 0x7A))
@@ -107,14 +107,8 @@ class WordTokenizer:
         return ids, np.diff(upto)
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def tokenizer(path: str) -> WordTokenizer:
-    """One tokenizer, with its memory, for each Python worker."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    return WordTokenizer(path)
 
 
 def cost(n: np.ndarray | int) -> np.ndarray | float:
@@ -162,7 +156,7 @@ def packed(docs: DataFrame, tokenizer_path: str, room: int = LENGTH, end_id: int
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokenizer(tokenizer_path)
+        encoder = tokenizer(tokenizer_path)  # with its memory of words, for this task
         task = TaskContext.get().partitionId() << 33
         sequence = 0
         ids: list[np.ndarray] = []
@@ -198,7 +192,7 @@ def packed(docs: DataFrame, tokenizer_path: str, room: int = LENGTH, end_id: int
                     waiting = 0
         yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES.format(id=id_type))
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), PIECES.format(id=id_type))
 
 
 def public_path() -> str:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import text as T
-from tidemark.llm.common import bounded, content_key, split_join, written
+from tidemark.llm.common import bounded, content_key, giving_back, split_join, written
 
 #: Ranges that are broadcast at most, at 8 bytes each; with more, texts and ranges meet by shuffle.
 BROADCAST_RANGES = 4_000_000
@@ -54,7 +54,7 @@ def anchor_rows(docs: DataFrame, symbols: Symbols, window: int, gram: int, block
                     names=["key", "doc_id", "gram", "extent", "s", "n"])
 
     return docs.select(content_key().alias("key"), "doc_id", "text").mapInArrow(
-        run, f"key long, doc_id {id_type}, gram long, extent long, s int, n int")
+        giving_back(run), f"key long, doc_id {id_type}, gram long, extent long, s int, n int")
 
 
 def repeated_anchors(docs: DataFrame, symbols: Symbols, window: int, gram: int, across: bool, purpose: str,
@@ -138,4 +138,4 @@ def kept_parts(docs: DataFrame, ranges: DataFrame, window: int, words: bool, kee
     schema = f"doc_id {id_type}, total long, n_removed long, n_spans long, kept binary, null_text boolean"
     if keep:
         schema += f", doc {joined.schema['doc'].dataType.simpleString()}"
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(giving_back(run), schema)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import repeats
 from tidemark.llm import text as T
-from tidemark.llm.common import split_join, table, written
+from tidemark.llm.common import giving_back, split_join, table, written
 
 WINDOW = 50
 BLOCK = 25
@@ -50,7 +50,7 @@ def _windows(docs: DataFrame, spots: DataFrame, window: int) -> DataFrame:
                     [flat.field("ext").take(pa.array(place)), pa.array(offset.astype(np.int32)),
                      pa.array(T.signed(rolling.of(at, at + window)))], names=["ext", "o", "w"])
 
-    return repeats.texts_with(docs, spots).select("text", "spots").mapInArrow(run, "ext long, o int, w long")
+    return repeats.texts_with(docs, spots).select("text", "spots").mapInArrow(giving_back(run), "ext long, o int, w long")
 
 
 def ranges(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
