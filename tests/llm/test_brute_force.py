@@ -179,6 +179,37 @@ def test_lm_scoring_equals_brute_force(spark):
         assert got[i].score == pytest.approx(means[1] - means[0], abs=2e-4)
 
 
+def test_lm_counts_stay_exact_with_many_distinct_grams(spark):
+    """Words and pairs far beyond what a table of 2^20 or 2^21 slots keeps apart, in more than one chunk."""
+    rng = np.random.default_rng(3)
+    words = [[f"w{x}" for x in (rng.random(3000) ** 2 * 60_000).astype(int)] for _ in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(words)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(15)], "doc_id long, quality int, toxic int")
+    rows = lm_scoring.target_rows(docs, labels)
+    got = {r.doc_id: r for r in lm_scoring.scored(rows, lm_scoring.counts(rows, chunk_bytes=100_000)).collect()}
+    assert len(got) == len(words)
+    for i in (0, 14, 15, 39):
+        for some, loss in ((words[:15], got[i].target_loss), (words, got[i].background_loss)):
+            by = 1.0 if some is not words else 15 / 40
+            others = [ws for ws in some if ws is not words[i]]
+            uni = Counter(w for ws in others for w in ws)
+            pair = Counter(p for ws in others for p in zip(ws, ws[1:]))  # noqa: B905
+            total = sum(uni.values()) * by
+            expected = 0.0
+            for before, w in zip([None, *words[i]], words[i]):  # noqa: B905
+                p = (uni[w] * by + lm_scoring.SMOOTHING) / (total + lm_scoring.SMOOTHING * lm_scoring.WORDS)
+                if before is not None and uni[before]:
+                    p = lm_scoring.BIGRAM * pair[before, w] / uni[before] + (1 - lm_scoring.BIGRAM) * p
+                expected -= math.log(p)
+            assert loss == pytest.approx(expected / len(words[i]), abs=1e-9)
+
+
+def test_lm_totals_count_every_distinct_word(spark):
+    rows = spark.createDataFrame([(1, "One two 3", True), (2, "two four", False), (3, None, True), (4, "", False)],
+                                 "doc_id long, text string, target boolean")
+    assert lm_scoring.totals(rows, 5) == ((5, 3), 4)
+
+
 def one_of_each(docs):
     sets, kept = {}, {}
     for d in docs:

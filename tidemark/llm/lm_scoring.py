@@ -1,13 +1,16 @@
 """Cross-entropy difference: documents scored by two matched n-gram models over one vocabulary.
 
 The target model counts the documents labelled good and not toxic, the background model all documents; both have the
-same order (bigrams interpolated with unigrams), the same hashed vocabulary, the same smoothing, and background counts
+same order (bigrams interpolated with unigrams), the same vocabulary, the same smoothing, and background counts
 are scaled to the target's number of tokens. A token's loss difference is its background loss minus its target loss;
 a document's score is the mean over its tokens: the higher, the more it reads like the target. A document's own counts
 are left out of the models that score it, so that target documents have no advantage by having been counted.
 
-Counts are sums over the whole corpus: tasks add up their documents, then slices of the count tables meet by shuffle.
-The tables have fixed size (a model parameter), so the broadcast of the models is bounded.
+Counts are exact sums over the whole corpus of every word and pair of words (as 64-bit hashes), none dropped or merged.
+Documents are dealt into chunks by content. A chunk counts its distinct grams and sends them, packed by slices of the
+hash range; a slice adds up what all chunks sent and answers each chunk with the sums of its grams, in their order; the
+chunk, tokenised again, scores its documents. The numbers of chunks and slices grow with the text, so what a task
+holds is bounded; a gram goes to its slice once for each chunk, however common it is. Nothing is broadcast or collected.
 
 Words are runs of letters and digits, A-Z lower-cased, and of any non-ASCII characters.
 
@@ -19,6 +22,7 @@ minimum quality and maximum toxic; an empty table gives no rows; other columns a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,118 +30,191 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import text as T
-from tidemark.llm.common import table
+from tidemark.llm.common import content_key, table
 from tidemark.llm.quality import labelled
 
+#: Words of the smoothing's vocabulary at least; a corpus with more distinct words counts them.
 WORDS = 1 << 20
-PAIRS = 1 << 21
-SLICES = 96
+#: Text of a chunk of documents, and of the corpus for each slice of the hash range.
+CHUNK_BYTES = 4 << 20
 #: Weight of the bigram model where its history has been seen, against the unigram model.
 BIGRAM = 0.6
 SMOOTHING = 0.5
 
 
-def _tokens(block: T.Block) -> tuple[T.Words, np.ndarray, np.ndarray]:
-    """Words, slots of the words, and slots of the pairs (previous word or document start, word) behind them."""
-    w = T.words(block, T.ALNUM, lower=True)
-    h = w.hashes()
-    before = np.zeros_like(h)
-    before[1:] = h[:-1]
-    before[w.first[:-1][w.counts > 0]] = np.uint64(0x51ED270B)
-    pair = T.mix(h + T.mix(before))
-    return w, (h >> np.uint64(44)).astype(np.int64), (pair >> np.uint64(43)).astype(np.int64) + WORDS
+@dataclass
+class Models:
+    """What the grams of every chunk count in the whole corpus, and tokens (background, target) and vocabulary."""
 
+    chunks: int
+    answers: DataFrame  # (chunk, slice, sums)
+    tokens: tuple[int, int]
+    words: int
 
-def counts(rows: DataFrame) -> np.ndarray:
-    """Background and target counts of every slot: array of shape (2, WORDS + PAIRS)."""
+
+@dataclass
+class Grams:
+    """Tokens of a chunk's documents: distinct grams in order, and each token's word and pair as places among them."""
+
+    grams: np.ndarray
+    word: np.ndarray
+    pair: np.ndarray
+    first: np.ndarray  # the token opens its document
+    n: np.ndarray  # tokens of each document
+
+    def bounds(self, slices: int) -> np.ndarray:
+        """Slice i has the grams bounds[i] to bounds[i + 1]."""
+        return np.searchsorted(_slice(self.grams, slices), np.arange(slices + 1))
+
+
+def _slice(hashes: np.ndarray, slices: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
+
+
+def _grams(text: pa.ChunkedArray) -> Grams:
+    """A pair is the previous word, or the document start, and the word behind."""
+    words, pairs, firsts, counts = ([np.zeros(0, kind)] for kind in (np.uint64, np.uint64, bool, np.int64))
+    for block in T.blocks(text):
+        w = T.words(block, T.ALNUM, lower=True)
+        h = w.hashes()
+        first = np.zeros(len(h), dtype=bool)
+        first[w.first[:-1][w.counts > 0]] = True
+        before = np.zeros_like(h)
+        before[1:] = h[:-1]
+        before[first] = np.uint64(0x51ED270B)
+        for whole, part in ((words, h), (pairs, T.mix(h + T.mix(before))), (firsts, first), (counts, w.counts)):
+            whole.append(part)
+    word = np.concatenate(words)
+    grams, at = np.unique(np.concatenate([word, *pairs]), return_inverse=True)
+    return Grams(grams, at[: len(word)], at[len(word) :], np.concatenate(firsts), np.concatenate(counts))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Counts as planes of bytes behind the number of planes; planes of zeros take next to nothing once compressed."""
+    size = np.min_scalar_type(int(x.max(initial=0))).itemsize
+    return bytes([size]) + x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    size = data[0]
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=1).reshape(size, -1).T).view(f"<u{size}").ravel().astype(np.int64)
+
+
+def chunked(rows: DataFrame, chunks: int) -> DataFrame:
+    return rows.select("doc_id", "text", "target", F.pmod(content_key(), F.lit(chunks)).cast("int").alias("chunk"))
+
+
+def totals(rows: DataFrame, slices: int) -> tuple[tuple[int, int], int]:
+    """Tokens of the background and of the target, and the number of distinct words."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, WORDS + PAIRS), dtype=np.int64)
         for batch in batches:
             target = batch.column("target").to_numpy(zero_copy_only=False)
             for block in T.blocks(batch.column("text")):
-                w, word, pair = _tokens(block)
-                mine = np.repeat(target[block.lo : block.hi], w.counts)
-                for k, some in ((0, slice(None)), (1, mine)):
-                    for slots in (word[some], pair[some]):
-                        np.add.at(sums[k], slots, 1)
-        parts = sums.reshape(2 * SLICES, -1)
-        for i in np.flatnonzero(parts.any(axis=1)).tolist():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i], pa.int32()), pa.array([parts[i].astype(np.uint32).tobytes() if parts[i].max() < 2**32 else parts[i].tobytes()], pa.binary())],
-                names=["part", "sums"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        width = 2 * (WORDS + PAIRS) // (2 * SLICES)
-        for batch in batches:
-            for part, sums in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-                kind = np.uint32 if len(sums) == 4 * width else np.int64
-                total[part] = total.get(part, 0) + np.frombuffer(sums, dtype=kind).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())],
-            names=["part", "sums"])
-
-    schema = "part int, sums binary"
-    parts = rows.select("text", "target").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).toArrow()
-    out = np.zeros((2 * SLICES, (WORDS + PAIRS) // SLICES), dtype=np.float32)
-    for part, sums in zip(parts["part"].to_pylist(), parts["sums"].to_pylist(), strict=True):
-        out[part] = np.frombuffer(sums, dtype=np.float32)
-    return out.reshape(2, -1)
+                w = T.words(block, T.ALNUM, lower=True)
+                distinct = np.unique(w.hashes())
+                own = _slice(distinct, slices)
+                at = np.flatnonzero(np.diff(own, prepend=np.uint64(slices)))
+                sums = np.zeros((2, len(at)), dtype=np.int64)
+                if len(at):
+                    sums[:, 0] = w.counts.sum(), w.counts[target[block.lo : block.hi]].sum()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own[at].astype(np.int32)), pa.array(sums[0]), pa.array(sums[1]),
+                     pa.array([x.tobytes() for x in np.split(distinct, at[1:])][: len(at)], pa.binary())],
+                    names=["slice", "background", "target", "words"])
+
+    def add(group: pa.Table) -> pa.Table:
+        distinct = np.unique(np.frombuffer(b"".join(group["words"].to_pylist()), np.uint64))
+        return pa.table({c: [sum(group[c].to_pylist())] for c in ("background", "target")} | {"words": [len(distinct)]})
+
+    parts = rows.select("text", "target").mapInArrow(count, "slice int, background long, target long, words binary")
+    got = parts.groupBy("slice").applyInArrow(add, "background long, target long, words long").agg(
+        *(F.coalesce(F.sum(c), F.lit(0)) for c in ("background", "target", "words"))).first()
+    return (got[0], got[1]), got[2]
+
+
+def counts(rows: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Models:
+    """Exact background and target counts of every gram of the corpus, for every chunk that has it."""
+    chunks = slices = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // chunk_bytes
+
+    def ask(group: pa.Table) -> pa.Table:
+        g = _grams(group["text"])
+        mine = np.repeat(group["target"].to_numpy(), g.n)
+        sums = [np.bincount(g.word[some], minlength=len(g.grams)) + np.bincount(g.pair[some], minlength=len(g.grams))
+                for some in (slice(None), mine)]
+        at = g.bounds(slices)
+        full = np.flatnonzero(np.diff(at)).tolist()
+        return pa.table([
+            pa.array([i for i in full], pa.int32()), pa.array([group["chunk"][0].as_py()] * len(full), pa.int32()),
+            *(pa.array([f(x[at[i] : at[i + 1]]) for i in full], pa.binary())
+              for x, f in ((g.grams, np.ndarray.tobytes), (sums[0], _packed), (sums[1], _packed)))],
+            names=["slice", "chunk", "grams", "background", "target"])
+
+    def answer(group: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint64) for x in group["grams"].to_pylist()]
+        _, at = np.unique(np.concatenate(parts), return_inverse=True)
+        cuts = np.cumsum([len(x) for x in parts])[:-1]
+        sums = []
+        for side in ("background", "target"):
+            total = np.zeros(int(at.max()) + 1, dtype=np.int64)
+            np.add.at(total, at, np.concatenate([_unpacked(x) for x in group[side].to_pylist()]))
+            sums.append([_packed(x) for x in np.split(total[at], cuts)])
+        return pa.table([group["chunk"], group["slice"], *(pa.array(x, pa.binary()) for x in sums)],
+                        names=["chunk", "slice", "background", "target"])
+
+    asked = chunked(rows, chunks).groupBy("chunk").applyInArrow(
+        ask, "slice int, chunk int, grams binary, background binary, target binary")
+    answers = asked.groupBy("slice").applyInArrow(answer, "chunk int, slice int, background binary, target binary")
+    tokens, words = totals(rows, slices)
+    return Models(chunks, answers, tokens, max(WORDS, words))
 
 
 def own_counts(doc: np.ndarray, slot: np.ndarray) -> np.ndarray:
     """How often the slot of each token occurs in the token's document."""
     _, back, n = np.unique((doc.astype(np.int64) << 32) | slot, return_inverse=True, return_counts=True)
-    return n[back].astype(np.float32)
+    return n[back].astype(np.float64)
 
 
 def losses(table_: np.ndarray, total: np.ndarray, word: np.ndarray, pair: np.ndarray, history: np.ndarray, first: np.ndarray,
-           scale: float, own: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+           scale: float, own: tuple[np.ndarray, np.ndarray, np.ndarray], vocabulary: int) -> np.ndarray:
     """-log P of every token under one model without its own document; history: slot of the word before.
 
     total and own (counts of word, pair and history in the token's document) are given for every token.
     """
     words, pairs, before = (np.maximum(0, table_[at] - mine) * scale for at, mine in zip((word, pair, history), own, strict=True))
-    uni = (words + SMOOTHING) / (np.maximum(0, total) * scale + SMOOTHING * WORDS)
+    uni = (words + SMOOTHING) / (np.maximum(0, total) * scale + SMOOTHING * vocabulary)
     seen = np.where(first, 0.0, before)
     part = np.where(seen > 0, BIGRAM * np.minimum(1.0, pairs / np.maximum(seen, 1e-9)) + (1 - BIGRAM) * uni, uni)
     return -np.log(part)
 
 
-def scored(rows: DataFrame, model: np.ndarray) -> DataFrame:
+def scored(rows: DataFrame, model: Models) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every row."""
-    spark = rows.sparkSession
-    totals = model[:, :WORDS].sum(axis=1, dtype=np.float64)
-    shared = spark.sparkContext.broadcast(model)
-    scale = float(totals[1] / totals[0]) if totals[0] and totals[1] else 1.0
+    totals_, vocabulary = model.tokens, model.words
+    scale = totals_[1] / totals_[0] if totals_[0] and totals_[1] else 1.0
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        background, target = shared.value
-        for batch in batches:
-            chosen = batch.column("target").to_numpy(zero_copy_only=False)
-            for block in T.blocks(batch.column("text")):
-                w, word, pair = _tokens(block)
-                history = np.zeros_like(word)
-                history[1:] = word[:-1]
-                first = np.zeros(len(word), dtype=bool)
-                first[w.first[:-1][w.counts > 0]] = True
-                doc, n = w.doc(), w.counts
-                mine = own_counts(doc, word)
-                # the history is the word before: its own count is that token's, last word of the document included
-                own = (mine, own_counts(doc, pair), np.concatenate([mine[:1], mine[:-1]]))
-                in_target = chosen[block.lo : block.hi][doc].astype(np.float32)
-                each = []
-                for counted, total, by, part in ((target, totals[1], 1.0, in_target), (background, totals[0], scale, np.float32(1))):
-                    loss = losses(counted, total - n[doc] * part, word, pair, history, first, by, tuple(x * part for x in own))
-                    each.append(np.bincount(doc, weights=loss, minlength=len(block)) / np.maximum(1, n))
-                none = n == 0
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(block.lo, len(block)), pa.array(n.astype(np.int64)), pa.array(each[0], mask=none),
-                     pa.array(each[1], mask=none), pa.array(each[1] - each[0], mask=none)],
-                    names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return rows.select("doc_id", "text", "target").mapInArrow(
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        g = _grams(docs["text"])
+        answers = answers.sort_by("slice")
+        background, target = (np.concatenate([np.zeros(0, np.int64), *map(_unpacked, answers[c].to_pylist())]).astype(np.float64)
+                              for c in ("background", "target"))
+        history = np.zeros_like(g.word)
+        history[1:] = g.word[:-1]
+        n = g.n
+        doc = np.repeat(np.arange(len(n)), n)
+        mine = own_counts(doc, g.word)
+        # the history is the word before: its own count is that token's, last word of the document included
+        own = (mine, own_counts(doc, g.pair), np.concatenate([mine[:1], mine[:-1]]))
+        in_target = docs["target"].to_numpy()[doc].astype(np.float64)
+        each = []
+        for counted, total, by, part in ((target, totals_[1], 1.0, in_target), (background, totals_[0], scale, 1.0)):
+            loss = losses(counted, total - n[doc] * part, g.word, g.pair, history, g.first, by, tuple(x * part for x in own), vocabulary)
+            each.append(np.bincount(doc, weights=loss, minlength=len(n)) / np.maximum(1, n))
+        none = n == 0
+        return pa.table([docs["doc_id"], pa.array(n), pa.array(each[0], mask=none), pa.array(each[1], mask=none),
+                         pa.array(each[1] - each[0], mask=none)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    return chunked(rows, model.chunks).groupBy("chunk").cogroup(model.answers.groupBy("chunk")).applyInArrow(
         run, f"doc_id {id_type}, n_tokens long, target_loss double, background_loss double, score double")
 
 
