@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import catalog, lm_scoring, quality
+from tidemark.llm import catalog, lm_scoring, packing, quality
 from tidemark.llm.common import table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -101,6 +101,17 @@ def test_packing_is_a_round_trip(spark, docs, tokens):
     assert len(pieces) == len(docs) and used >= 0.99 * padded
 
 
+def test_packing_of_texts_with_added_tokens_is_a_round_trip(spark, tokens):
+    texts = ["one <|endoftext|> two", "<|startoftext|>", "a<|endoftext|>b", "a<|ENDOFTEXT|>b", "<<|endoftext|>>!", "<|endoftext|><|endoftext|>x",
+             "It<|endoftext|>'s", "é<|startoftext|>\u0301 z", "<|endof<|endoftext|>text|>", "ends in <|endof", "text|> begins", "endoftext", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {p.doc_id: [] for p in docs.collect()}
+    for p in sorted(packing.packed(docs, packing.public_path()).collect(), key=lambda p: p.start):
+        got[p.doc_id] += p.ids
+    assert got == {i: tokens(text) for i, text in enumerate(texts)}
+    assert got[0] == [637, 49407, 1237, 2]
+
+
 def test_expectation_maximisation_equals_one_vote_at_a_time():
     rng = np.random.default_rng(5)
     truth = rng.random(300) < 0.3

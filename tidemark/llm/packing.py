@@ -16,6 +16,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -45,16 +46,29 @@ class WordTokenizer:
 
     The vocabulary's rules drop white space and never join across it, lower-case everything, and end a token between
     an ASCII letter and an ASCII sign other than an apostrophe (contractions). Text is cut at these places into
-    words; each distinct word is encoded once and remembered.
+    words; each distinct word is encoded once and remembered. A literal occurrence of an added token is a word of its own.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.encoder.encode_special_tokens = True
+        added = self.encoder.get_added_tokens_decoder().values()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("added tokens that are not found literally are not supported")
+        # of several that begin at one place the encoder takes the longest
+        texts = sorted((t.content.encode() for t in added if t.content), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, texts)) or b"(?!)")
         self.forget()
 
+    def _added(self, block: T.Block) -> list[tuple[int, int]]:
+        """Byte ranges of added tokens, each inside one document."""
+        data = block.raw.tobytes()
+        if not self.added.search(data):
+            return []
+        at = block.at.tolist()
+        return [m.span() for a, b in zip(at, at[1:]) for m in self.added.finditer(data, a, b)]  # noqa: B905
+
     def forget(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)
         self.at = np.zeros(0, dtype=np.int64)
@@ -83,6 +97,11 @@ class WordTokenizer:
         cut = np.zeros(n + 1, dtype=bool)  # a word may not go on across this place
         cut[1:n] = (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
         cut[block.at] = True
+        for a, b in self._added(block):
+            raw[a:b] = block.raw[a:b]
+            inside[a:b] = True
+            cut[a : b + 1] = False
+            cut[[a, b]] = True
         starts = inside & (cut[:n] | ~np.concatenate([[False], inside[:-1]]))
         ends = inside & (cut[1:] | ~np.concatenate([inside[1:], [False]]))
         start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
