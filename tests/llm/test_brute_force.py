@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -149,6 +150,27 @@ def test_quality_of_documents_whose_labels_are_held_out(spark):
     assert all(r.kept == (r.quality >= 0.5) and 0 <= r.quality <= 1 for r in got)
 
 
+def test_toxic_documents_of_every_language_are_found_without_their_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = table(spark, folder, "labels")
+    docs = table(spark, folder, "documents")
+    rows = quality.labelled(docs, labels.where("crc32(cast(doc_id as string)) % 4 <> 2"))
+    got = quality.scored(rows, quality.train(rows)).join(
+        labels.where("crc32(cast(doc_id as string)) % 4 = 2 and toxic = 1"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    for lang in ("de", "en", "es", "fr"):
+        kept = [r.kept for r in got if r.lang == lang]
+        assert len(kept) > 10 and sum(kept) <= 0.3 * len(kept)
+
+
+def test_learnt_words_leave_out_the_document_judged(spark):
+    docs = [(i, "bad word", 1) for i in range(3)] + [(i, "fine word", 0) for i in range(3, 63)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    lexicon = quality.toxic_words(rows)
+    (block,) = quality.T.blocks(pa.array(["bad word", "bad word", "fine word"]))
+    assert len(lexicon.words) == 1 and lexicon.documents == (3, 60)
+    assert lexicon.hits(quality.style(block), np.array([-1, 1, 0])).tolist() == [1, 0, 0]
+
+
 def test_lm_scoring_equals_brute_force(spark):
     good = ["the river runs to the sea", "a quiet river meets the sea at night", "the sea is quiet"]
     other = ["buy now buy now", "the offer ends at night buy the offer", "river", "", "sea sea sea sea"]

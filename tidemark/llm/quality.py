@@ -8,7 +8,12 @@ Two properties are judged: `fit` (prose rather than junk) and `toxic`. For each,
 3. a linear scorer over hashed words and style figures is trained on posteriors of a bounded sample
    (`SAMPLE` documents with the least key hashes and as many with a labels row), and scores every document.
 
-A document's quality is P(fit) * (1 - P(toxic)), each probability the mean of posterior and scorer; it is kept from 0.5.
+Words of abuse in any language are learnt: those far more frequent in documents labelled toxic than in others (Spark
+counts over all labelled documents); a labelled document is left out of the counts by which it is judged itself. Word
+labellers that find nothing abstain.
+
+A document's quality is P(fit) * (1 - P(toxic)), each probability the mean of posterior and scorer; where all labellers
+of toxicity abstain the scorer alone decides. It is kept from 0.5.
 
 Defined cases: null text is empty text: no words, all style labellers vote against it or abstain, and it is scored like
 any other; repeated rows get one row each with equal values; several labels rows of a doc_id count by their minimum
@@ -38,7 +43,10 @@ ABUSE = ("clown", "disgusting", "dumb", "filthy", "garbage", "hate", "idiot", "i
 STYLE = ("signs", "capitals", "bars", "exclaims", "word_length", "short_words", "words", "repeated_words", "abuse", "abuse_kinds",
          "sign_runs", "marks", "echoes")
 FIT = ("echoes", "signs", "sign_runs", "marks", "capitals", "bars", "shouting", "usual_words", "function_words", "length", "varied", "labels")
-TOXIC = ("any_abuse", "several_abuses", "dense_abuse", "labels")
+TOXIC = ("any_abuse", "several_abuses", "dense_abuse", "learnt_word", "learnt_words", "labels")
+#: A learnt word is in so many toxic documents at least, and so many times as frequent there as in others.
+LEARNT_DOCUMENTS = 3
+LEARNT_RATIO = 16
 _ALPHA = T._bytes_in((0x61, 0x7A), (0x80, 0xFF))
 _SIGN = ~T._bytes_in((0x09, 0x0D), (0x20, 0x20), (0x2C, 0x2E), (0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 
@@ -50,6 +58,7 @@ class Style:
     values: np.ndarray
     slots: np.ndarray
     at: np.ndarray
+    words: np.ndarray  # hashes, as slots
 
 
 def _abuse_hashes() -> np.ndarray:
@@ -98,11 +107,62 @@ def style(block: T.Block) -> Style:
         1 - np.bincount(distinct_doc, minlength=n) / some, word_sum(found), np.bincount(distinct_doc[kinds], minlength=n),
         per_doc(runs) / some, per_doc(signs) / some, word_sum(echo) / some,
     ], axis=1)
-    return Style(values, (distinct >> np.uint64(48)).astype(np.int32), np.searchsorted(distinct_doc, np.arange(n + 1)))
+    return Style(values, (distinct >> np.uint64(48)).astype(np.int32), np.searchsorted(distinct_doc, np.arange(n + 1)), distinct)
+
 
+@dataclass
+class ToxicWords:
+    """Learnt words in order, their numbers of toxic and other labelled documents, and how many there are of these."""
 
-def votes(s: np.ndarray, quality: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Votes (0 no, 1 yes, 2 abstain) of all labellers of FIT and TOXIC; quality and toxic: -1 where there is no label."""
+    words: np.ndarray
+    toxic: np.ndarray
+    other: np.ndarray
+    documents: tuple[int, int]
+
+    def hits(self, s: Style, label: np.ndarray) -> np.ndarray:
+        """Learnt words in each document, by the counts without it; label: 1 toxic, 0 other, -1 none."""
+        n = len(s.at) - 1
+        doc = np.repeat(np.arange(n), np.diff(s.at))
+        if not len(self.words):
+            return np.zeros(n, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.words, s.words), len(self.words) - 1)
+        found = self.words[at] == s.words
+        doc, at = doc[found], at[found]
+        mine, own = label[doc] == 1, label[doc] == 0
+        toxic, other = self.toxic[at] - mine, self.other[at] - own
+        enough = (toxic >= LEARNT_DOCUMENTS) & (
+            (toxic + 0.5) * (self.documents[1] - own + 1) >= LEARNT_RATIO * (other + 0.5) * (self.documents[0] - mine + 1))
+        return np.bincount(doc[enough], minlength=n)
+
+
+def toxic_words(rows: DataFrame) -> ToxicWords:
+    """All words that some document may count as learnt."""
+    known = rows.where("toxic >= 0")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label = batch.column("toxic").to_numpy()
+            for block in T.blocks(batch.column("text")):
+                s = style(block)
+                bad = np.repeat(label[block.lo : block.hi] == 1, np.diff(s.at))
+                words, at = np.unique(s.words, return_inverse=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(T.signed(words)), *(pa.array(np.bincount(at[x], minlength=len(words))) for x in (bad, ~bad))],
+                    names=["word", "n_toxic", "n_other"])
+
+    n = known.agg(*(F.coalesce(F.sum((F.col("toxic") == x).cast("long")), F.lit(0)) for x in (1, 0))).first()
+    # the bounds of ToxicWords.hits for a document of the other kind, which is left out of n_other
+    got = known.select("text", "toxic").mapInArrow(count, "word long, n_toxic long, n_other long").groupBy("word").agg(
+        F.sum("n_toxic").alias("t"), F.sum("n_other").alias("o")).where(
+        (F.col("t") >= LEARNT_DOCUMENTS)
+        & ((F.col("t") + 0.5) * F.lit(n[1] + 1) >= LEARNT_RATIO * (F.greatest(F.col("o") - 1, F.lit(0)) + 0.5) * F.lit(n[0]))).toArrow()
+    words = got["word"].to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    return ToxicWords(words[order], got["t"].to_numpy()[order], got["o"].to_numpy()[order], (n[0], n[1]))
+
+
+def votes(s: np.ndarray, quality: np.ndarray, toxic: np.ndarray, learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Votes (0 no, 1 yes, 2 abstain) of all labellers of FIT and TOXIC; quality and toxic: -1 where there is no label; learnt: learnt words."""
     signs, capitals, bars, exclaims, length, short, words, repeated, abuse, kinds, runs, marks, echoes = s.T
     never = np.zeros(len(s), dtype=bool)
 
@@ -117,7 +177,8 @@ def votes(s: np.ndarray, quality: np.ndarray, toxic: np.ndarray) -> tuple[np.nda
         vote(short > 0.15, short < 0.01), vote(words > np.log1p(50), never), vote(repeated < 0.6, repeated > 0.9), known,
     ], axis=1)
     bad = np.stack([
-        vote(abuse > 0, abuse == 0), vote(kinds > 1, never), vote(abuse > 0.01 * np.expm1(words), never),
+        vote(abuse > 0, never), vote(kinds > 1, never), vote(abuse > 0.01 * np.expm1(words), never),
+        vote(learnt > 0, never), vote(learnt > 2, never),
         np.where(toxic < 0, 2, toxic)], axis=1)
     return fit, bad
 
@@ -212,13 +273,16 @@ def _known(batch: pa.RecordBatch, block: T.Block) -> tuple[np.ndarray, np.ndarra
     return tuple(batch.column(c).to_numpy()[block.lo : block.hi] for c in ("quality", "toxic"))
 
 
-def vote_patterns(rows: DataFrame) -> DataFrame:
+def vote_patterns(rows: DataFrame, lexicon: ToxicWords) -> DataFrame:
     """(kind, votes, n): number of documents with each combination of votes."""
+    shared = rows.sparkSession.sparkContext.broadcast(lexicon)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, str], int] = {}
         for batch in batches:
             for block in T.blocks(batch.column("text")):
-                for kind, v in zip(("fit", "toxic"), votes(style(block).values, *_known(batch, block)), strict=True):
+                s, known = style(block), _known(batch, block)
+                for kind, v in zip(("fit", "toxic"), votes(s.values, *known, shared.value.hits(s, known[1])), strict=True):
                     patterns, n = np.unique(v, axis=0, return_counts=True)
                     for row, k in zip(patterns, n.tolist(), strict=True):
                         key = (kind, "".join(map(str, row)))
@@ -237,10 +301,13 @@ class QualityModel:
     toxic: LabelModel
     fit_scorer: Scorer
     toxic_scorer: Scorer
+    lexicon: ToxicWords
 
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> QualityModel:
-    got = vote_patterns(rows).toArrow().to_pandas()
+    lexicon = toxic_words(rows)
+    shared = rows.sparkSession.sparkContext.broadcast(lexicon)
+    got = vote_patterns(rows, lexicon).toArrow().to_pandas()
     models = []
     for kind, width, start in (("fit", len(FIT), _starts_fit), ("toxic", len(TOXIC), _starts_toxic)):
         some = got[got["kind"] == kind]
@@ -256,22 +323,23 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> QualityModel:
                 q, t = _known(batch, block)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(list(s.values), pa.list_(pa.float64())),
-                     pa.array(q), pa.array(t)], names=["slots", "style", "quality", "toxic"])
+                     pa.array(q), pa.array(t), pa.array(shared.value.hits(s, t))], names=["slots", "style", "quality", "toxic", "learnt"])
 
     # text of the sample stays on the executors; the driver gets its features
     data = chosen.select("text", "quality", "toxic").mapInArrow(
-        featured, "slots binary, style array<double>, quality int, toxic int").toArrow()
+        featured, "slots binary, style array<double>, quality int, toxic int, learnt long").toArrow()
     parts = [np.frombuffer(x, dtype=np.int32) for x in data["slots"].to_pylist()]
     s = Style(np.array(data["style"].to_pylist(), dtype=np.float64).reshape(-1, len(STYLE)),
-              np.concatenate(parts) if parts else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64))
+              np.concatenate(parts) if parts else np.zeros(0, np.int32), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64),
+              np.zeros(0, np.uint64))
     if not len(parts):
         s.values = np.zeros((1, len(STYLE)))
         s.at = np.zeros(2, dtype=np.int64)
-        v = votes(s.values, np.array([-1]), np.array([-1]))
+        v = votes(s.values, np.array([-1]), np.array([-1]), np.array([0]))
     else:
-        v = votes(s.values, data["quality"].to_numpy(), data["toxic"].to_numpy())
+        v = votes(s.values, data["quality"].to_numpy(), data["toxic"].to_numpy(), data["learnt"].to_numpy())
     scorers = [train_scorer(s, m.posterior(x)) for m, x in zip(models, v, strict=True)]
-    return QualityModel(*models, *scorers)
+    return QualityModel(*models, *scorers, lexicon)
 
 
 def scored(rows: DataFrame, model: QualityModel) -> DataFrame:
@@ -285,11 +353,13 @@ def scored(rows: DataFrame, model: QualityModel) -> DataFrame:
         for batch in batches:
             for block in T.blocks(batch.column("text")):
                 s = style(block)
-                fit, toxic = votes(s.values, *_known(batch, block))
+                known = _known(batch, block)
+                fit, toxic = votes(s.values, *known, m.lexicon.hits(s, known[1]))
                 sides = []
                 for x, labels, scorer in ((fit, m.fit, m.fit_scorer), (toxic, m.toxic, m.toxic_scorer)):
                     sides += [labels.posterior(x), 1 / (1 + np.exp(-np.clip(scorer.logit(s), -30, 30)))]
-                quality = (sides[0] + sides[1]) / 2 * (1 - (sides[2] + sides[3]) / 2)
+                toxicity = np.where((toxic == 2).all(axis=1), sides[3], (sides[2] + sides[3]) / 2)
+                quality = (sides[0] + sides[1]) / 2 * (1 - toxicity)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(block.lo, len(block)), *(pa.array(x) for x in [*sides, quality]), pa.array(quality >= 0.5)],
                     names=["doc_id", *names, "kept"])
