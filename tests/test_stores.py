@@ -104,3 +104,10 @@ def test_no_cross_joins_in_the_catalog(spark):
     for key in ("walk_forward", "marginal_roas_curve", "uplift_vs_baseline", "campaign_summary", "micros_to_usd"):
         text = plan(QUERIES[key](spark, FOLDER))
         assert "Cartesian" not in text and "NestedLoop" not in text, key
+
+
+def test_queries_without_sql_cover_all_levels(spark):
+    from tidemark.plans.catalog import QUERIES
+    for key in ("predictions_compat", "interval_monte_carlo_path"):
+        found = {r.level for r in QUERIES[key](spark, "/root/testdata/sf0.001").select("level").distinct().collect()}
+        assert {"aggregate", "channel", "campaign_type", "campaign"} <= found

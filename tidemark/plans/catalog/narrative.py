@@ -3,6 +3,7 @@ because several sections use them."""
 
 from __future__ import annotations
 
+from tidemark import config as cfg
 from tidemark.operators import anomalies as A
 from tidemark.operators import narrative as N
 from tidemark.operators.forecast import forecast
@@ -12,9 +13,9 @@ from tidemark.session import shared_folder
 from tidemark.sources import feature_store, model_store
 
 
-def _models(spark, folder):
+def _models(spark, folder, levels=TOP_LEVELS):
     path = shared_folder(spark, "models")
-    model_store.save_models(models_of(spark, folder, TOP_LEVELS), path, EVENTS)
+    model_store.save_models(models_of(spark, folder, levels), path, EVENTS)
     return model_store.load_models(spark, path)
 
 
@@ -54,6 +55,6 @@ def prompt_table(spark, folder):
 @query("predictions_compat")
 def predictions_compat(spark, folder):
     from tidemark.operators.forecast import prediction_table
-    models = _models(spark, folder)
+    models = _models(spark, folder, cfg.LEVELS)
     table = prediction_table(models, forecast(models, EVENTS))
     return feature_store.predictions_compat(table, A.top(_anomalies(spark, folder), 20))
