@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from tidemark.llm import (
-    decontamination, embedding_dedup, language, licenses, lm_scoring, near_duplicates, packing, quality,
-    substring_dedup, suffix_dedup,
+    byte_bpe, centroids, decontamination, embedding_dedup, language, licenses, lm_scoring, near_duplicates, packing, quality,
+    substring_dedup, suffix_dedup, whitening,
 )
 
 _QUERIES = {
@@ -18,6 +18,9 @@ _QUERIES = {
     "op8_packing": (packing.query, packing.SQL),
     "op9_substring_dedup": (substring_dedup.query, substring_dedup.SQL),
     "op10_lm_scoring": (lm_scoring.query, lm_scoring.SQL),
+    "op11_byte_bpe": (byte_bpe.query, byte_bpe.SQL),
+    "op12_embedding_whitening": (whitening.query, whitening.SQL),
+    "op13_centroid_clustering": (centroids.query, centroids.SQL),
 }
 
 QUERIES = {name: run for name, (run, _) in _QUERIES.items()}
