@@ -17,7 +17,7 @@ from tidemark.operators import budget as B
 from tidemark.operators import forecast as FC
 from tidemark.operators import joint_model as J
 from tidemark.operators import narrative as N
-from tidemark.operators import promo
+from tidemark.operators import promo, sampling
 from tidemark.operators import summary as M
 from tidemark.operators import validation as V
 from tidemark.operators.series import daily_series, daily_totals, densify
@@ -263,18 +263,66 @@ def test_sampled_bounds_resemble_the_analytic_ones(make_series):
     days = [(math.exp(5 + 0.2 * r.gauss(0, 1)), 10 + r.random()) for _ in range(300)]
     models = fit_staged(make_series({"all": days}), EVENTS)
     analytic = {x.window_days: x for x in FC.forecast(models, EVENTS, floor=False).collect()}
-    daily = FC.predict_daily(models, EVENTS)
-    sampled = {x.window_days: x for x in FC.sampled_windows(
-        daily, settings=cfg.ModelSettings(uncertainty_samples=2000)).collect()}
-    again = {x.window_days: x for x in FC.sampled_windows(
-        daily.repartition(5), settings=cfg.ModelSettings(uncertainty_samples=2000)).collect()}
-    paths = {x.window_days: x for x in FC.sampled_windows(daily, interval="path").collect()}
+    many = cfg.ModelSettings(uncertainty_samples=2000)
+    sampled = {x.window_days: x for x in FC.forecast(models, EVENTS, settings=many, floor=False, interval="sum").collect()}
+    daily = FC.predict_daily(models, EVENTS, settings=many).repartition(5)
+    again = {x.window_days: x for x in FC.ranges(daily, many, floor=False, interval="sum").collect()}
+    paths = {x.window_days: x for x in FC.ranges(daily, many, floor=False, interval="path").collect()}
     for d in cfg.HORIZONS:
-        assert sampled[d].revenue_upper == pytest.approx(analytic[d].revenue_upper, rel=0.03)
+        for m in ("revenue", "spend"):
+            for b in ("lower", "upper"):
+                assert sampled[d][f"{m}_{b}"] == pytest.approx(analytic[d][f"{m}_{b}"], rel=0.03)
+            # summed quantiles assume days that move together, so whole paths are narrower
+            assert sampled[d][f"{m}_lower"] < paths[d][f"{m}_lower"] < paths[d][f"{m}_upper"] < sampled[d][f"{m}_upper"]
         assert sampled[d].revenue_upper == pytest.approx(again[d].revenue_upper, rel=1e-12)
-        # summed quantiles assume days that move together, so whole paths are narrower
-        assert paths[d].revenue_upper < sampled[d].revenue_upper
         assert sampled[d].revenue_point == pytest.approx(analytic[d].revenue_point, rel=1e-9)
+        assert sampled[d].roas_lower == pytest.approx(analytic[d].roas_lower, rel=1e-9)
+
+
+def test_trend_changes_widen_paths_and_single_days(make_series):
+    models = fit_staged(make_series({"all": loglog(400)}), EVENTS).withColumn("y_slope", F.lit(0.02))
+    width = {}
+    for changes in (0.0, 40.0):
+        settings = cfg.ModelSettings(uncertainty_samples=200, trend_changes=changes)
+        for interval in ("sum", "path"):
+            row = FC.forecast(models, EVENTS, settings=settings, floor=False, interval=interval).where("window_days = 90").head()
+            width[interval, changes] = row.revenue_upper - row.revenue_lower
+    assert width["path", 40.0] > 1.2 * width["path", 0.0] and width["sum", 40.0] > 1.05 * width["sum", 0.0]
+
+
+def test_days_beyond_the_draws_are_an_error(make_series):
+    models = fit_staged(make_series({"all": loglog(200)}), EVENTS, horizons=(30, 120))
+    with pytest.raises(Exception, match="beyond the days"):
+        FC.forecast(models, EVENTS, interval="sum").collect()
+    assert FC.forecast(models, EVENTS, interval="path", days=120).count() == 2
+    with pytest.raises(ValueError, match="interval"):
+        FC.forecast(models, EVENTS, interval="none")
+
+
+def test_draws_are_what_they_should_be(spark):
+    settings = cfg.ModelSettings(uncertainty_samples=4000)
+    rows = sampling.draws(spark, 2, settings).collect()
+    for r in rows:
+        for m in sampling.METRICS:
+            noise, bend, size = (np.array(r[f"{m}_{c}"]) for c in ("noise", "bend", "size"))
+            assert abs(noise.mean()) < 0.06 and abs(noise.std() - 1) < 0.05
+            assert 0 < bend.min() and bend.max() < 1 and abs(bend.mean() - 0.5) < 0.03
+            assert abs(np.abs(size).mean() - 1) < 0.08 and abs((size > 0).mean() - 0.5) < 0.04
+    assert abs(np.corrcoef(rows[0].revenue_noise, rows[1].revenue_noise)[0, 1]) < 0.06
+
+
+def test_quantile_of_sorted_values(spark):
+    values = [1.0, 2.0, 4.0, 8.0]
+    row = spark.range(1).select(*(sampling.quantile(F.array(*map(F.lit, values)), q, 4).alias(str(q)) for q in (0.0, 0.1, 0.5, 1.0))).head()
+    assert list(row) == pytest.approx([np.percentile(values, 100 * q) for q in (0.0, 0.1, 0.5, 1.0)])
+
+
+def test_forecast_without_the_spend_regressor(loglog_models):
+    plain = cfg.ModelSettings(use_spend_regressor=False)
+    with_, without = (FC.predict_daily(loglog_models, EVENTS, settings=s).where("entity = 'a' and h = 1").head()
+                      for s in (cfg.ModelSettings(), plain))
+    assert with_.beta != 0 and without.beta == 0 and without.y_sigma > with_.y_sigma
+    assert without.spend_yhat == with_.spend_yhat
 
 
 # -- joint model -----------------------------------------------------------------------

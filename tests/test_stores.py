@@ -108,6 +108,6 @@ def test_no_cross_joins_in_the_catalog(spark):
 
 def test_queries_without_sql_cover_all_levels(spark):
     from tidemark.plans.catalog import QUERIES
-    for key in ("predictions_compat", "interval_monte_carlo_path"):
+    for key in ("predictions_compat", "interval_monte_carlo_joint"):
         found = {r.level for r in QUERIES[key](spark, "/root/testdata/sf0.001").select("level").distinct().collect()}
         assert {"aggregate", "channel", "campaign_type", "campaign"} <= found

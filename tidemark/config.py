@@ -110,6 +110,9 @@ class ModelSettings:
     seasonality_scale: float = 10.0
     shrinkage: float = 5.0
     cap_elasticity: float | None = None
+    use_spend_regressor: bool = True
+    #: Slope changes that sampled intervals expect over a span as long as the training days.
+    trend_changes: float = 0.0
     seed: int = 42
     min_calendar_days: int = MIN_CALENDAR_DAYS
     min_nonzero_days: int = MIN_NONZERO_DAYS

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark import config as cfg
 from tidemark.functions import scalars as S
+from tidemark.operators import sampling
 from tidemark.operators.promo import Event, with_event
 
 CELLS = tuple(f"{m}_{b}" for m in ("revenue", "spend", "roas") for b in ("lower", "point", "upper"))
@@ -48,9 +49,17 @@ def predict_daily(models: DataFrame, events: Sequence[Event],
     """Daily log-scale predictions with bands for revenue and spend.
 
     ``budget`` names a column with the assumed daily spend; where it is NULL (or
-    not given) the slice's historical average spend drives revenue.
+    not given) the slice's historical average spend drives revenue. Without the spend
+    regressor revenue follows its own stages only, with the spread they leave.
+    ``trend_changes`` adds what sampled intervals need to simulate changes of slope.
     """
     future = with_event(future_days(models, horizon), events)
+    if not settings.use_spend_regressor:
+        future = future.withColumns({"beta": F.lit(0.0), "y_sigma": F.col("stages_sigma")})
+    trend = {}
+    if settings.trend_changes:
+        trend = {"bend_rate": F.lit(float(settings.trend_changes)) / F.col("n_days"),
+                 "revenue_slope_scale": F.abs("y_slope"), "spend_slope_scale": F.abs("x_slope")}
 
     def stages(v: str) -> Column:
         value = F.col(f"{v}_base") + F.col(f"{v}_slope") * F.col("t")
@@ -64,6 +73,7 @@ def predict_daily(models: DataFrame, events: Sequence[Event],
     extra = [c for c in models.columns if c.startswith("actual_")]
     staged = future.select(
         *kept, *(c for c in extra if c not in kept), "h", "ds", "beta", "y_sigma", "x_sigma",
+        *(v.alias(k) for k, v in trend.items()),
         stages("y").alias("y_stages"), stages("x").alias("x_stages"), S.to_log(assumed).alias("x_future"),
     )
     return staged.withColumns({
@@ -94,21 +104,44 @@ def window_sums(daily: DataFrame, keys: Sequence[str] = cfg.SLICE, floor: bool =
     that move together. The revenue lower bound is raised to the floor even when
     that exceeds the point; only ``upper >= max(point, lower)`` is enforced.
     """
-    sums = {f"{m}_{b}": F.sum(S.from_log(F.col(f"{m}_yhat{s}")))
-            for m in ("revenue", "spend")
-            for b, s in (("lower", "_lower"), ("point", ""), ("upper", "_upper"))}
+    bounds = {f"{m}_{b}": F.sum(S.from_log(F.col(f"{m}_yhat_{b}"))) for m in sampling.METRICS for b in ("lower", "upper")}
+    return _guarded(_summed(daily, keys, budget, bounds), floor, budget)
+
+
+def path_sums(daily: DataFrame, settings: cfg.ModelSettings, keys: Sequence[str] = cfg.SLICE, floor: bool = True,
+              budget: str | None = None) -> DataFrame:
+    """As ``window_sums``, with bounds that are quantiles of the draws' own sums: each draw is one path
+    through the window, so days move independently but for simulated changes of trend.
+
+    ``daily`` has draws; a window gathers at most its own days of one slice.
+    """
+    n = settings.uncertainty_samples
+    values = F.struct("h", *(F.transform(f"{m}_draws", S.from_log).alias(f"{m}_values") for m in sampling.METRICS))
+    summed = _summed(daily.withColumn("path_day", values), keys, budget, {"path_days": F.array_sort(F.collect_list("path_day"))})
+    summed = summed.withColumns({f"{m}_paths": F.array_sort(sampling.path_sum(F.col("path_days"), m, n)) for m in sampling.METRICS})
+    bounds = {f"{m}_{b}": sampling.quantile(F.col(f"{m}_paths"), share, n)
+              for m in sampling.METRICS for b, share in sampling.tails(settings).items()}
+    return _guarded(summed.withColumns(bounds).drop("path_days", *(f"{m}_paths" for m in sampling.METRICS)), floor, budget)
+
+
+def _summed(daily: DataFrame, keys: Sequence[str], budget: str | None, more: dict[str, Column]) -> DataFrame:
+    """One row per slice and window: point sums of both metrics, and what ``more`` names."""
+    sums = {f"{m}_point": F.sum(S.from_log(F.col(f"{m}_yhat"))) for m in sampling.METRICS} | more
     arrays = {"revenue_floor": "floors", "roas_cv": "roas_cvs"}
     spread = in_windows(daily).withColumns({c: F.col(a)[F.col("slot")] for c, a in arrays.items()})
     # only fixed-width values are carried through the grouping, which keeps it hash-based
     extra = [c for c in daily.columns if c.startswith("actual_") or c in _SLICE_COLUMNS]
     extra = [c for c in dict.fromkeys((*extra, *arrays, *([budget] if budget else [])))
              if c not in (*keys, *arrays.values(), "horizons", "channel")]
-    windows = spread.groupBy(*keys, "channel", "window_days", "slot").agg(
+    return spread.groupBy(*keys, "channel", "window_days", "slot").agg(
         *(F.first(c).alias(c) for c in extra), *(s.alias(n) for n, s in sums.items()))
+
+
+def _guarded(windows: DataFrame, floor: bool, budget: str | None) -> DataFrame:
     if floor:
         windows = windows.withColumn("revenue_lower", F.greatest("revenue_lower", "revenue_floor"))
     windows = windows.withColumns({
-        f"{m}_upper": F.greatest(f"{m}_upper", f"{m}_point", f"{m}_lower") for m in ("revenue", "spend")})
+        f"{m}_upper": F.greatest(f"{m}_upper", f"{m}_point", f"{m}_lower") for m in sampling.METRICS})
     if budget is not None:
         planned = F.col(budget) * F.col("window_days")
         windows = windows.withColumns({
@@ -127,13 +160,32 @@ def with_roas(windows: DataFrame) -> DataFrame:
     })
 
 
+def ranges(daily: DataFrame, settings: cfg.ModelSettings = cfg.ModelSettings(), keys: Sequence[str] = cfg.SLICE,
+           budget: str | None = None, floor: bool = True, interval: str = "analytic",
+           days: int = max(cfg.HORIZONS)) -> DataFrame:
+    """Windows of daily predictions with their bounds.
+
+    ``interval``: 'analytic' takes the bands as predicted; 'sum' takes quantiles of simulated draws
+    for every day and adds them; 'path' adds each draw over the window and takes quantiles of the
+    sums. ``days`` is the last future day that sampled intervals draw for.
+    """
+    if interval == "path":
+        return with_roas(path_sums(sampling.with_draws(daily, keys, settings, days), settings, keys, floor, budget))
+    if interval == "sum":
+        daily = sampling.with_daily_bounds(daily, keys, settings, days)
+    elif interval != "analytic":
+        raise ValueError(f"interval must be 'analytic', 'sum' or 'path', not {interval!r}")
+    return with_roas(window_sums(daily, keys, floor, budget))
+
+
 def forecast(models: DataFrame, events: Sequence[Event],
              keys: Sequence[str] = cfg.SLICE,
              settings: cfg.ModelSettings = cfg.ModelSettings(),
-             budget: str | None = None, floor: bool = True) -> DataFrame:
+             budget: str | None = None, floor: bool = True, interval: str = "analytic",
+             days: int = max(cfg.HORIZONS)) -> DataFrame:
     """Window forecasts of every eligible slice: lower, point, upper of three metrics."""
     daily = predict_daily(models, events, keys, settings, budget=budget)
-    return with_roas(window_sums(daily, keys, floor, budget))
+    return ranges(daily, settings, keys, budget, floor, interval, days)
 
 
 def forecast_cells(forecasts: DataFrame, keys: Sequence[str] = cfg.SLICE) -> DataFrame:
@@ -154,6 +206,7 @@ def trailing_row(models: DataFrame) -> DataFrame:
     )
 
 
+# Columns of the prediction file.
 PREDICTION_COLUMNS = ("window_days", "level", "entity", "revenue_lower", "revenue_point",
                       "revenue_upper", "spend_point", "roas_lower", "roas_point", "roas_upper")
 
@@ -166,83 +219,6 @@ def prediction_table(models: DataFrame, forecasts: DataFrame) -> DataFrame:
     return rows.withColumns(rounded).select(*PREDICTION_COLUMNS)
 
 
-# -- sampled intervals ----------------------------------------------------------
-
-def hashed_uniform(salt: str, *parts: Column | str) -> Column:
-    """Uniform in (0, 1) from a hash of the parts: the same draw wherever it is computed."""
-    h = F.xxhash64(F.lit(salt), *parts)
-    return (h.bitwiseAND(F.lit((1 << 53) - 1)).cast("double") + 0.5) / float(1 << 53)
-
-
-def hashed_normal(salt: str, *parts: Column | str) -> Column:
-    u1, u2 = hashed_uniform(salt + "/r", *parts), hashed_uniform(salt + "/a", *parts)
-    return F.sqrt(-2.0 * F.log(u1)) * F.cos(F.lit(2.0) * F.pi() * u2)
-
-
-def with_trend_changes(draws: DataFrame, keys: Sequence[str],
-                       settings: cfg.ModelSettings) -> DataFrame:
-    """Add ``trend_shift``: simulated slope changes accumulated over the future days of a draw.
-
-    A change happens on a day with probability ``bend_rate``; its size is
-    Laplace with scale ``slope_scale``. A draw's path has one row per future day.
-    """
-    u = hashed_uniform(f"bend{settings.seed}", *keys, "ds", "draw")
-    v = hashed_uniform(f"size{settings.seed}", *keys, "ds", "draw") - 0.5
-    size = -F.col("slope_scale") * F.signum(v) * F.log1p(-2.0 * F.abs(v))
-    change = F.when(u < F.col("bend_rate"), size).otherwise(F.lit(0.0))
-    path = Window.partitionBy(*keys, "draw").orderBy("h").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    return (
-        draws.withColumn("slope_change", change)
-        .withColumn("slope_shift", F.sum("slope_change").over(path))
-        .withColumn("trend_shift", F.sum("slope_shift").over(path))
-    )
-
-
-def sampled_windows(daily: DataFrame, keys: Sequence[str] = cfg.SLICE,
-                    settings: cfg.ModelSettings = cfg.ModelSettings(),
-                    interval: str = "sum") -> DataFrame:
-    """Window bounds from simulated draws instead of the normal quantile.
-
-    ``interval='sum'`` takes quantiles per day and adds them; ``'path'`` adds
-    each draw over the window and takes quantiles of the sums. A quantile group
-    holds exactly ``uncertainty_samples`` values.
-    """
-    tail = (1.0 - settings.interval_width) / 2.0
-    cuts = F.array(F.lit(tail), F.lit(1.0 - tail))
-    draws = daily.withColumn(
-        "draw", F.explode(F.sequence(F.lit(1), F.lit(settings.uncertainty_samples))))
-    noise = hashed_normal(f"noise{settings.seed}", *keys, "ds", "draw")
-    yhat = F.col("revenue_yhat")
-    if "slope_scale" in daily.columns:
-        draws = with_trend_changes(draws, keys, settings)
-        yhat = yhat + F.col("trend_shift")
-    value = S.from_log(yhat + F.coalesce("y_sigma", F.lit(0.0)) * noise)
-    draws = draws.select(*keys, "h", "draw", "horizons", "floors", "revenue_yhat", value.alias("value"))
-    first = [F.first(c).alias(c) for c in ("horizons", "floors")]
-    if interval == "sum":
-        days = draws.groupBy(*keys, "h").agg(
-            *first, F.first("revenue_yhat").alias("revenue_yhat"), F.percentile("value", cuts).alias("q"))
-        windows = in_windows(days).groupBy(*keys, "window_days", "slot").agg(
-            F.first("floors").alias("floors"),
-            F.sum(S.from_log(F.col("revenue_yhat"))).alias("revenue_point"),
-            F.sum(F.col("q")[0]).alias("revenue_lower"), F.sum(F.col("q")[1]).alias("revenue_upper"))
-    elif interval == "path":
-        paths = in_windows(draws).groupBy(*keys, "window_days", "slot", "draw").agg(
-            F.first("floors").alias("floors"), F.sum("value").alias("value"),
-            F.sum(S.from_log(F.col("revenue_yhat"))).alias("revenue_point"))
-        windows = paths.groupBy(*keys, "window_days", "slot").agg(
-            F.first("floors").alias("floors"), F.first("revenue_point").alias("revenue_point"),
-            F.percentile("value", cuts).alias("q"),
-        ).select("*", F.col("q")[0].alias("revenue_lower"), F.col("q")[1].alias("revenue_upper"))
-    else:
-        raise ValueError(f"interval must be 'sum' or 'path', not {interval!r}")
-    lower = F.greatest("revenue_lower", F.col("floors")[F.col("slot")])
-    return windows.withColumn("revenue_lower", lower).select(
-        *keys, "window_days", "revenue_lower", "revenue_point",
-        F.greatest("revenue_upper", "revenue_point", "revenue_lower").alias("revenue_upper"))
-
-
 # -- comparisons used by reports ---------------------------------------------------
 
 def forecast_vs_trailing(forecasts: DataFrame) -> DataFrame:

@@ -152,7 +152,7 @@ def predict_joint(fitted: DataFrame, models: DataFrame, events: Sequence[Event],
     """Daily predictions in the shape of ``forecast.predict_daily``.
 
     ``models`` supplies the eligibility, averages and guards of each slice; both
-    inputs are one row per slice. ``slope_scale`` and ``bend_rate`` describe the
+    inputs are one row per slice. the slope scales and ``bend_rate`` describe the
     simulated future trend changes for sampled intervals.
     """
     guards = models.where("eligible").select(
@@ -173,15 +173,18 @@ def predict_joint(fitted: DataFrame, models: DataFrame, events: Sequence[Event],
         products = F.zip_with(coef, F.slice("row", F.lit(1), k), lambda a, b: a * b)
         return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
 
-    bends = F.slice("coef", 3, design.changepoints) if design.changepoints else F.array(F.lit(0.0))
-    mean_bend = F.aggregate(bends, F.lit(0.0), lambda acc, v: acc + F.abs(v)) / max(design.changepoints, 1)
+    def mean_bend(coef: str) -> Column:
+        bends = F.slice(coef, 3, design.changepoints) if design.changepoints else F.array(F.lit(0.0))
+        return F.aggregate(bends, F.lit(0.0), lambda acc, v: acc + F.abs(v)) / max(design.changepoints, 1)
+
     z = F.lit(band_factor(settings.interval_width))
     out = future.withColumns({
         "revenue_yhat": dot("coef") * F.col("y_scale"),
         "spend_yhat": dot("spend_coef") * F.col("z_scale"),
         "y_sigma": F.col("sigma") * F.col("y_scale"),
         "x_sigma": F.col("spend_sigma") * F.col("z_scale"),
-        "slope_scale": mean_bend * F.col("y_scale") / F.col("span"),
+        "revenue_slope_scale": mean_bend("coef") * F.col("y_scale") / F.col("span"),
+        "spend_slope_scale": mean_bend("spend_coef") * F.col("z_scale") / F.col("span"),
         "bend_rate": F.lit(float(design.changepoints)) / F.col("span"),
     })
     for m, s in (("revenue", "y_sigma"), ("spend", "x_sigma")):

@@ -145,6 +145,7 @@ def fit_staged(series: DataFrame, events: Sequence[Event],
                    + b * b * F.col("x_sigma") * F.col("x_sigma"))
     return fitted.withColumn("beta", beta).withColumns({
         "y_sigma": F.sqrt(F.greatest(unexplained, F.lit(0.0))),
+        "stages_sigma": F.sqrt("y_var"),  # without the spend regressor
         "average_revenue": F.col("total_revenue") / F.col("n_days"),
         "average_spend": F.col("total_spend") / F.col("n_days"),
         "eligible": eligible(settings),

@@ -121,19 +121,37 @@ def interval_analytic(spark, folder):
     return rounded(daily.select("level", "entity", "ds", *bounds), 6, *bounds)
 
 
-@query("interval_monte_carlo")
+@query("interval_monte_carlo", sql=Q.query(Q.forecasts(EVENTS, interval="sum"), select=cells_sql()))
 def interval_monte_carlo(spark, folder):
-    """Sampled bounds of all slices, days moving together."""
-    daily = FC.predict_daily(models_of(spark, folder), EVENTS)
-    return FC.sampled_windows(daily)
+    """Windows of all slices with sampled bounds, days moving together."""
+    return shown(FC.forecast(models_of(spark, folder), EVENTS, interval="sum"))
+
+
+# Draws as many as for a campaign's forecast, and as many trend changes as the largest joint design has.
+PATHS = cfg.ModelSettings(uncertainty_samples=200, trend_changes=25.0)
 
 
-@query("interval_monte_carlo_path")
+@query("interval_monte_carlo_path", sql=Q.query(Q.forecasts(EVENTS, settings=PATHS, interval="path"), select=cells_sql()))
 def interval_monte_carlo_path(spark, folder):
-    """Sampled bounds of whole paths, with simulated trend changes of the joint model."""
+    """Windows of all slices with bounds of whole paths, with simulated trend changes."""
+    return shown(FC.forecast(models_of(spark, folder, settings=PATHS), EVENTS, settings=PATHS, interval="path"))
+
+
+@query("interval_monte_carlo_joint")
+def interval_monte_carlo_joint(spark, folder):
+    """Bounds of whole paths with the trend changes that the joint model has found."""
     series = series_of(spark, folder)
     daily = J.predict_joint(J.fit_joint(series, EVENTS), fit_staged(series, EVENTS), EVENTS)
-    return FC.sampled_windows(daily, interval="path")
+    return shown(FC.ranges(daily, PATHS, interval="path"))
+
+
+WITHOUT_SPEND = cfg.ModelSettings(use_spend_regressor=False)
+
+
+@query("forecast_without_spend", sql=Q.query(Q.forecasts(EVENTS, settings=WITHOUT_SPEND), select=cells_sql()))
+def forecast_without_spend(spark, folder):
+    """All levels, revenue predicted by its own trend, seasons and events only."""
+    return shown(FC.forecast(models_of(spark, folder), EVENTS, settings=WITHOUT_SPEND))
 
 
 @query("window_forecast", sql=Q.query(Q.forecasts(EVENTS), select=cells_sql(MONEY)))

@@ -137,19 +137,20 @@ slope AS (SELECT {k}, stddev_samp(x4) AS x_sigma,
                  CASE WHEN stddev_samp(x4) > 1e-9 THEN regr_slope(y4, x4) ELSE 0 END AS beta
           FROM r4 GROUP BY {k}),
 coef AS (SELECT {k}, any_value(x_sigma) AS x_sigma, any_value(beta) AS beta,
-                stddev_samp(y4 - beta * x4) AS y_sigma FROM r4 JOIN slope USING ({k}) GROUP BY {k})"""
+                stddev_samp(y4 - beta * x4) AS y_sigma, stddev_samp(y4) AS stages_sigma FROM r4 JOIN slope USING ({k}) GROUP BY {k})"""
 
 
 def future(keys: str = "level, entity", horizon: int = max(cfg.HORIZONS),
-           width: float = 0.80, budget: str = "", spend: str = "average_spend") -> str:
+           width: float = 0.80, budget: str = "", spend: str = "average_spend", with_spend: bool = True) -> str:
     """Daily predictions; ``budget`` is an extra join that may provide the ``spend`` expression."""
     k = keys
+    beta, sigma = ("beta", "y_sigma") if with_spend else ("0", "stages_sigma")
     z = f"CAST({band_factor(width)!r} AS DOUBLE)"
     return f"""future AS (
   SELECT {k}, h, first_ds, last_ds, CAST(last_ds + CAST(h AS INTEGER) AS DATE) AS ds, ln(1 + CAST({spend} AS DOUBLE)) AS x_future
   FROM slices {budget} CROSS JOIN range(1, {horizon + 1}) AS days(h) WHERE eligible),
 daily AS (
-  SELECT f.*, beta, y_sigma, x_sigma,
+  SELECT f.*, beta, y_sigma, stages_sigma, x_sigma, y_slope, x_slope,
          y_base + y_slope * date_diff('day', first_ds, ds) + coalesce(y_dow, 0) + coalesce(y_moy, 0)
            + coalesce(y_event, 0) AS y_stages,
          x_base + x_slope * date_diff('day', first_ds, ds) + coalesce(x_dow, 0) + coalesce(x_moy, 0)
@@ -159,37 +160,95 @@ daily AS (
   JOIN trend USING ({k}) JOIN coef USING ({k})
   LEFT JOIN dows USING ({k}, dow) LEFT JOIN moys USING ({k}, moy) LEFT JOIN evs USING ({k}, event)),
 predicted AS (
-  SELECT *, y_stages + beta * (x_future - x_stages) AS revenue_yhat, x_stages AS spend_yhat,
-         {z} * coalesce(y_sigma, 0) AS y_half, {z} * coalesce(x_sigma, 0) AS x_half FROM daily)"""
+  SELECT *, y_stages + {beta} * (x_future - x_stages) AS revenue_yhat, x_stages AS spend_yhat,
+         {z} * coalesce({sigma}, 0) AS y_half, {z} * coalesce(x_sigma, 0) AS x_half FROM daily)"""
+
+
+def normal_draw(name: str) -> str:
+    """A standard normal made of the md5 of name, day h and draw i."""
+    def uniform(part: str) -> str:
+        return (f"((CAST('0x' || substr(md5('{name}{part}:' || h || ':' || i), 1, 13) AS BIGINT) + CAST(0.5 AS DOUBLE)) "
+                f"/ CAST({16**13} AS DOUBLE))")
+    return f"sqrt(-2 * ln({uniform('/r')})) * cos(2 * pi() * {uniform('/a')})"
+
+
+def draws(settings: cfg.ModelSettings, horizon: int = max(cfg.HORIZONS)) -> str:
+    """Every draw of every future day as a row."""
+    columns = []
+    for m in ("revenue", "spend"):
+        u = f"((CAST('0x' || substr(md5('{m}-{{}}{settings.seed}:' || h || ':' || i), 1, 13) AS BIGINT) + 0.5::DOUBLE) / {16**13}::DOUBLE)"
+        v = f"({u.format('size')} - 0.5)"
+        columns += [f"{normal_draw(f'{m}-noise{settings.seed}')} AS {m}_noise", f"{u.format('bend')} AS {m}_bend",
+                    f"-sign({v}) * ln(1 - 2 * abs({v})) AS {m}_size"]
+    return (f"draws AS (SELECT h, i, {', '.join(columns)} FROM range(1, {horizon + 1}) AS a(h), "
+            f"range(1, {settings.uncertainty_samples + 1}) AS b(i))")
+
+
+def daily_quantiles(settings: cfg.ModelSettings) -> str:
+    """``sampled``: predicted days whose distances to the bands come from the draws of the day."""
+    tail = (1 - settings.interval_width) / 2
+    cuts = ", ".join(f"quantile_cont({m}_noise, {share!r}) AS {m}_{b}_noise" for m in ("revenue", "spend")
+                     for b, share in (("lower", tail), ("upper", 1 - tail)))
+    return f"""{draws(settings)},
+cuts AS (SELECT h, {cuts} FROM draws GROUP BY h),
+sampled AS (
+  SELECT p.*, -coalesce(y_sigma, 0) * revenue_lower_noise AS y_low, coalesce(y_sigma, 0) * revenue_upper_noise AS y_high,
+         -coalesce(x_sigma, 0) * spend_lower_noise AS x_low, coalesce(x_sigma, 0) * spend_upper_noise AS x_high
+  FROM predicted p JOIN cuts USING (h))"""
+
+
+def paths(settings: cfg.ModelSettings, keys: str = "level, entity", horizons: Sequence[int] = cfg.HORIZONS) -> str:
+    """``path_bounds``: quantiles over draws of their sums over a window, with simulated trend changes."""
+    k, tail = keys, (1 - settings.interval_width) / 2
+    rate = f"{float(settings.trend_changes)!r}::DOUBLE / n_days"
+    spans = ", ".join(f"({h})" for h in horizons)
+    cuts = ", ".join(f"quantile_cont({m}, {share!r}) AS {m}_{b}0" for m in ("revenue", "spend")
+                     for b, share in (("lower", tail), ("upper", 1 - tail)))
+    run = f"OVER (PARTITION BY {k}, i ORDER BY h)"
+    return f"""{draws(settings, max(horizons))},
+changes AS (
+  SELECT {k}, h, i, revenue_yhat + coalesce(y_sigma, 0) * revenue_noise AS y, spend_yhat + coalesce(x_sigma, 0) * spend_noise AS x,
+         sum(CASE WHEN revenue_bend < {rate} THEN abs(y_slope) * revenue_size ELSE 0 END) {run} AS y_change,
+         sum(CASE WHEN spend_bend < {rate} THEN abs(x_slope) * spend_size ELSE 0 END) {run} AS x_change
+  FROM predicted JOIN slices USING ({k}) JOIN draws USING (h)),
+moved AS (SELECT {k}, h, i, y + sum(y_change) {run} AS y, x + sum(x_change) {run} AS x FROM changes),
+path_sums AS (
+  SELECT {k}, window_days, i, sum(exp(greatest(y, 0)) - 1) AS revenue, sum(exp(greatest(x, 0)) - 1) AS spend
+  FROM moved JOIN (VALUES {spans}) AS s(window_days) ON h <= window_days GROUP BY {k}, window_days, i),
+path_bounds AS (SELECT {k}, window_days, {cuts} FROM path_sums GROUP BY {k}, window_days)"""
 
 
 def windows(keys: str = "level, entity", floor: bool = True, budget: str = "",
-            planned: str = "NULL", horizons: Sequence[int] = cfg.HORIZONS) -> str:
-    """Sums per window; ``planned`` is the total planned spend of a window, or NULL."""
+            planned: str = "NULL", horizons: Sequence[int] = cfg.HORIZONS, source: str = "predicted",
+            bands: Sequence[str] = ("y_half", "y_half", "x_half", "x_half"), path: bool = False) -> str:
+    """Sums per window; ``planned`` is the total planned spend of a window, or NULL; ``bands`` are the distances to the
+    daily bounds, unless the bounds come from ``path_bounds``."""
     k = keys
-    low = "greatest(lower0, revenue_floor)" if floor else "lower0"
+    low = "greatest(revenue_lower0, revenue_floor)" if floor else "revenue_lower0"
 
     def total(e: str) -> str:
         return f"sum(exp(greatest({e}, 0)) - 1)"
 
     spans = ", ".join(f"({h})" for h in horizons)
+    y_low, y_high, x_low, x_high = bands
+    bounds = "" if path else f""",
+         {total(f'revenue_yhat - {y_low}')} AS revenue_lower0, {total(f'revenue_yhat + {y_high}')} AS revenue_upper0,
+         {total(f'spend_yhat - {x_low}')} AS spend_lower0, {total(f'spend_yhat + {x_high}')} AS spend_upper0"""
+    more = f"JOIN path_bounds USING ({k}, window_days)" if path else ""
     return f"""spans(window_days) AS (VALUES {spans}),
 summed AS (
-  SELECT {k}, window_days, {total('revenue_yhat')} AS revenue_point,
-         {total('revenue_yhat - y_half')} AS lower0, {total('revenue_yhat + y_half')} AS upper0,
-         {total('spend_yhat')} AS spend0, {total('spend_yhat - x_half')} AS spend_lower0,
-         {total('spend_yhat + x_half')} AS spend_upper0
-  FROM predicted JOIN spans ON h <= window_days GROUP BY {k}, window_days),
+  SELECT {k}, window_days, {total('revenue_yhat')} AS revenue_point, {total('spend_yhat')} AS spend0{bounds}
+  FROM {source} JOIN spans ON h <= window_days GROUP BY {k}, window_days),
 guarded AS (
-  SELECT s.* EXCLUDE (lower0, upper0, spend0, spend_lower0, spend_upper0),
-         {low} AS revenue_lower, greatest(upper0, revenue_point, {low}) AS revenue_upper,
+  SELECT s.* EXCLUDE (spend0), {low} AS revenue_lower, greatest(revenue_upper0, revenue_point, {low}) AS revenue_upper,
          coalesce({planned}, spend0) AS spend_point,
          coalesce({planned}, spend_lower0) AS spend_lower,
          coalesce({planned}, greatest(spend_upper0, spend0, spend_lower0)) AS spend_upper,
          roas_cv
-  FROM summed s JOIN guards USING ({k}, window_days) {budget}),
+  FROM (SELECT * FROM summed {more}) s JOIN guards USING ({k}, window_days) {budget}),
 forecasts AS (
-  SELECT *, revenue_point / greatest(spend_point, 1) AS roas_point,
+  SELECT * EXCLUDE (revenue_lower0, revenue_upper0, spend_lower0, spend_upper0),
+         revenue_point / greatest(spend_point, 1) AS roas_point,
          greatest(revenue_point / greatest(spend_point, 1) * (1 - roas_cv), CAST(0.1 AS DOUBLE)) AS roas_lower,
          revenue_point / greatest(spend_point, 1) * (1 + roas_cv) AS roas_upper
   FROM guarded)"""
@@ -197,7 +256,8 @@ forecasts AS (
 
 def forecasts(events: Sequence[Event], levels: Sequence[str] = cfg.LEVELS,
               min_days: int = cfg.MIN_CALENDAR_DAYS, min_nonzero: int = cfg.MIN_NONZERO_DAYS,
-              budget_values: str = "") -> str:
+              budget_values: str = "", settings: cfg.ModelSettings = cfg.ModelSettings(),
+              interval: str = "analytic") -> str:
     """Everything from the base tables to ``forecasts``; ``budget_values`` are (entity, budget) rows."""
     head = f"budgets(entity, budget) AS (VALUES {budget_values})," if budget_values else ""
     join = "LEFT JOIN budgets USING (entity)" if budget_values else ""
@@ -205,7 +265,10 @@ def forecasts(events: Sequence[Event], levels: Sequence[str] = cfg.LEVELS,
     planned = "budget * window_days" if budget_values else "NULL"
     return ",\n".join([
         head + series(levels), rolling(), guards(), slices(min_days=min_days, min_nonzero=min_nonzero),
-        fit(events), future(budget=join, spend=spend), windows(budget=join, planned=planned)])
+        fit(events), future(budget=join, spend=spend, with_spend=settings.use_spend_regressor),
+        *({"sum": [daily_quantiles(settings)], "path": [paths(settings)]}.get(interval, [])),
+        windows(budget=join, planned=planned, path=interval == "path",
+                **({"source": "sampled", "bands": ("y_low", "y_high", "x_low", "x_high")} if interval == "sum" else {}))])
 
 
 def scored(keys: str = "level, entity", lookback: int = 3000) -> str:

@@ -45,8 +45,8 @@ def load_settings(stored: DataFrame) -> cfg.ModelSettings:
         return cfg.ModelSettings()
     values = {k: row[f"setting_{k}"] for k in names}
     for k, default in asdict(cfg.ModelSettings()).items():
-        if isinstance(default, int):
-            values[k] = int(values[k])
+        if isinstance(default, int):  # flags too
+            values[k] = type(default)(values[k])
     return cfg.ModelSettings(**values)
 
 
