@@ -16,9 +16,11 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,8 @@ END_ID = 2
 POOL_TOKENS = 2_000_000
 #: Estimated cost of a piece of n tokens: n + n * n / QUADRATIC_AT (equal shares at QUADRATIC_AT tokens).
 QUADRATIC_AT = 2048
-#: Distinct words whose ids are remembered by one task before the memory is emptied.
-CACHE_WORDS = 500_000
+#: Bytes of distinct words and their ids that a Python worker remembers before it forgets them all.
+MEMORY_BYTES = 32 << 20
 
 _LETTER = T._bytes_in((0x61, 0x7A))
 _SPACE = ~T.NONSPACE
@@ -73,17 +75,22 @@ class WordTokenizer:
         self.keys = np.zeros(0, dtype=np.uint64)
         self.at = np.zeros(0, dtype=np.int64)
         self.size = np.zeros(0, dtype=np.int64)
-        self.pool = np.zeros(0, dtype=np.uint32)
+        self.pool = np.zeros(1 << 16, dtype=np.uint32)
+        self.used = 0
 
-    def _learn(self, keys: np.ndarray, parts: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, place: np.ndarray, parts: list[str]) -> None:
+        """Remembers the ids of words whose rising keys belong at these places."""
         encoded = self.encoder.encode_batch_fast(parts, add_special_tokens=False)
         ids = [e.ids for e in encoded]
         size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        at = len(self.pool) + np.cumsum(size) - size
-        self.pool = np.concatenate([self.pool, np.fromiter((x for y in ids for x in y), np.uint32, int(size.sum()))])
-        keys, at, size = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.size, size])
-        order = np.argsort(keys)
-        self.keys, self.at, self.size = keys[order], at[order], size[order]
+        new = int(size.sum())
+        if self.used + new > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(new, self.used), dtype=np.uint32)])
+        self.pool[self.used : self.used + new] = np.fromiter(chain.from_iterable(ids), np.uint32, new)
+        at = self.used + np.cumsum(size) - size
+        self.used += new
+        self.keys, self.at, self.size = (np.insert(old, place, more) for old, more in
+                                         ((self.keys, keys), (self.at, at), (self.size, size)))
 
     def encode(self, block: T.Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block, and each document's number of ids."""
@@ -105,9 +112,9 @@ class WordTokenizer:
         starts = inside & (cut[:n] | ~np.concatenate([[False], inside[:-1]]))
         ends = inside & (cut[1:] | ~np.concatenate([inside[1:], [False]]))
         start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-        keys = T.Rolling(T.byte_symbols(raw)).of(start, end)
+        keys = T.word_hashes(raw, start, end)
         distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.keys) > CACHE_WORDS:
+        if 24 * len(self.keys) + 4 * self.used > MEMORY_BYTES:
             self.forget()
         place = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), dtype=bool)
@@ -117,7 +124,7 @@ class WordTokenizer:
             new = np.flatnonzero(~known)
             parts = [raw[a:b].tobytes().decode("utf-8") for a, b in
                      zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
-            self._learn(distinct[new], parts)
+            self._learn(distinct[new], place[new], parts)
             place = np.searchsorted(self.keys, distinct)
         at, size = self.at[place][back], self.size[place][back]
         total = np.cumsum(size)
@@ -126,8 +133,16 @@ class WordTokenizer:
         return ids, np.diff(upto)
 
 
+_kept: dict[str, WordTokenizer] = {}
+
+
 def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    """The tokenizer of a file, with its memory of words; made once in a Python worker."""
+    if path not in _kept:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs a task on every core
+        _kept.clear()
+        _kept[path] = WordTokenizer(path)
+    return _kept[path]
 
 
 def cost(n: np.ndarray | int) -> np.ndarray | float:
@@ -175,7 +190,7 @@ def packed(docs: DataFrame, tokenizer_path: str, room: int = LENGTH, end_id: int
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokenizer(tokenizer_path)  # with its memory of words, for this task
+        encoder = tokenizer(tokenizer_path)
         task = TaskContext.get().partitionId() << 33
         sequence = 0
         ids: list[np.ndarray] = []

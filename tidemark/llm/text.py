@@ -2,11 +2,13 @@
 
 Every function works on a block of whole documents held as one byte array with document offsets, so that the
 cost per byte is a few array passes and no Python object is made per word. Hashes are 64-bit polynomials over
-randomised symbols with a final mix; they depend on content only and are equal on every machine.
+randomised symbols with a final mix; they depend on content only and are equal on every machine. Polynomials modulo
+2^64 coincide for some long texts of two letters (from 1,024 letters on), so long words are hashed by a digest.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 19
+#: Words longer than this are hashed by a digest of their bytes.
+LONG_WORD = 256
 U64 = np.uint64
 
 
@@ -103,6 +107,14 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         lo = hi
 
 
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words at byte ranges start..end."""
+    out = Rolling(_BYTE_VALUE[raw]).of(start, end)
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 @dataclass
 class Words:
     """Words of a block: byte ranges start..end, and first[i]..first[i+1] are those of its i-th document."""
@@ -117,7 +129,7 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        return Rolling(_BYTE_VALUE[self.raw]).of(self.start, self.end)
+        return word_hashes(self.raw, self.start, self.end)
 
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
