@@ -189,6 +189,7 @@ def test_lm_scoring_equals_brute_force(spark):
         return uni, pair
 
     scale = sum(map(len, words[:3])) / sum(map(len, words))
+    vocabulary = len({w for ws in words for w in ws}) + 1
     for i, ws in enumerate(words):
         if not ws:
             assert got[i].n_tokens == 0 and got[i].score is None
@@ -202,7 +203,7 @@ def test_lm_scoring_equals_brute_force(spark):
                 pair.subtract(mine[1])
             total, loss = sum(uni.values()), 0.0
             for before, w in zip([None, *ws], ws):  # noqa: B905
-                p = (uni[w] * by + lm_scoring.SMOOTHING) / (total * by + lm_scoring.SMOOTHING * lm_scoring.WORDS)
+                p = (uni[w] * by + lm_scoring.SMOOTHING) / (total * by + lm_scoring.SMOOTHING * vocabulary)
                 if before is not None and uni[before] > 0:
                     p = lm_scoring.BIGRAM * min(1.0, pair[before, w] / uni[before]) + (1 - lm_scoring.BIGRAM) * p
                 loss -= math.log(p)
@@ -221,6 +222,7 @@ def test_lm_counts_stay_exact_with_many_distinct_grams(spark):
     rows = lm_scoring.target_rows(docs, labels)
     got = {r.doc_id: r for r in lm_scoring.scored(rows, lm_scoring.counts(rows, chunk_bytes=100_000)).collect()}
     assert len(got) == len(words)
+    vocabulary = len({w for ws in words for w in ws}) + 1
     for i in (0, 14, 15, 39):
         for some, loss in ((words[:15], got[i].target_loss), (words, got[i].background_loss)):
             by = 1.0 if some is not words else 15 / 40
@@ -230,7 +232,7 @@ def test_lm_counts_stay_exact_with_many_distinct_grams(spark):
             total = sum(uni.values()) * by
             expected = 0.0
             for before, w in zip([None, *words[i]], words[i]):  # noqa: B905
-                p = (uni[w] * by + lm_scoring.SMOOTHING) / (total + lm_scoring.SMOOTHING * lm_scoring.WORDS)
+                p = (uni[w] * by + lm_scoring.SMOOTHING) / (total + lm_scoring.SMOOTHING * vocabulary)
                 if before is not None and uni[before]:
                     p = lm_scoring.BIGRAM * pair[before, w] / uni[before] + (1 - lm_scoring.BIGRAM) * p
                 expected -= math.log(p)

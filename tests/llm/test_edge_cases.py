@@ -47,6 +47,14 @@ def test_licenses(odd, none):
     assert licenses.spans(none).count() == 0
 
 
+def test_licenses_in_a_very_long_text(spark):
+    """A million words with a phrase in the middle and at the end: work follows the hits, not their square."""
+    text = "word " * 500_000 + "mit license " + "word " * 500_000 + "apache license"
+    row = licenses.spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert row.n_words == 1_000_004
+    assert sorted((p.label, p.start) for p in row.places if p.base) == [("apache", 1_000_002), ("mit", 500_000)]
+
+
 def test_language(odd, none):
     model = language.learn(language.training_rows(odd))
     rows = by_id(language.identify(odd, model), "held_out", "lang_pred", "score")
@@ -89,6 +97,29 @@ def test_suffix_dedup(odd, none, spark):
     assert sorted(r.n_removed for r in suffix_dedup.removed(twice).collect()) == [0, len(LONG), len(LONG)]
 
 
+def test_suffix_dedup_of_many_equal_rows(spark):
+    text = " ".join(f"word{i}" for i in range(1500))
+    rows = spark.createDataFrame([(7, text)] * 2000 + [(8, "other")], "doc_id long, text string")
+    got = suffix_dedup.removed(rows).groupBy("doc_id", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(7, len(text), 2000), (8, 0, 1)]
+
+
+def test_long_words_that_a_polynomial_confuses(spark):
+    """The Thue-Morse word over two letters and its complement have equal polynomial hashes modulo 2^64."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(49))
+    df = spark.createDataFrame([(1, f"{a} {tail}"), (2, f"{b} {tail}")], "doc_id long, text string")
+    assert {r.n_removed for r in substring_dedup.removed(df).collect()} == {0}
+    two = spark.createDataFrame([(1, f"{a} {a}"), (2, f"{b} {b}")], "doc_id long, text string")
+    assert by_id(near_duplicates.linked(two), "component_id") == {1: (1,), 2: (2,)}
+    encoder = packing.tokenizer(packing.public_path()).encoder
+    found = {}
+    for r in sorted(packing.packed(df, packing.public_path()).collect(), key=lambda r: r.start):
+        found[r.doc_id] = found.get(r.doc_id, []) + r.ids
+    assert found == {i: encoder.encode(t, add_special_tokens=False).ids + [packing.END_ID] for i, t in ((1, f"{a} {tail}"), (2, f"{b} {tail}"))}
+
+
 def test_decontamination(odd, none, items):
     rows = by_id(decontamination.scan(odd, items), "n_words", "spans", "items")
     assert rows[0] == (0, [], []) and rows[4] == (5, [(1, 3)], ["3"])
