@@ -331,12 +331,44 @@ def test_joint_solver_matches_brute_force():
     rng = np.random.default_rng(0)
     rows = rng.normal(size=(200, 4))
     target = rows @ np.array([1.0, -2.0, 0.5, 0.0]) + 0.1 * rng.normal(size=200)
-    scale = np.array([10.0, 10.0, 10.0, 10.0])
-    theta, noise = J.posterior_mode(scale, np.zeros(4, dtype=bool))(rows, target)
+    def solved(solver):
+        return solver(rows.T @ rows, rows.T @ target, target @ target, len(target))
+
+    scale, none = np.array([10.0, 10.0, 10.0, 10.0]), np.zeros(4, dtype=bool)
+    theta, noise, steps, left = solved(J.posterior_mode(scale, none))
     ridge = np.linalg.solve(rows.T @ rows + np.diag(noise**2 / scale**2), rows.T @ target)
-    assert np.allclose(theta, ridge, atol=1e-6) and noise == pytest.approx(0.1, rel=0.2)
-    sparse, _ = J.posterior_mode(np.array([10.0, 10.0, 10.0, 0.001]), np.array([False, False, False, True]))(rows, target)
-    assert abs(sparse[3]) < abs(theta[3]) + 1e-9
+    assert np.allclose(theta, ridge, atol=1e-9) and noise == pytest.approx(0.1, rel=0.2)
+    assert steps < 20 and left < 1e-9
+    sparse, _, _, left = solved(J.posterior_mode(np.array([10.0, 10.0, 10.0, 0.001]), np.array([False, False, False, True])))
+    assert abs(sparse[3]) < abs(theta[3]) and left < 1e-6
+    plain, _, steps, left = solved(J.posterior_mode(scale, none, priors=False))
+    assert np.allclose(plain, np.linalg.lstsq(rows, target, rcond=None)[0], atol=1e-9) and steps == 2 and left < 1e-9
+
+
+def test_joint_optimum_is_a_minimum():
+    """No step away from the solution lowers the penalised loss, Laplace terms included."""
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(300, 6))
+    target = rows @ np.array([0.5, 0.0, 0.0, 1.0, 0.02, 0.0]) + 0.3 * rng.normal(size=300)
+    scale, laplace = np.full(6, 0.05), np.array([False, True, True, True, True, False])
+    theta, noise, _, left = J.posterior_mode(scale, laplace)(rows.T @ rows, rows.T @ target, target @ target, 300)
+
+    def loss(t):
+        prior = np.where(laplace, np.abs(t) / scale, t * t / (2 * scale**2))
+        return ((target - rows @ t) ** 2).sum() / (2 * noise**2) + prior.sum()
+
+    assert left < 1e-6
+    for _ in range(200):
+        assert loss(theta) <= loss(theta + rng.normal(size=6) * 1e-3) + 1e-3
+
+
+def test_normal_sums_are_the_products(make_series):
+    design = J.Design(changepoints=2, yearly_order=1, weekly_order=1)
+    matrix = J.design_matrix(make_series({"a": loglog(120)}), EVENTS, design)
+    days = matrix.collect()
+    w = np.array([[*d.row, d.y, d.z] for d in days])
+    row = one(J.normal_sums(matrix, cfg.SLICE))
+    assert row.n == 120 and np.allclose(row.sums, (w.T @ w)[np.triu_indices(w.shape[1])])
 
 
 def test_joint_fit_per_slice(make_series):

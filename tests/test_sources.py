@@ -72,7 +72,7 @@ def test_index_column_only_when_blank(spark, tmp_path):
     write(tmp_path, "bing.csv", "date,Revenue,Spend\n2024-01-01,1,2\n")
     assert rows(P.load_platform(spark, str(tmp_path), "bing")) == [
         ("bing", "unknown", "unknown", date(2024, 1, 1), 1.0, 2.0)]
-    with pytest.warns(UserWarning, match="date_col"):
+    with pytest.warns(UserWarning, match="date"):
         assert P.load_platform(spark, str(tmp_path), "bing", legacy_index=True) is None
 
 
@@ -118,11 +118,54 @@ def test_missing_channels(spark, tmp_path):
 
 
 def test_validation_report(spark, tmp_path):
-    write(tmp_path, "bing_ads.csv", BING)
+    write(tmp_path, "bing_ads.csv", BING + "0,1,the 3rd,1,,3,S,A\n1,1,2024-01-01,many,2,3,S,A\n")
     write(tmp_path, "google_ads_campaign_stats.csv", "a,b,c\n1,2,3\n")
     report = {r["channel"]: r for r in P.validate(spark, str(tmp_path)).collect()}
-    assert report["bing"]["found"] and report["bing"]["date_col"] == "TimePeriod"
-    assert "using it" in report["bing"]["warnings"][0]
-    assert not report["meta"]["found"] and "skipped" in report["meta"]["warnings"][0]
+    codes = {c: [(f.code, f.subject, f["count"]) for f in r.findings] for c, r in report.items()}
+    assert report["bing"]["found"] and report["bing"]["date_col"] == "TimePeriod" and report["bing"]["n_rows"] == 2
+    assert codes["bing"] == [("other_name", "bing_ads.csv", None), ("bad_cells", "date", 1), ("bad_cells", "revenue", 1),
+                             ("blank_cells", "spend", 1)]
+    assert not report["meta"]["found"] and codes["meta"] == [("absent", None, None)]
     assert report["google"]["columns"] == ["a", "b", "c"] and report["google"]["date_col"] is None
-    assert "could not detect" in report["google"]["warnings"][0]
+    assert codes["google"] == [("no_column", c, 1) for c in ("date", "revenue", "spend")] + [("empty", None, None)]
+    assert all(f.text for r in report.values() for f in r.findings)
+
+
+def test_part_files_of_several_layouts(spark, tmp_path):
+    folder = tmp_path / "bing ads [1].csv"
+    folder.mkdir()
+    write(folder, "a 1.csv", "Date,Revenue,Spend,Campaign\n2024-01-01,1,2,A\n")
+    write(folder, "b{2}.csv", "Spend,Date,Campaign,Revenue\n3,2024-01-02,\"two\nlines, \"\"x\"\"\",4\n")
+    write(folder, "c.csv", "\ufeffDate,revenue,Cost\n2024-01-03,5,6\n2024-01-04,7,8\n")
+    write(folder, "d.csv", "Day,Clicks\n2024-01-05,9\n")
+    write(folder, "e.csv", "")
+    with pytest.warns(UserWarning, match="revenue, spend"):
+        got = rows(P.load_platform(spark, str(tmp_path), "bing"))
+    assert got == sorted([
+        ("bing", "unknown", "A", date(2024, 1, 1), 1.0, 2.0), ("bing", "unknown", 'two\nlines, "x"', date(2024, 1, 2), 4.0, 3.0),
+        ("bing", "unknown", "unknown", date(2024, 1, 3), 5.0, 6.0), ("bing", "unknown", "unknown", date(2024, 1, 4), 7.0, 8.0)])
+    data, header = P.read_ads_csv(spark, str(folder))
+    assert set(header.names) == {"Date", "Revenue", "Spend", "Campaign", "revenue", "Cost", "Day", "Clicks"} and data.count() == 5
+    report = {r["channel"]: [f.code for f in r.findings] for r in P.validate(spark, str(tmp_path)).collect()}
+    assert report["bing"] == ["other_name", "no_column", "no_column", "mixed", "line_breaks"]
+
+
+def test_loader_options_reach_every_platform(spark, canonical):
+    write(canonical, "bing_campaign_stats.csv", BING + "0,1,03/01/2024,1,1,3,S,A\n")
+    days = {r.channel: r.ds for r in P.load_all(spark, str(canonical), date_formats=("d/M/yyyy",)).where("channel = 'bing'").collect()}
+    assert days == {"bing": date(2024, 1, 3)}
+    assert P.load_all(spark, str(canonical), multi_line=True).count() == 5
+
+
+def test_amounts_beyond_all_money(spark, tmp_path):
+    write(tmp_path, "bing.csv", BING + "0,1,2024-01-01,1e13,2,3,S,A\n1,1,2024-01-02,1e40,1e300,3,S,A\n")
+    assert [r[4:] for r in rows(P.load_platform(spark, str(tmp_path), "bing"))] == [(1e13, 2.0), (0.0, 0.0)]
+
+
+def test_only_the_top_level_is_searched(spark, tmp_path):
+    deep = tmp_path / "x" / "x"
+    deep.mkdir(parents=True)
+    write(deep, "bing.csv", BING)
+    write(tmp_path / "x", "meta.csv", META)
+    found = {r["channel"]: r["source_name"] for r in P.discover_sources(spark, str(tmp_path / "x")).collect()}
+    assert found == {"bing": None, "meta": "meta.csv", "google": None}

@@ -27,8 +27,12 @@ DATE_SHAPES = (
 )
 
 
+#: Notations with slashes, tried in this order unless others are given.
+SLASHED_DATES = ("M/d/yyyy", "yyyy/M/d")
+
+
 def parse_date(text: Column, bad_dates: str = "fail",
-               formats: Sequence[str] = ("M/d/yyyy", "yyyy/M/d")) -> Column:
+               formats: Sequence[str] = SLASHED_DATES) -> Column:
     """Text to date. ISO first, then ``formats``, then ``DATE_SHAPES``; a blank stays NULL.
 
     A bare number such as a spreadsheet serial is not a date.

@@ -1,8 +1,8 @@
 """Joint penalised fit of trend, seasonality, events and log spend.
 
-The design row of every day is built with column expressions. Python sees one
-slice at a time, at most one row per calendar day, and only solves the small
-normal equations; prediction is a dot product in the JVM again.
+The design row of every day and the products of its entries are column expressions, and
+their sums are an aggregate: a slice of any length becomes one row with K x K sums. Python
+only solves these normal equations; prediction is a dot product in the JVM again.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,16 +24,25 @@ from tidemark.operators.promo import Event, indicator_names, with_event
 
 YEAR_DAYS, WEEK_DAYS = 365.25, 7.0
 BASE_SCALE = 5.0
+#: The solver stops when no coefficient moves by more than this share, or after so many steps of either kind.
+STEP_SIZE = 1e-10
+MOST_STEPS = 200
+#: Laplace priors count as smooth nearer to zero than this.
+SMOOTH = 1e-4
 
 
 @dataclass(frozen=True)
 class Design:
-    """Size of the design. The largest published form is 25 changepoints, yearly order 10."""
+    """Size of the design. The largest published form is 25 changepoints, yearly order 10.
+
+    Without ``priors`` the fit is least squares (of all solutions the shortest, where terms coincide).
+    """
 
     changepoints: int = 8
     yearly_order: int = 4
     weekly_order: int = 3
     changepoint_range: float = 0.8
+    priors: bool = True
 
     def terms(self, events: Sequence[Event], settings: cfg.ModelSettings):
         """(name, prior scale, kind) of every term, in design order."""
@@ -46,6 +57,11 @@ class Design:
         return out + [("log_spend", wide, "normal")]
 
 
+def least_squares() -> Design:
+    """Level, slope and log spend without priors: the smallest design, with a closed solution."""
+    return Design(changepoints=0, yearly_order=0, weekly_order=0, priors=False)
+
+
 def design_row(design: Design, events: Sequence[Event], u: Column, log_spend: Column) -> Column:
     """array<double> of one day: ``u`` is time scaled to 0..1 over the training days."""
     day = F.datediff("ds", F.lit("1970-01-01").cast("date")).cast("double")
@@ -87,53 +103,105 @@ def design_matrix(series: DataFrame, events: Sequence[Event], design: Design = D
         design_row(design, events, u, standard).alias("row"))
 
 
-def posterior_mode(scale: np.ndarray, laplace: np.ndarray):
-    """A solver for given priors: (rows, target) to (coefficients, residual spread).
+def normal_sums(matrix: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per slice with ``n`` and ``sums``: the upper triangle, row by row, of the sums of
+    products of all design entries and the two targets."""
+    w = F.concat("row", F.array("y", "z"))
+    products = F.flatten(F.transform("w", lambda a, i: F.transform(F.slice("w", i + 1, F.size("w")), lambda b: a * b)))
+    sums = Summarizer.sum(array_to_vector(F.col("products")))
+    return matrix.withColumn("w", w).withColumn("products", products).groupBy(*keys).agg(
+        *(F.first(c).alias(c) for c in _KEPT), F.count(F.lit(1)).alias("n"), vector_to_array(sums).alias("sums"))
+
 
-    Normal and Laplace priors, by reweighted ridge steps on the normal
-    equations. The solver is a closure, so it travels to the workers by value.
+def posterior_mode(scale: np.ndarray, laplace: np.ndarray, priors: bool = True):
+    """A solver for given priors: (gram, moment, energy, n) to (coefficients, residual spread, steps, optimality).
+
+    Normal and Laplace priors, by reweighted ridge steps on the normal equations; where these
+    creep because a coefficient with a Laplace prior is near zero, by Newton steps that take the
+    pull of the others as constant, as long as the gradient shrinks. ``optimality`` is its largest
+    entry that is left, as a share of the largest moment. The solver is a closure, so it travels to
+    the workers by value.
     """
-    def solve(rows, target):
-        gram, moment, energy = rows.T @ rows, rows.T @ target, float(target @ target)
-        weight, noise = 1.0 / scale**2, max(float(np.var(target)), 1e-12)
-        for _ in range(20):
-            theta = np.linalg.solve(gram + np.diag(noise * weight), moment)
-            noise = max((energy - 2 * theta @ moment + theta @ gram @ theta) / len(target), 1e-12)
-            weight = np.where(laplace, 1.0 / (scale * np.maximum(np.abs(theta), 1e-4)), 1.0 / scale**2)
-        return theta, noise**0.5
+    def weights(theta):
+        if not priors:
+            return np.zeros(len(scale))
+        return np.where(laplace, 1.0 / (scale * np.maximum(np.abs(theta), SMOOTH)), 1.0 / scale**2)
+
+    def spread(theta, gram, moment, energy, n):
+        return max((energy - 2 * theta @ moment + theta @ gram @ theta) / n, 1e-12)
+
+    def gradient(theta, noise, gram, moment):
+        return np.abs(gram @ theta - moment + noise * weights(theta) * theta).max() / max(np.abs(moment).max(), 1e-300)
+
+    def solve(gram, moment, energy, n):
+        theta, noise, weight, steps = np.zeros(len(moment)), max(energy / n, 1e-12), 1.0 / scale**2 * priors, 0
+        while steps < MOST_STEPS:
+            system = gram + np.diag(noise * weight)
+            new = np.linalg.solve(system, moment) if priors else np.linalg.lstsq(system, moment, rcond=1e-12)[0]
+            moved, theta = np.abs(new - theta).max(), new
+            noise, weight, steps = spread(theta, gram, moment, energy, n), weights(theta), steps + 1
+            if moved <= STEP_SIZE * (1.0 + np.abs(theta).max()):
+                break
+        left = gradient(theta, noise, gram, moment)
+        while left > STEP_SIZE and steps < 2 * MOST_STEPS:
+            away = laplace & (np.abs(theta) > SMOOTH)
+            new = np.linalg.solve(gram + np.diag(np.where(away, 0.0, noise * weights(theta))),
+                                  moment - np.where(away, noise * np.sign(theta) / scale, 0.0))
+            share = 1.0
+            while share > 1e-6:  # halve a step that overshoots
+                tried = theta + share * (new - theta)
+                spent = spread(tried, gram, moment, energy, n)
+                rest = gradient(tried, spent, gram, moment)
+                if rest < left:
+                    break
+                share /= 2
+            else:
+                break
+            theta, noise, left, steps = tried, spent, rest, steps + 1
+        return theta, noise**0.5, steps, left
 
     return solve
 
 
+_KEPT = ("first_ds", "last_ds", "span", "y_scale", "z_scale", "spend_mean", "spend_sd")
+
+
 def fit_joint(series: DataFrame, events: Sequence[Event], design: Design = Design(),
               keys: Sequence[str] = cfg.SLICE,
               settings: cfg.ModelSettings = cfg.ModelSettings()) -> DataFrame:
-    """One row per slice with the coefficients of revenue and of spend."""
+    """One row per slice with the coefficients of revenue and of spend, and how far from the optimum they are."""
     terms = design.terms(events, settings)
     scale = np.array([t[1] for t in terms])
     laplace = np.array([t[2] == "laplace" for t in terms])
-    revenue_solver = posterior_mode(scale, laplace)
-    spend_solver = posterior_mode(scale[:-1], laplace[:-1])
-    kept = ["first_ds", "last_ds", "span", "y_scale", "z_scale", "spend_mean", "spend_sd"]
-
-    def fit(days):
-        rows = np.vstack(days["row"].to_numpy())
-        coef, noise = revenue_solver(rows, days["y"].to_numpy())
-        spend_coef, spend_noise = spend_solver(rows[:, :-1], days["z"].to_numpy())
-        head = days[[*keys, *kept]].iloc[[0]]
-        return head.assign(coef=[coef], sigma=noise, spend_coef=[spend_coef], spend_sigma=spend_noise)
-
-    matrix = design_matrix(series, events, design, keys)
-    types = {f.name: f.dataType.simpleString() for f in matrix.schema}
-    schema = ", ".join(f"{c} {types[c]}" for c in (*keys, *kept))
-    schema += ", coef array<double>, sigma double, spend_coef array<double>, spend_sigma double"
-    return matrix.groupBy(*keys).applyInPandas(fit, schema)
+    revenue_solver = posterior_mode(scale, laplace, design.priors)
+    spend_solver = posterior_mode(scale[:-1], laplace[:-1], design.priors)
+    k = len(terms)
+    above = np.triu_indices(k + 2)
+
+    def fit(batches):
+        for slices in batches:
+            out = []
+            for sums, n in zip(slices["sums"], slices["n"], strict=True):
+                full = np.zeros((k + 2, k + 2))
+                full[above] = full.T[above] = sums
+                coef, noise, steps, left = revenue_solver(full[:k, :k], full[:k, k], full[k, k], n)
+                spend_coef, spend_noise, spend_steps, spend_left = spend_solver(
+                    full[: k - 1, : k - 1], full[: k - 1, k + 1], full[k + 1, k + 1], n)
+                out.append((coef, noise, spend_coef, spend_noise, max(steps, spend_steps), max(left, spend_left)))
+            made = dict(zip(("coef", "sigma", "spend_coef", "spend_sigma", "steps", "optimality"),
+                            (list(c) for c in zip(*out, strict=True)), strict=True))
+            yield slices.drop(columns="sums").assign(**made)
+
+    sums = normal_sums(design_matrix(series, events, design, keys), keys)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.schema if f.name != "sums")
+    schema += ", coef array<double>, sigma double, spend_coef array<double>, spend_sigma double, steps int, optimality double"
+    return sums.mapInPandas(fit, schema)
 
 
 def joint_coefficients(fitted: DataFrame, events: Sequence[Event], design: Design = Design(),
                        keys: Sequence[str] = cfg.SLICE,
-                       settings: cfg.ModelSettings = cfg.ModelSettings()) -> DataFrame:
-    """Long view: (slice, target, term, coef)."""
+                       settings: cfg.ModelSettings = cfg.ModelSettings(), more: Sequence[str] = ()) -> DataFrame:
+    """Long view: (slice, target, term, coef), with ``more`` columns of the fit."""
     names = F.array(*(F.lit(t[0]) for t in design.terms(events, settings)))
 
     def side(target: str, coef: str) -> Column:
@@ -141,7 +209,7 @@ def joint_coefficients(fitted: DataFrame, events: Sequence[Event], design: Desig
                            lambda e: F.struct(F.lit(target).alias("target"), e["term"].alias("term"),
                                               e["coef"].alias("coef")))
 
-    long = fitted.select(*keys, F.inline(F.concat(side("revenue", "coef"), side("spend", "spend_coef"))))
+    long = fitted.select(*keys, *more, F.inline(F.concat(side("revenue", "coef"), side("spend", "spend_coef"))))
     return long.where(F.col("coef").isNotNull())
 
 
@@ -190,5 +258,5 @@ def predict_joint(fitted: DataFrame, models: DataFrame, events: Sequence[Event],
     for m, s in (("revenue", "y_sigma"), ("spend", "x_sigma")):
         out = out.withColumns({f"{m}_yhat_lower": F.col(f"{m}_yhat") - z * F.col(s),
                                f"{m}_yhat_upper": F.col(f"{m}_yhat") + z * F.col(s)})
-    return out.drop("row", "coef", "spend_coef", "sigma", "spend_sigma", "first_ds", "span", "event",
-                    "y_scale", "z_scale", "spend_mean", "spend_sd")
+    return out.drop("row", "coef", "spend_coef", "sigma", "spend_sigma", "first_ds", "span", "event", "n",
+                    "y_scale", "z_scale", "spend_mean", "spend_sd", "steps", "optimality")

@@ -87,18 +87,59 @@ def fit_staged_coefficients(spark, folder):
     return rounded(model_coefficients(models_of(spark, folder)), 9, "coef")
 
 
-@query("fit_joint")
+_LEAST = " UNION ALL ".join(f"SELECT level, entity, '{target}' AS target, '{term}' AS term, {c} AS coef FROM least" for target, term, c in (
+    ("revenue", "base", "base"), ("revenue", "slope", "slope"), ("revenue", "log_spend", "log_spend"),
+    ("spend", "base", "z_base"), ("spend", "slope", "z_slope")))
+
+
+@query("fit_joint", sql=Q.query(Q.series(), Q.least_squares(), select=
+    f"SELECT level, entity, target, term, round(coef, 7) + 0 AS coef, TRUE AS optimal FROM ({_LEAST})"))
 def fit_joint(spark, folder):
+    """The joint fit with its smallest design, level, slope and log spend by least squares."""
+    design = J.least_squares()
+    fitted = J.fit_joint(series_of(spark, folder), (), design)
+    long = J.joint_coefficients(fitted, (), design, more=("optimality",))
+    return rounded(long, 7, "coef").select(*cfg.SLICE, "target", "term", "coef", (F.col("optimality") < 1e-6).alias("optimal"))
+
+
+@query("fit_joint_full")
+def fit_joint_full(spark, folder):
+    """All terms with their priors; ``optimality`` is the share of the gradient that is left."""
     fitted = J.fit_joint(series_of(spark, folder), EVENTS)
-    return J.joint_coefficients(fitted, EVENTS)
+    return J.joint_coefficients(fitted, EVENTS, more=("steps", "optimality"))
 
 
-@query("forecast_joint")
+# Every slice has a fit of all terms that is at its optimum.
+@query("fit_joint_optimality", sql=Q.query(Q.series(), select=f"""
+SELECT level, entity, count(*) AS n, {len(J.Design().terms(EVENTS, cfg.ModelSettings()))} AS terms, TRUE AS optimal
+FROM series GROUP BY level, entity"""))
+def fit_joint_optimality(spark, folder):
+    fitted = J.fit_joint(series_of(spark, folder), EVENTS)
+    return fitted.select(*cfg.SLICE, "n", F.size("coef").alias("terms"),
+                         (F.col("optimality") < 1e-6).alias("optimal"))
+
+
+@query("forecast_joint", sql=Q.query(Q.series(), Q.rolling(), Q.guards(), Q.slices(), Q.least_squares(), f"""predicted AS (
+  SELECT level, entity, h, (base + slope * (date_diff('day', lo, last_ds) + h) / span
+           + log_spend * (ln(1 + average_spend) - x_mean) / x_sd) * y_scale AS revenue_yhat,
+         (z_base + z_slope * (date_diff('day', lo, last_ds) + h) / span) * x_scale AS spend_yhat,
+         CAST({FC.band_factor(0.8)!r} AS DOUBLE) * sigma * y_scale AS y_half,
+         CAST({FC.band_factor(0.8)!r} AS DOUBLE) * z_sigma * x_scale AS x_half
+  FROM slices JOIN least USING (level, entity) JOIN scales USING (level, entity) CROSS JOIN range(1, 91) AS days(h) WHERE eligible)""",
+    Q.windows(), select=cells_sql()))
 def forecast_joint(spark, folder):
-    """Window forecasts of the jointly fitted model, in one plan with the guards."""
+    """Window forecasts of the jointly fitted smallest design, in one plan with the guards."""
+    series, design = series_of(spark, folder), J.least_squares()
+    daily = J.predict_joint(J.fit_joint(series, (), design), fit_staged(series, EVENTS), (), design)
+    return shown(FC.ranges(daily))
+
+
+@query("forecast_joint_full")
+def forecast_joint_full(spark, folder):
+    """Window forecasts of the joint model with all terms."""
     series = series_of(spark, folder)
     daily = J.predict_joint(J.fit_joint(series, EVENTS), fit_staged(series, EVENTS), EVENTS)
-    return shown(FC.with_roas(FC.window_sums(daily)))
+    return shown(FC.ranges(daily))
 
 
 @query("predict_daily", sql=Q.query(Q.series(), Q.slices(), Q.fit(EVENTS), Q.future(), select="""

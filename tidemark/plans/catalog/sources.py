@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import functions as F
 
 from tidemark import config as cfg
@@ -15,29 +17,92 @@ from tidemark.sources import feature_store, model_store, platform_csv
 from tidemark.sources.star_schema import ad_facts
 
 CHANNEL_OF = {"bing": "A", "meta": "N", "google": "R"}
+OTHER_NAMES = {"meta": "facebook_2001.csv"}
 
 
-def exported(spark, folder: str, *channels: str) -> str:
+def exported(spark, folder: str, *channels: str, facts=None, names=None) -> str:
     """The supplied facts as platform sources (all three by default) in a fresh shared folder."""
     target = shared_folder(spark, "platforms")
     wanted = {c: CHANNEL_OF[c] for c in channels or CHANNEL_OF}
-    platform_csv.export_platform_layout(ad_facts(spark, folder), target, wanted)
+    platform_csv.export_platform_layout(facts if facts is not None else ad_facts(spark, folder), target, wanted, names)
     return target
 
 
-@query("source_discovery")
-def source_discovery(spark, folder):
-    return platform_csv.discover_sources(spark, exported(spark, folder))
+def damaged(spark, folder: str):
+    """The facts with cells that no reader can use: dates on the 31st, small revenues, no spend on Sundays."""
+    facts = ad_facts(spark, folder)
+    return facts.select(
+        "channel", "campaign_type", "campaign_name",
+        F.when(F.dayofmonth("ds") == 31, F.date_format("ds", "'day' D 'of' yyyy")).otherwise(F.col("ds").cast("string")).alias("ds"),
+        F.when(F.col("revenue") < 2000, F.lit("n.n.")).otherwise(F.col("revenue").cast("string")).alias("revenue"),
+        F.when(F.dayofweek("ds") != 1, F.col("spend")).alias("spend"))
 
 
-@query("resolve_columns")
+@query("source_discovery", sql=Q.query(Q.ADS, select="""
+SELECT position, p.channel, source_name, matched_by, (SELECT count(*) FROM ads WHERE ads.channel = p.code) AS n_rows
+FROM (VALUES (0, 'bing', 'A', 'bing_campaign_stats.csv', 'exact'), (1, 'meta', 'N', 'facebook_2001.csv', 'pattern'),
+             (2, 'google', 'R', 'google_ads_campaign_stats.csv', 'exact')) AS p(position, channel, code, source_name, matched_by)"""))
+def source_discovery(spark, folder):
+    """The source chosen for every platform and its rows of data."""
+    target = exported(spark, folder, names=OTHER_NAMES)
+    rows = platform_csv.resolve_columns(spark, target).where("canonical = 'date'").select("channel", "n_rows")
+    return platform_csv.discover_sources(spark, target).join(rows, "channel", "left")
+
+
+_CELLS = """cells AS (
+  SELECT CASE channel WHEN 'A' THEN 'bing' WHEN 'N' THEN 'meta' ELSE 'google' END AS channel, count(*) AS n_rows,
+         count(*) FILTER (WHERE day(ds) = 31) AS bad_dates, count(*) FILTER (WHERE revenue < 2000) AS bad_revenues,
+         count(*) FILTER (WHERE dayofweek(ds) = 0) AS no_spend FROM ads GROUP BY ALL)"""
+
+
+@query("resolve_columns", sql=Q.query(Q.ADS, _CELLS, """names(channel, canonical, header_name) AS (VALUES
+  ('bing', 'date', 'TimePeriod'), ('bing', 'revenue', 'Revenue'), ('bing', 'spend', 'Spend'), ('bing', 'name', 'CampaignName'),
+  ('bing', 'type', 'CampaignType'), ('meta', 'date', 'date_start'), ('meta', 'revenue', 'conversion'), ('meta', 'spend', 'spend'),
+  ('meta', 'name', 'campaign_name'), ('meta', 'type', NULL), ('google', 'date', 'segments_date'),
+  ('google', 'revenue', 'metrics_conversions_value'), ('google', 'spend', 'metrics_cost_micros'),
+  ('google', 'name', 'campaign_name'), ('google', 'type', 'campaign_advertising_channel_type'))""", select="""
+SELECT channel, canonical, header_name, n_rows, CASE canonical WHEN 'spend' THEN no_spend ELSE 0 END AS n_blank,
+       CASE canonical WHEN 'date' THEN bad_dates WHEN 'revenue' THEN bad_revenues ELSE 0 END AS n_unreadable
+FROM names JOIN cells USING (channel)"""))
 def resolve_columns(spark, folder):
-    return platform_csv.resolve_columns(spark, exported(spark, folder))
+    """Header names of the canonical columns, and how many of their cells cannot be used."""
+    return platform_csv.resolve_columns(spark, exported(spark, folder, facts=damaged(spark, folder)))
 
 
-@query("validate_sources")
+@query("validate_sources", sql=Q.query(Q.ADS, _CELLS, select="""
+SELECT channel, TRUE AS found, n_rows, code, subject, n FROM cells, LATERAL (
+  SELECT 'bad_cells' AS code, 'date' AS subject, bad_dates AS n UNION ALL SELECT 'bad_cells', 'revenue', bad_revenues
+  UNION ALL SELECT 'blank_cells', 'spend', no_spend UNION ALL SELECT 'other_name', 'facebook_2001.csv', NULL WHERE channel = 'meta')
+WHERE n IS NULL OR n > 0"""))
 def validate_sources(spark, folder):
-    return platform_csv.validate(spark, exported(spark, folder))
+    """What is wrong with every source, one row for each finding."""
+    target = exported(spark, folder, facts=damaged(spark, folder), names=OTHER_NAMES)
+    report = platform_csv.validate(spark, target)
+    return report.select("channel", "found", "n_rows", F.inline("findings")).select(
+        "channel", "found", "n_rows", "code", "subject", F.col("count").alias("n"))
+
+
+def _two_layouts(spark, folder: str) -> str:
+    """One platform in part files of two header orders and spellings; one of them has line breaks inside quotes."""
+    target = exported(spark, folder, "bing", facts=ad_facts(spark, folder).where("dayofmonth(ds) % 2 = 0"))
+    odd = ad_facts(spark, folder).where(f"channel = '{CHANNEL_OF['bing']}' and dayofmonth(ds) % 2 = 1").select(
+        F.col("spend").alias("Cost"), F.format_string('%s\n"%s", next', "campaign_name", "campaign_type").alias("Campaign"),
+        F.col("campaign_type").alias("Type"), F.col("ds").alias("Date"), F.col("revenue").alias("sales"))
+    odd.write.mode("append").options(header=True, quote='"', escape='"').csv(f"{target}/{cfg.PLATFORMS[0].file_name}")
+    return target
+
+
+@query("read_mixed_layouts", sql=Q.query(Q.ADS, select="""
+SELECT 'bing' AS channel, campaign_type, CASE WHEN day(ds) % 2 = 0 THEN campaign_name
+         ELSE campaign_name || chr(10) || '"' || campaign_type || '", next' END AS campaign_name, ds,
+       count(*) AS n, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(spend) AS DOUBLE) AS spend
+FROM ads WHERE channel = 'A' GROUP BY ALL"""))
+def read_mixed_layouts(spark, folder):
+    """Part files of two layouts read back as one platform."""
+    target = _two_layouts(spark, folder)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # the other platforms are absent
+        return _per_day(platform_csv.load_all(spark, target))
 
 
 @query("read_ads_csv", sql=Q.query(Q.ADS, select="""

@@ -140,6 +140,28 @@ coef AS (SELECT {k}, any_value(x_sigma) AS x_sigma, any_value(beta) AS beta,
                 stddev_samp(y4 - beta * x4) AS y_sigma, stddev_samp(y4) AS stages_sigma FROM r4 JOIN slope USING ({k}) GROUP BY {k})"""
 
 
+def least_squares(keys: str = "level, entity", source: str = "series") -> str:
+    """Closed least squares of scaled log revenue on level, slope and log spend, and of scaled log spend on level and slope."""
+    k = keys
+    det = "(var_pop(u) * var_pop(s) - covar_pop(u, s) * covar_pop(u, s))"
+    slope = f"(covar_pop(y, u) * var_pop(s) - covar_pop(y, s) * covar_pop(u, s)) / {det}"
+    spend = f"(covar_pop(y, s) * var_pop(u) - covar_pop(y, u) * covar_pop(u, s)) / {det}"
+    return f"""logs AS (SELECT {k}, ds, ln(1 + CAST(revenue AS DOUBLE)) AS y, ln(1 + CAST(spend AS DOUBLE)) AS x FROM {source}),
+scales AS (
+  SELECT {k}, min(ds) AS lo, max(ds) AS hi, greatest(date_diff('day', min(ds), max(ds)), 1) AS span, avg(x) AS x_mean,
+         CASE WHEN max(y) > 0 THEN max(y) ELSE 1 END AS y_scale, CASE WHEN max(x) > 0 THEN max(x) ELSE 1 END AS x_scale,
+         CASE WHEN stddev_samp(x) > 0 THEN stddev_samp(x) ELSE 1 END AS x_sd FROM logs GROUP BY {k}),
+scaled AS (
+  SELECT {k}, y / y_scale AS y, x / x_scale AS z, CAST(date_diff('day', lo, ds) AS DOUBLE) / span AS u, (x - x_mean) / x_sd AS s
+  FROM logs JOIN scales USING ({k})),
+least AS (
+  SELECT *, my - slope * mu - log_spend * ms AS base, mz - z_slope * mu AS z_base,
+         sqrt(vy - slope * cyu - log_spend * cys) AS sigma, sqrt(vz - z_slope * czu) AS z_sigma
+  FROM (SELECT {k}, {slope} AS slope, {spend} AS log_spend, regr_slope(z, u) AS z_slope, avg(y) AS my, avg(u) AS mu, avg(s) AS ms,
+               avg(z) AS mz, var_pop(y) AS vy, covar_pop(y, u) AS cyu, covar_pop(y, s) AS cys, var_pop(z) AS vz,
+               covar_pop(z, u) AS czu FROM scaled GROUP BY {k}))"""
+
+
 def future(keys: str = "level, entity", horizon: int = max(cfg.HORIZONS),
            width: float = 0.80, budget: str = "", spend: str = "average_spend", with_spend: bool = True) -> str:
     """Daily predictions; ``budget`` is an extra join that may provide the ``spend`` expression."""
