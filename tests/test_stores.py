@@ -13,7 +13,7 @@ from tidemark.operators.slice_model import fit_staged
 from tidemark.plans import scoring
 from tidemark.plans.catalog.registry import EVENTS, models_of, series_of
 from tidemark.operators.forecast import forecast
-from tidemark.session import shared_folder
+from tidemark.session import remove_folder, shared_folder
 from tidemark.sources import feature_store, model_store
 from tidemark.sources.star_schema import ad_facts
 
@@ -60,12 +60,65 @@ def test_only_changed_slices_are_refitted(spark, make_series):
     assert model_store.stale_slices(first, stored, EVENTS, horizons=(30, 120)).count() == 3
 
 
+def test_update_writes_only_the_changed_parts(spark, make_series):
+    import os
+    r = random.Random(5)
+    days = {k: [(50 + r.random(), 5 + r.random()) for _ in range(120)] for k in ("all", *"abcdefgh")}
+    path = shared_folder(spark, "models")
+    model_store.save_models(fit_staged(make_series(days), EVENTS), path, EVENTS)
+
+    def files():
+        return {os.path.join(d, f) for d, _, names in os.walk(path.removeprefix("file:")) for f in names if f.endswith(".parquet")}
+
+    before = files()
+    days["c"] = days["c"][1:] + [(9.0, 9.0)]
+    days["new"] = days["a"]
+    model_store.update_models(make_series(days), path, EVENTS)
+    assert before & files() and len(before - files()) <= 2
+    stored = {x.entity: x for x in model_store.load_models(spark, path).collect()}
+    direct = {x.entity: x for x in fit_staged(make_series(days), EVENTS).collect()}
+    assert set(stored) == set(days) and all(stored[k].total_revenue == direct[k].total_revenue for k in days)
+    again = files()
+    model_store.update_models(make_series(days), path, EVENTS)
+    assert files() == again
+
+
+def test_refit_reads_the_facts_once(spark):
+    path = shared_folder(spark, "models")
+    model_store.save_models(models_of(spark, FOLDER, ("aggregate", "channel")), path, EVENTS)
+    table = model_store.refit_changed(series_of(spark, FOLDER), model_store.load_models(spark, path), EVENTS)
+    assert {r.level for r in table.where("refitted").collect()} == {"campaign_type", "campaign"}
+    table.collect()
+    text = plan(table).split("Initial Plan")[0]  # the plan that ran
+    assert text.count("FileScan parquet") == 3  # line items, parts and the store
+
+
 def test_fingerprint_ignores_row_order(make_series):
     series = make_series({"a": [(i, 1) for i in range(20)]})
     one = model_store.fingerprints(series).collect()
     assert one == model_store.fingerprints(series.repartition(5).orderBy(F.rand(3))).collect()
 
 
+def test_scratch_folders(spark, monkeypatch):
+    class Plain:
+        sparkContext = spark.sparkContext
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    one, two = shared_folder(Plain, "a"), shared_folder(Plain, "a")
+    assert one != two and one.rsplit("/", 1)[0] == two.rsplit("/", 1)[0]
+    assert shared_folder(Plain, "a", "/elsewhere/").startswith("/elsewhere/a-")
+    monkeypatch.setattr(type(spark.sparkContext), "master", "local-cluster[2,1,1024]")
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_folder(Plain, "a")
+    path = shared_folder(spark, "gone")
+    spark.range(3).write.parquet(path)
+    remove_folder(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path)
+
+
 def test_scoring_run_writes_everything(spark):
     paths = scoring.score(spark, ad_facts(spark, FOLDER), shared_folder(spark, "score"), EVENTS,
                           lookback_days=3000)
@@ -99,6 +152,15 @@ def test_date_range_reaches_the_scan(spark):
     assert rows[0] >= date(1996, 1, 1) and rows[1] <= date(1996, 12, 31)
 
 
+@pytest.mark.parametrize("key", ["campaign_summary", "top_campaigns", "portfolio_projection", "uplift_vs_baseline"])
+def test_facts_are_scanned_once(spark, key):
+    from tidemark.plans.catalog import QUERIES
+    text = plan(QUERIES[key](spark, FOLDER))
+    assert text.count("FileScan parquet") == 2  # line items and parts
+    if key == "campaign_summary":
+        assert text.count("Exchange hashpartitioning") == 2 and text.count("Join") <= 2  # with parts only
+
+
 def test_no_cross_joins_in_the_catalog(spark):
     from tidemark.plans.catalog import QUERIES
     for key in ("walk_forward", "marginal_roas_curve", "uplift_vs_baseline", "campaign_summary", "micros_to_usd"):

@@ -5,12 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import config as cfg
 from tidemark.functions import scalars as S
-from tidemark.operators.forecast import CELLS, forecast
+from tidemark.operators.forecast import forecast
 from tidemark.operators.promo import Event, small_table
 
 
@@ -22,48 +22,65 @@ def with_budget(models: DataFrame, budgets: Mapping[str, float]) -> DataFrame:
 
 
 def simulate_channels(models: DataFrame, events: Sequence[Event], budgets: Mapping[str, float],
-                      settings: cfg.ModelSettings = cfg.ModelSettings()) -> DataFrame:
+                      settings: cfg.ModelSettings = cfg.ModelSettings(), interval: str = "analytic") -> DataFrame:
     """Channel forecasts with future spend set to the budget."""
-    return forecast(with_budget(models, budgets), events, settings=settings, budget="budget")
+    return forecast(with_budget(models, budgets), events, settings=settings, budget="budget", interval=interval)
 
 
-def simulate_fallback(models: DataFrame, budgets: Mapping[str, float]) -> DataFrame:
-    """Budgeted channels without a forecast: historical ROAS times budget, with a fixed band."""
+def _by_ratio() -> dict[str, Column]:
+    """Spend and revenue of a window from the budget and the historical ROAS, with a fixed band."""
     low, high = cfg.FALLBACK_BAND
     spend = F.col("budget") * F.col("window_days")
     revenue = spend * S.roas_floor1("total_revenue", "total_spend")
+    return {"revenue_lower": revenue * low, "revenue_point": revenue, "revenue_upper": revenue * high, "spend_point": spend}
+
+
+def simulated(budgeted: DataFrame, events: Sequence[Event], settings: cfg.ModelSettings = cfg.ModelSettings(),
+              interval: str = "analytic") -> DataFrame:
+    """Windows of slices with a ``budget``: by their model, or, where they have no forecast but a budget, by ratio.
+
+    Both are branches of one projection, so that models are fitted in one pass. ``by_model`` tells which.
+    """
+    windows = forecast(budgeted, events, settings=settings, budget="budget", interval=interval, everyone=True)
+    model = F.col("eligible")
+    return windows.where(model | F.col("budget").isNotNull()).withColumns(
+        {c: F.when(model, F.col(c)).otherwise(v) for c, v in _by_ratio().items()}).withColumn("by_model", model)
+
+
+def simulate_fallback(models: DataFrame, budgets: Mapping[str, float]) -> DataFrame:
+    """Budgeted channels without a forecast: historical ROAS times budget, with a fixed band."""
     return (
         with_budget(models, budgets)
         .where(~F.col("eligible") & F.col("budget").isNotNull())
         .withColumn("window_days", F.explode("horizons"))
-        .select("level", "entity", "window_days",
-                (revenue * low).alias("revenue_lower"), revenue.alias("revenue_point"),
-                (revenue * high).alias("revenue_upper"), spend.alias("spend_point"))
+        .select("level", "entity", "window_days", *(v.alias(c) for c, v in _by_ratio().items()))
     )
 
 
 def portfolio(models: DataFrame, events: Sequence[Event], budgets: Mapping[str, float],
-              settings: cfg.ModelSettings = cfg.ModelSettings()) -> DataFrame:
+              settings: cfg.ModelSettings = cfg.ModelSettings(), interval: str = "analytic") -> DataFrame:
     """Sum of simulated and fallback channels per window."""
-    columns = ("level", "entity", "window_days", "revenue_lower", "revenue_point",
-               "revenue_upper", "spend_point")
-    parts = simulate_channels(models, events, budgets, settings).select(*columns).unionByName(
-        simulate_fallback(models, budgets))
-    sums = parts.groupBy("window_days").agg(
-        *(F.sum(c).alias(c) for c in columns[3:6]), F.sum("spend_point").alias("spend"))
+    bounds = ("revenue_lower", "revenue_point", "revenue_upper")
+    sums = simulated(with_budget(models, budgets), events, settings, interval).groupBy("window_days").agg(
+        *(F.sum(c).alias(c) for c in bounds), F.sum("spend_point").alias("spend"))
     return sums.withColumns({
         f"roas_{b}": S.roas_floor1(f"revenue_{b}", "spend") for b in ("lower", "point", "upper")})
 
 
 def marginal_curve(models: DataFrame, events: Sequence[Event], channel: str,
                    budgets: Sequence[float], window_days: int = 30,
-                   settings: cfg.ModelSettings = cfg.ModelSettings()) -> DataFrame:
-    """Projected revenue and ROAS of one channel for a list of daily budgets."""
+                   settings: cfg.ModelSettings = cfg.ModelSettings(), interval: str = "analytic") -> DataFrame:
+    """Projected revenue and ROAS of one channel for a list of daily budgets.
+
+    The window has to be one that the models were fitted for; another one stops the query.
+    """
     grid = F.explode(F.array(*(F.lit(float(b)) for b in budgets)))
-    priced = models.where((F.col("level") == "channel") & (F.col("entity") == channel)).withColumn(
-        "daily_budget", grid)
+    unknown = F.raise_error(F.lit(f"no window of {window_days} days was fitted")).cast("array<int>")
+    fitted_for = F.when(F.array_contains("horizons", window_days), F.col("horizons")).otherwise(unknown)
+    priced = models.where((F.col("level") == "channel") & (F.col("entity") == channel)).withColumns(
+        {"daily_budget": grid, "horizons": fitted_for})
     keys = (*cfg.SLICE, "daily_budget")
-    windows = forecast(priced, events, keys, settings, budget="daily_budget")
+    windows = forecast(priced, events, keys, settings, budget="daily_budget", interval=interval)
     spend = F.col("daily_budget") * F.lit(window_days)
     return windows.where(F.col("window_days") == window_days).select(
         "entity", "daily_budget", "revenue_point", "revenue_lower", "revenue_upper",
@@ -92,14 +109,8 @@ def uplift(models: DataFrame, events: Sequence[Event], budgets: Mapping[str, flo
     both = models.where(F.col("level").isin("aggregate", "channel")).join(table, "entity", "left")
     budgeted = both.withColumn(
         "budget", F.when(F.col("level") == "channel", F.col("budget")))
-    point = forecast(budgeted, events, settings=settings, budget="budget").select(
-        "level", "window_days", "revenue_point")
-    extra = simulate_fallback(models, budgets).select("level", "window_days", "revenue_point")
-    sides = point.unionByName(extra).groupBy("window_days").agg(
+    sides = simulated(budgeted, events, settings).groupBy("window_days").agg(
         F.sum(F.when(F.col("level") == "channel", F.col("revenue_point"))).alias("simulated"),
         F.sum(F.when(F.col("level") == "aggregate", F.col("revenue_point"))).alias("baseline"))
     change = (F.try_divide(F.col("simulated"), F.col("baseline")) - 1.0) * 100.0
     return sides.withColumn("uplift_pct", F.coalesce(change, F.lit(0.0)))
-
-
-SIMULATED = ("level", "entity", "window_days", *CELLS)

@@ -18,7 +18,7 @@ from tidemark.operators import sampling
 from tidemark.operators.promo import Event, with_event
 
 CELLS = tuple(f"{m}_{b}" for m in ("revenue", "spend", "roas") for b in ("lower", "point", "upper"))
-_SLICE_COLUMNS = ("channel", "last_ds", "average_spend", "floors", "roas_cvs", "horizons",
+_SLICE_COLUMNS = ("channel", "eligible", "last_ds", "average_spend", "floors", "roas_cvs", "horizons",
                   "trailing_revenue", "trailing_spend", "total_revenue", "total_spend")
 
 
@@ -32,10 +32,10 @@ def last_day(horizon: int | None) -> Column:
     return F.lit(horizon) if horizon is not None else F.array_max("horizons").cast("int")
 
 
-def future_days(models: DataFrame, horizon: int | None = None) -> DataFrame:
-    """Eligible slices times the days 1..horizon after their last training day."""
+def future_days(models: DataFrame, horizon: int | None = None, everyone: bool = False) -> DataFrame:
+    """Eligible slices (or ``everyone``) times the days 1..horizon after their last training day."""
     return (
-        models.where("eligible")
+        (models if everyone else models.where("eligible"))
         .withColumn("h", F.explode(F.sequence(F.lit(1), last_day(horizon))))
         .withColumn("ds", F.date_add("last_ds", F.col("h")))
         .withColumn("t", F.datediff("ds", "first_ds").cast("double"))
@@ -45,7 +45,7 @@ def future_days(models: DataFrame, horizon: int | None = None) -> DataFrame:
 def predict_daily(models: DataFrame, events: Sequence[Event],
                   keys: Sequence[str] = cfg.SLICE,
                   settings: cfg.ModelSettings = cfg.ModelSettings(),
-                  horizon: int | None = None, budget: str | None = None) -> DataFrame:
+                  horizon: int | None = None, budget: str | None = None, everyone: bool = False) -> DataFrame:
     """Daily log-scale predictions with bands for revenue and spend.
 
     ``budget`` names a column with the assumed daily spend; where it is NULL (or
@@ -53,7 +53,7 @@ def predict_daily(models: DataFrame, events: Sequence[Event],
     regressor revenue follows its own stages only, with the spread they leave.
     ``trend_changes`` adds what sampled intervals need to simulate changes of slope.
     """
-    future = with_event(future_days(models, horizon), events)
+    future = with_event(future_days(models, horizon, everyone), events)
     if not settings.use_spend_regressor:
         future = future.withColumns({"beta": F.lit(0.0), "y_sigma": F.col("stages_sigma")})
     trend = {}
@@ -182,9 +182,9 @@ def forecast(models: DataFrame, events: Sequence[Event],
              keys: Sequence[str] = cfg.SLICE,
              settings: cfg.ModelSettings = cfg.ModelSettings(),
              budget: str | None = None, floor: bool = True, interval: str = "analytic",
-             days: int = max(cfg.HORIZONS)) -> DataFrame:
-    """Window forecasts of every eligible slice: lower, point, upper of three metrics."""
-    daily = predict_daily(models, events, keys, settings, budget=budget)
+             days: int = max(cfg.HORIZONS), everyone: bool = False) -> DataFrame:
+    """Window forecasts of every eligible slice (or of ``everyone``): lower, point, upper of three metrics."""
+    daily = predict_daily(models, events, keys, settings, budget=budget, everyone=everyone)
     return ranges(daily, settings, keys, budget, floor, interval, days)
 
 

@@ -134,7 +134,7 @@ def fit_staged(series: DataFrame, events: Sequence[Event],
         F.covar_samp("y_res", "x_res").alias("yx_cov"),
         F.array(*(g[0] for g in guards)).alias("floors"),
         F.array(*(g[1] for g in guards)).alias("roas_cvs"),
-        F.bit_xor(F.xxhash64("ds", "revenue", "spend")).alias("fingerprint"),
+        F.bit_xor(S.day_print("ds", "revenue", "spend")).alias("fingerprint"),
         *trailing_aggregates(),
     )
     beta = F.when(F.col("x_sigma") > NO_SPREAD, F.col("raw_beta")).otherwise(F.lit(0.0))

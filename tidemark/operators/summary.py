@@ -14,28 +14,28 @@ from tidemark.operators.slice_model import eligible, floor_and_cv, trailing_aggr
 
 
 def campaign_summary(facts: DataFrame) -> DataFrame:
-    """Totals, ROAS, day counts and the most frequent type of every campaign.
+    """Totals, ROAS, day counts and the most frequent type of every campaign, from one scan without a join.
 
-    The facts are first reduced to one cell per campaign, type and day. Revenue
-    is never negative, so a day earns revenue when any of its cells does.
-    Rows without a date count in the sums but not in the day counts.
+    The facts are first reduced to one cell per campaign, type and day, and the cells are dealt by
+    campaign once; what a day and what a type adds up to are window values on these. Rows without a
+    date count in the sums but not in the day counts; of equally frequent types the first by name wins.
     """
     campaign = ("channel", "campaign_name")
     cells = facts.groupBy(*campaign, "campaign_type", "ds").agg(
         F.sum("revenue").alias("revenue"), F.sum("spend").alias("spend"),
-        F.count(F.lit(1)).alias("n"))
-    days = cells.groupBy(*campaign, "ds").agg(
-        F.sum("revenue").alias("revenue"), F.sum("spend").alias("spend"))
-    totals = days.groupBy(*campaign).agg(
+        F.count(F.lit(1)).alias("n")).repartition(*campaign)
+    of_day = Window.partitionBy(*campaign, "ds")
+    speaks = F.col("ds").isNotNull() & (F.row_number().over(of_day.orderBy("campaign_type")) == 1)
+    cells = cells.withColumns({
+        "type_n": F.sum("n").over(Window.partitionBy(*campaign, "campaign_type")),
+        "day_revenue": F.sum("revenue").over(of_day), "speaks": speaks})
+    return cells.groupBy(*campaign).agg(
+        F.min(F.struct((-F.col("type_n")).alias("order"), "campaign_type")).alias("best"),
         F.sum("revenue").alias("total_revenue"), F.sum("spend").alias("total_spend"),
-        F.count("ds").alias("active_days"),
-        F.count_if(F.col("ds").isNotNull() & (F.col("revenue") > 0)).alias("nonzero_revenue_days"))
-    types = cells.groupBy(*campaign, "campaign_type").agg(F.sum("n").alias("n"))
-    modal = types.groupBy(*campaign).agg(
-        F.min(F.struct((-F.col("n")).alias("order"), "campaign_type")).alias("best")
-    ).select(*campaign, F.col("best.campaign_type").alias("campaign_type"))
-    return totals.join(modal, list(campaign)).select(
-        *campaign, "campaign_type", "total_revenue", "total_spend",
+        F.count_if("speaks").alias("active_days"),
+        F.count_if(F.col("speaks") & (F.col("day_revenue") > 0)).alias("nonzero_revenue_days"),
+    ).select(
+        *campaign, F.col("best.campaign_type").alias("campaign_type"), "total_revenue", "total_spend",
         S.roas_zero("total_revenue", "total_spend").alias("roas"),
         "active_days", "nonzero_revenue_days")
 

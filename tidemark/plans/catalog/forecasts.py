@@ -41,11 +41,11 @@ def design_matrix(spark, folder):
         F.round("y_res", 6).alias("y_res"), F.round("x_res", 6).alias("x_res"))
 
 
-@query("joint_design_rows", sql=Q.query(Q.series(TOP_LEVELS), Q.event_table(EVENTS), """b AS (
+@query("joint_design_rows", sql=Q.query(Q.series(), Q.event_table(EVENTS), """b AS (
   SELECT level, entity, min(ds) AS lo, max(ds) AS hi, avg(ln(1 + CAST(spend AS DOUBLE))) AS m,
-         stddev_samp(ln(1 + CAST(spend AS DOUBLE))) AS s FROM series GROUP BY ALL)""", select="""
-SELECT level, entity, ds, round(date_diff('day', lo, ds) / CAST(date_diff('day', lo, hi) AS DOUBLE), 8) AS slope,
-       round(greatest(date_diff('day', lo, ds) / CAST(date_diff('day', lo, hi) AS DOUBLE) - 0.4, 0), 8) AS bend4,
+         CASE WHEN stddev_samp(ln(1 + CAST(spend AS DOUBLE))) > 0 THEN stddev_samp(ln(1 + CAST(spend AS DOUBLE))) ELSE 1 END AS s FROM series GROUP BY ALL)""", select="""
+SELECT level, entity, ds, round(date_diff('day', lo, ds) / CAST(greatest(date_diff('day', lo, hi), 1) AS DOUBLE), 8) AS slope,
+       round(greatest(date_diff('day', lo, ds) / CAST(greatest(date_diff('day', lo, hi), 1) AS DOUBLE) - 0.4, 0), 8) AS bend4,
        round(sin(2 * pi() * date_diff('day', DATE '1970-01-01', ds) / 365.25), 6) + 0 AS year_sin1,
        round(cos(2 * pi() * 3 * date_diff('day', DATE '1970-01-01', ds) / 7), 6) + 0 AS week_cos3,
        round((ln(1 + CAST(spend AS DOUBLE)) - m) / s, 6) + 0 AS log_spend,
@@ -55,7 +55,7 @@ def joint_design_rows(spark, folder):
     """A few named columns of the full design row."""
     design = J.Design()
     names = [t[0] for t in design.terms(EVENTS, cfg.ModelSettings())]
-    rows = J.design_matrix(series_of(spark, folder, TOP_LEVELS), EVENTS, design)
+    rows = J.design_matrix(series_of(spark, folder), EVENTS, design)
 
     def term(name: str, digits: int):
         return F.round(F.col("row")[names.index(name)], digits)
@@ -225,7 +225,9 @@ def forecast_slices(spark, folder):
     return shown(FC.forecast(models_of(spark, folder, settings=settings), EVENTS, settings=settings))
 
 
-@query("series_fingerprint")
+@query("series_fingerprint", sql=Q.query(Q.series(), select="""
+SELECT level, entity, bit_xor(CAST('0x' || substr(md5(strftime(ds, '%Y-%m-%d') || '|' || CAST(revenue AS VARCHAR) || '|'
+         || CAST(spend AS VARCHAR)), 1, 13) AS BIGINT)) AS fingerprint FROM series GROUP BY level, entity"""))
 def series_fingerprint(spark, folder):
     """Content hash of every slice."""
     return model_store.fingerprints(series_of(spark, folder))
@@ -235,11 +237,12 @@ def series_fingerprint(spark, folder):
 SELECT level, entity, n_days, last_ds AS trained_through, round(beta, 6) AS beta, round(y_sigma, 6) AS y_sigma
 FROM slices JOIN coef USING (level, entity)"""))
 def refit_changed(spark, folder):
-    """Only the account and the channels are stored; the refit has to add the other slices."""
+    """Only the account and the channels are stored; the refit has to add the other slices, and the store is
+    brought up to date in place."""
     path = shared_folder(spark, "models")
     model_store.save_models(models_of(spark, folder, TOP_LEVELS), path, EVENTS)
-    table = model_store.refit_changed(
-        series_of(spark, folder), model_store.load_models(spark, path), EVENTS)
+    model_store.update_models(series_of(spark, folder), path, EVENTS)
+    table = model_store.load_models(spark, path)
     return rounded(table.select("level", "entity", "n_days", "trained_through", "beta", "y_sigma"),
                    6, "beta", "y_sigma")
 

@@ -26,10 +26,10 @@ def calendar_densify(spark, folder):
     return doubles(dense.select("level", "entity", "ds", "revenue", "spend"), "revenue", "spend")
 
 
-@query("holiday_join", sql=Q.query(Q.series(TOP_LEVELS), Q.event_table(EVENTS), select="""
+@query("holiday_join", sql=Q.query(Q.series(), Q.event_table(EVENTS), select="""
 SELECT level, entity, ds, event, CAST(revenue AS DOUBLE) AS revenue FROM series JOIN promo USING (ds)"""))
 def holiday_join(spark, folder):
-    days = with_event(series_of(spark, folder, TOP_LEVELS), EVENTS).where("event IS NOT NULL")
+    days = with_event(series_of(spark, folder), EVENTS).where("event IS NOT NULL")
     return doubles(days.select("level", "entity", "ds", "event", "revenue"), "revenue")
 
 
@@ -47,14 +47,14 @@ def promo_calendar_days(spark, folder):
         F.count(F.lit(1)).alias("n_days"), F.sum("revenue").cast("double").alias("revenue"))
 
 
-@query("metric_zip", sql=Q.query(Q.forecasts(EVENTS, TOP_LEVELS), select="""
+@query("metric_zip", sql=Q.query(Q.forecasts(EVENTS), select="""
 SELECT r.level, r.entity, r.window_days, round(r.revenue_point, 2) AS revenue_point,
        round(s.spend_point, 2) AS spend_point, round(o.roas_point, 6) AS roas_point
 FROM forecasts r JOIN forecasts s USING (level, entity, window_days)
 JOIN forecasts o USING (level, entity, window_days)"""))
 def metric_zip(spark, folder):
     """The three metrics of a window travel in one wide row, so pairing them needs no join."""
-    cells = FC.forecast_cells(FC.forecast(models_of(spark, folder, TOP_LEVELS), EVENTS))
+    cells = FC.forecast_cells(FC.forecast(models_of(spark, folder), EVENTS))
     cells = cells.select("level", "entity", "window_days", "revenue_point", "spend_point", "roas_point")
     return rounded(rounded(cells, 2, "revenue_point", "spend_point"), 6, "roas_point")
 
@@ -72,21 +72,21 @@ def budget_lookup(spark, folder):
     return rounded(rows.select("entity", "budget", "average_spend"), 6, "average_spend")
 
 
-@query("future_frame", sql=Q.query(Q.series(TOP_LEVELS), Q.slices(), select="""
+@query("future_frame", sql=Q.query(Q.series(), Q.slices(), select="""
 SELECT level, entity, CAST(h AS INTEGER) AS h, CAST(last_ds + CAST(h AS INTEGER) AS DATE) AS ds,
        round(ln(1 + average_spend), 8) AS log_spend
 FROM slices CROSS JOIN range(1, 91) AS days(h) WHERE eligible"""))
 def future_frame(spark, folder):
-    future = FC.future_days(models_of(spark, folder, TOP_LEVELS))
+    future = FC.future_days(models_of(spark, folder))
     return future.select("level", "entity", "h", "ds", F.round(S.to_log("average_spend"), 8).alias("log_spend"))
 
 
-@query("horizon_expand", sql=Q.query(Q.series(TOP_LEVELS), Q.slices(), select="""
+@query("horizon_expand", sql=Q.query(Q.series(), Q.slices(), select="""
 SELECT level, entity, window_days, count(*) AS n, max(h) AS last_h
 FROM slices CROSS JOIN range(1, 91) AS days(h) JOIN (VALUES (30), (60), (90)) AS w(window_days) ON h <= window_days
 WHERE eligible GROUP BY ALL"""))
 def horizon_expand(spark, folder):
-    days = FC.in_windows(FC.future_days(models_of(spark, folder, TOP_LEVELS)))
+    days = FC.in_windows(FC.future_days(models_of(spark, folder)))
     return days.groupBy("level", "entity", "window_days").agg(
         F.count(F.lit(1)).alias("n"), F.max("h").cast("long").alias("last_h"))
 
@@ -149,11 +149,11 @@ def trailing_actuals(spark, folder):
     return rounded(M.trailing_actuals(series_of(spark, folder)), 6, "trailing_roas")
 
 
-@query("head_after_date", sql=Q.query(Q.series(TOP_LEVELS), Q.slices(), select="""
+@query("head_after_date", sql=Q.query(Q.series(), Q.slices(), select="""
 SELECT level, entity, CAST(last_ds + CAST(h AS INTEGER) AS DATE) AS ds
 FROM slices CROSS JOIN range(1, 31) AS days(h) WHERE eligible"""))
 def head_after_date(spark, folder):
-    future = FC.future_days(models_of(spark, folder, TOP_LEVELS))
+    future = FC.future_days(models_of(spark, folder))
     return future.where(F.datediff("ds", "last_ds").between(1, 30)).select("level", "entity", "ds")
 
 

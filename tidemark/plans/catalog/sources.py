@@ -11,7 +11,7 @@ from tidemark.operators.forecast import forecast, prediction_table
 from tidemark.operators.series import daily_series
 from tidemark.plans import sqlblocks as Q
 from tidemark.plans.catalog.registry import (
-    EVENTS, TOP_LEVELS, doubles, models_of, query, series_of)
+    EVENTS, doubles, models_of, query, series_of)
 from tidemark.session import shared_folder
 from tidemark.sources import feature_store, model_store, platform_csv
 from tidemark.sources.star_schema import ad_facts
@@ -195,7 +195,7 @@ def features_source(spark, folder):
     return doubles(stored.select("level", "entity", "ds", "revenue", "spend"), "revenue", "spend")
 
 
-@query("predictions_sink", sql=Q.query(Q.forecasts(EVENTS, TOP_LEVELS), select="""
+@query("predictions_sink", sql=Q.query(Q.forecasts(EVENTS), select="""
 SELECT window_days, level, entity, round_even(revenue_lower, 2) AS revenue_lower,
        round_even(revenue_point, 2) AS revenue_point, round_even(revenue_upper, 2) AS revenue_upper,
        round_even(spend_point, 2) AS spend_point, round_even(roas_lower, 4) AS roas_lower,
@@ -208,21 +208,21 @@ SELECT 0, 'trailing_30d', 'all', round_even(trailing_revenue, 2), round_even(tra
        round_even(trailing_revenue / trailing_spend, 4)
 FROM recent_days WHERE level = 'aggregate'"""))
 def predictions_sink(spark, folder):
-    models = models_of(spark, folder, TOP_LEVELS)
+    models = models_of(spark, folder)
     path = shared_folder(spark, "predictions")
     feature_store.save_predictions(prediction_table(models, forecast(models, EVENTS)), path)
     return feature_store.load_predictions(spark, path)
 
 
 @query("model_table", sql=Q.query(
-    Q.series(TOP_LEVELS), Q.slices(), Q.fit(EVENTS), select="""
+    Q.series(), Q.slices(), Q.fit(EVENTS), select="""
 SELECT level, entity, n_days, nonzero_days, last_ds AS trained_through, round(beta, 6) AS beta,
        round(y_sigma, 6) AS y_sigma, round(x_sigma, 6) AS x_sigma,
        CAST(0.8 AS DOUBLE) AS setting_interval_width
 FROM slices JOIN coef USING (level, entity)"""))
 def model_table(spark, folder):
     path = shared_folder(spark, "models")
-    model_store.save_models(models_of(spark, folder, TOP_LEVELS), path, EVENTS)
+    model_store.save_models(models_of(spark, folder), path, EVENTS)
     return model_store.load_models(spark, path).select(
         "level", "entity", "n_days", "nonzero_days", "trained_through",
         *(F.round(c, 6).alias(c) for c in ("beta", "y_sigma", "x_sigma")), "setting_interval_width")

@@ -17,16 +17,16 @@ from tidemark.sources import feature_store as store
 
 
 def predictions(facts: DataFrame, events: Sequence[Event],
-                settings: cfg.ModelSettings = cfg.ModelSettings()) -> DataFrame:
+                settings: cfg.ModelSettings = cfg.ModelSettings(), interval: str = "analytic") -> DataFrame:
     """Predictions of all four levels and the trailing row, as one lazy plan."""
     models = fit_staged(daily_series(facts), events, settings=settings)
-    return prediction_table(models, forecast(models, events, settings=settings))
+    return prediction_table(models, forecast(models, events, settings=settings, interval=interval))
 
 
 def score(spark: SparkSession, facts: DataFrame, folder: str,
           events: Sequence[Event] = cfg.PROMO_EVENTS,
           settings: cfg.ModelSettings = cfg.ModelSettings(),
-          lookback_days: int = cfg.LOOKBACK_DAYS) -> dict[str, str]:
+          lookback_days: int = cfg.LOOKBACK_DAYS, interval: str = "analytic") -> dict[str, str]:
     """Write features, campaign summary, predictions and anomalies below ``folder``.
 
     The features are materialised because several later steps read them: the
@@ -37,7 +37,7 @@ def score(spark: SparkSession, facts: DataFrame, folder: str,
     campaign_summary(facts).write.parquet(paths["campaign_summary"])
 
     models = fit_staged(store.load_features(spark, paths["features"]), events, settings=settings)
-    table = prediction_table(models, forecast(models, events, settings=settings))
+    table = prediction_table(models, forecast(models, events, settings=settings, interval=interval))
     store.save_predictions(table, paths["predictions"])
 
     watched = store.load_features(spark, paths["features"], ("aggregate", "channel"))

@@ -24,16 +24,26 @@ def local_session(cpus: int = 8, app: str = "tidemark") -> SparkSession:
     )
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the one the cluster names in ``spark.checkpoint.dir``.
+#: Scratch folders of local sessions whose settings name none, by application.
+_local: dict[str, str] = {}
 
-    Only a local master may fall back to a temporary folder: on a cluster a
+
+def shared_folder(spark: SparkSession, purpose: str, root: str | None = None) -> str:
+    """A fresh folder below ``root``, or below the one the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session inside this process may fall back to a temporary folder: on a cluster a
     machine-local path would be invisible to the other executors.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = root or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.partition("[")[0] == "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        root = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tidemark-")
+        _local[spark.sparkContext.applicationId] = root
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a written intermediate that nothing reads any more, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

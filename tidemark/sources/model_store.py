@@ -6,10 +6,11 @@ import hashlib
 from collections.abc import Sequence
 from dataclasses import asdict
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import config as cfg
+from tidemark.functions import scalars as S
 from tidemark.operators.promo import Event
 from tidemark.operators.slice_model import fit_staged
 
@@ -28,13 +29,21 @@ def with_settings(models: DataFrame, events: Sequence[Event], settings: cfg.Mode
     })
 
 
+#: Parts of a level in the store; an update rewrites the parts that have a changed slice.
+SHARDS = 16
+
+
+def _stored(models: DataFrame) -> DataFrame:
+    return models.withColumn("shard", F.pmod(F.xxhash64("entity"), F.lit(SHARDS)).cast("int"))
+
+
 def save_models(models: DataFrame, path: str, events: Sequence[Event],
                 settings: cfg.ModelSettings = cfg.ModelSettings()) -> None:
-    with_settings(models, events, settings).write.mode("errorifexists").partitionBy("level").parquet(path)
+    _stored(with_settings(models, events, settings)).write.mode("errorifexists").partitionBy("level", "shard").parquet(path)
 
 
 def load_models(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("shard")
 
 
 def load_settings(stored: DataFrame) -> cfg.ModelSettings:
@@ -52,8 +61,7 @@ def load_settings(stored: DataFrame) -> cfg.ModelSettings:
 
 def fingerprints(series: DataFrame) -> DataFrame:
     """Order-independent content hash of every slice."""
-    return series.groupBy(*cfg.SLICE).agg(
-        F.bit_xor(F.xxhash64("ds", "revenue", "spend")).alias("fingerprint"))
+    return series.groupBy(*cfg.SLICE).agg(F.bit_xor(S.day_print("ds", "revenue", "spend")).alias("fingerprint"))
 
 
 def _same_fit(events: Sequence[Event], settings: cfg.ModelSettings, horizons: Sequence[int]) -> Column:
@@ -64,25 +72,52 @@ def _same_fit(events: Sequence[Event], settings: cfg.ModelSettings, horizons: Se
     return same
 
 
+def _with_stored(series: DataFrame, stored: DataFrame, events: Sequence[Event], settings: cfg.ModelSettings,
+                 horizons: Sequence[int]) -> DataFrame:
+    """Each day with ``stored``: its slice's row in the store if that was fitted on the same content in the same way, else NULL.
+
+    The fingerprint is a window value over the clustering that the series has already, so the facts
+    are read once; the store has one row per slice.
+    """
+    fresh = stored.where(_same_fit(events, settings, horizons)).select(*cfg.SLICE, "fingerprint", F.struct(*stored.columns).alias("stored"))
+    print_ = F.bit_xor(S.day_print("ds", "revenue", "spend")).over(Window.partitionBy(*cfg.SLICE))
+    return series.withColumn("fingerprint", print_).join(fresh, [*cfg.SLICE, "fingerprint"], "left").drop("fingerprint")
+
+
 def stale_slices(series: DataFrame, stored: DataFrame, events: Sequence[Event],
                  settings: cfg.ModelSettings = cfg.ModelSettings(),
                  horizons: Sequence[int] = cfg.HORIZONS) -> DataFrame:
     """Slices without a stored fit of the same content, event calendar, hyperparameters and horizons."""
-    fresh = stored.where(_same_fit(events, settings, horizons)).select(*cfg.SLICE, "fingerprint")
-    return fingerprints(series).join(fresh, [*cfg.SLICE, "fingerprint"], "left_anti").select(*cfg.SLICE)
+    return _with_stored(series, stored, events, settings, horizons).where("stored is null").select(*cfg.SLICE).distinct()
 
 
 def refit_changed(series: DataFrame, stored: DataFrame, events: Sequence[Event],
                   settings: cfg.ModelSettings = cfg.ModelSettings(),
                   horizons: Sequence[int] = cfg.HORIZONS) -> DataFrame:
-    """A complete model table: stored rows where nothing changed, new fits elsewhere."""
-    stale = stale_slices(series, stored, events, settings, horizons)
-    refitted = with_settings(
-        fit_staged(series.join(stale, list(cfg.SLICE), "left_semi"), events, settings=settings, horizons=horizons),
+    """A complete model table with ``refitted``: stored rows where nothing changed, new fits elsewhere.
+
+    Of a slice that needs no fit a single day goes on, which brings its stored row.
+    """
+    days = _with_stored(series, stored, events, settings, horizons)
+    first = F.col("ds") == F.min("ds").over(Window.partitionBy(*cfg.SLICE))
+    needed = days.withColumn("first", first).where("stored is null or first").drop("first")
+    fitted = with_settings(
+        fit_staged(needed, events, settings=settings, horizons=horizons, carry=("stored",)),
         events, settings)
-    kept = stored.where(_same_fit(events, settings, horizons)).join(
-        fingerprints(series), [*cfg.SLICE, "fingerprint"], "left_semi")
-    return kept.select(*refitted.columns).unionByName(refitted)
+    known = F.col("stored").isNotNull()
+    columns = [c for c in fitted.columns if c != "stored"]
+    return fitted.select(*((F.when(known, F.col(f"stored.{c}")).otherwise(F.col(c)) if c in stored.columns else F.col(c)).alias(c)
+                           for c in columns), (~known).alias("refitted"))
+
+
+def update_models(series: DataFrame, path: str, events: Sequence[Event],
+                  settings: cfg.ModelSettings = cfg.ModelSettings(),
+                  horizons: Sequence[int] = cfg.HORIZONS) -> None:
+    """Brings a store up to date: only the parts that have a refitted slice are written again."""
+    table = _stored(refit_changed(series, load_models(series.sparkSession, path), events, settings, horizons))
+    touched = F.max("refitted").over(Window.partitionBy("level", "shard"))
+    (table.withColumn("touched", touched).where("touched").drop("touched", "refitted")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("level", "shard").parquet(path))
 
 
 def train_models(series: DataFrame, events: Sequence[Event],
