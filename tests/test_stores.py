@@ -99,9 +99,10 @@ def test_fingerprint_ignores_row_order(make_series):
     assert one == model_store.fingerprints(series.repartition(5).orderBy(F.rand(3))).collect()
 
 
-def test_scratch_folders(spark, monkeypatch):
+def test_scratch_folders(spark):
     class Plain:
-        sparkContext = spark.sparkContext
+        class sparkContext:
+            master, applicationId = "local[2]", "one"
 
         class conf:
             get = staticmethod(lambda key, default=None: default)
@@ -109,7 +110,7 @@ def test_scratch_folders(spark, monkeypatch):
     one, two = shared_folder(Plain, "a"), shared_folder(Plain, "a")
     assert one != two and one.rsplit("/", 1)[0] == two.rsplit("/", 1)[0]
     assert shared_folder(Plain, "a", "/elsewhere/").startswith("/elsewhere/a-")
-    monkeypatch.setattr(type(spark.sparkContext), "master", "local-cluster[2,1,1024]")
+    Plain.sparkContext.master = "local-cluster[2,1,1024]"
     with pytest.raises(RuntimeError, match="checkpoint"):
         shared_folder(Plain, "a")
     path = shared_folder(spark, "gone")
