@@ -91,20 +91,22 @@ def spans(docs: DataFrame) -> DataFrame:
         F.xxhash64("doc_id", "text").alias("key"), "doc_id",
         F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), F.lit(f"({WORD})"), F.lit(1)).alias("words"))
     hashed = tokens.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
-
-    def grams(k: int) -> Column:
-        return F.transform("h", lambda x, i: F.xxhash64(F.lit(k), x, *[F.get("h", i + j) for j in range(1, k)]))
-
-    # k-grams for phrases, k-grams for notices, and one empty place that keeps documents without hits
-    placed = hashed.select(
-        "key", "doc_id", "words", F.size("words").alias("n"),
-        F.posexplode(F.concat(grams(PHRASE_K), grams(NOTICE_K), F.array(F.lit(None).cast("long")))).alias("at", "gram"))
-    voted = placed.join(F.broadcast(places), "gram", "left").where(
-        (F.col("at") == 2 * F.col("n")) | F.col("tid").isNotNull()).select(
-        "key", "doc_id", "n", "tid", "label", "base", "need", "tpos", "tw", "k",
-        F.when(F.col("at") >= F.col("n"), F.col("at") - F.col("n")).otherwise(F.col("at")).alias("pos"),
-        F.slice("words", F.when(F.col("at") >= F.col("n"), F.col("at") - F.col("n")).otherwise(F.col("at")) + 1,
-                F.coalesce("k", F.lit(0))).alias("here"))
+    # the grams of the templates, a few hundred constants
+    sought = {k: [r["gram"] for r in places.where(F.col("k") == k).select("gram").distinct().collect()] for k in (PHRASE_K, NOTICE_K)}
+
+    def hits(k: int) -> Column:
+        """(pos, gram, k, here): the k-grams of a document that a template has, with their own words only."""
+        grams = F.transform("h", lambda x, i: F.struct(
+            i.alias("pos"), F.xxhash64(F.lit(k), x, *[F.get("h", i + j) for j in range(1, k)]).alias("gram")))
+        found = F.filter(grams, lambda g: g["gram"].isin(sought[k]))
+        return F.transform(found, lambda g: F.struct(
+            g["pos"].alias("pos"), g["gram"].alias("gram"), F.lit(k).alias("k"), F.slice("words", g["pos"] + 1, F.lit(k)).alias("here")))
+
+    nothing = F.array(F.struct(F.lit(0).alias("pos"), F.lit(None).cast("long").alias("gram"), F.lit(None).cast("int").alias("k"),
+                               F.lit(None).cast("array<string>").alias("here")))
+    # phrases, notices, and one empty place that keeps documents without hits
+    placed = hashed.select("key", "doc_id", F.size("words").alias("n"), F.inline(F.concat(hits(PHRASE_K), hits(NOTICE_K), nothing)))
+    voted = placed.join(F.broadcast(places), ["gram", "k"], "left").where("gram is null or tid is not null")
     verified = voted.where("tid is null or here = tw").repartition("key")
     diagonals = verified.groupBy("key", "doc_id", "n", "tid", "label", "base", "need", "k", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
         F.collect_set("tpos").alias("covered"), F.min("pos").alias("start"), F.max("pos").alias("last"), F.count("*").alias("votes"))
