@@ -304,6 +304,13 @@ class QualityModel:
     lexicon: ToxicWords
 
 
+def _first(rows: DataFrame, sample: int) -> DataFrame:
+    """The rows of the smallest keys, each key once: the keys are chosen without their texts."""
+    keys = rows.select("key").distinct().orderBy("key").limit(sample)
+    return rows.join(F.broadcast(keys), "key", "left_semi").groupBy("key").agg(
+        *(F.first(c).alias(c) for c in rows.columns if c != "key")).select(*rows.columns)
+
+
 def train(rows: DataFrame, sample: int = SAMPLE) -> QualityModel:
     lexicon = toxic_words(rows)
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
@@ -313,7 +320,7 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> QualityModel:
         some = got[got["kind"] == kind]
         patterns = np.array([list(map(int, v)) for v in some["votes"]], dtype=np.int64).reshape(-1, width)
         models.append(expectation_maximisation(patterns, some["n"].to_numpy(dtype=np.float64), start(patterns)))
-    chosen = rows.orderBy("key").limit(sample).union(rows.where("quality >= 0").orderBy("key").limit(sample))
+    chosen = _first(rows, sample).union(_first(rows.where("quality >= 0"), sample))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
