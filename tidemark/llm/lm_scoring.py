@@ -16,7 +16,9 @@ Words are runs of letters and digits, A-Z lower-cased, and of any non-ASCII char
 
 Defined cases: null and empty text have no tokens, and null losses and score; without target documents both models are
 the smoothing alone and the background; repeated rows get equal rows; several labels rows of a doc_id count by their
-minimum quality and maximum toxic; an empty table gives no rows; other columns are ignored.
+minimum quality and maximum toxic; texts of any length are scored whole, one document in one chunk; equal scores need no
+order, nothing is ranked; an empty table gives no rows; other columns are ignored. The smoothing's vocabulary is the
+counted words and one more for all unseen.
 """
 
 from __future__ import annotations
@@ -33,8 +35,6 @@ from tidemark.llm import text as T
 from tidemark.llm.common import content_key, table
 from tidemark.llm.quality import labelled
 
-#: Words of the smoothing's vocabulary at least; a corpus with more distinct words counts them.
-WORDS = 1 << 20
 #: Text of a chunk of documents, and of the corpus for each slice of the hash range.
 CHUNK_BYTES = 4 << 20
 #: Weight of the bigram model where its history has been seen, against the unigram model.
@@ -165,7 +165,7 @@ def counts(rows: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> Models:
         ask, "slice int, chunk int, grams binary, background binary, target binary")
     answers = asked.groupBy("slice").applyInArrow(answer, "chunk int, slice int, background binary, target binary")
     tokens, words = totals(rows, slices)
-    return Models(chunks, answers, tokens, max(WORDS, words))
+    return Models(chunks, answers, tokens, words + 1)  # one more for all words that are not in the corpus
 
 
 def own_counts(doc: np.ndarray, slot: np.ndarray) -> np.ndarray:
