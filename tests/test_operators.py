@@ -20,7 +20,9 @@ from tidemark.operators import narrative as N
 from tidemark.operators import promo, sampling
 from tidemark.operators import summary as M
 from tidemark.operators import validation as V
-from tidemark.operators.series import daily_series, daily_totals, densify
+from tidemark.operators.models import joint
+from tidemark.operators.series import (
+    daily_series, daily_totals, densify, gap_free, sparse_series, with_first_gap_days)
 from tidemark.operators.slice_model import fit_staged, model_coefficients
 
 EVENTS = cfg.PROMO_EVENTS
@@ -60,6 +62,41 @@ def test_texts_round_ties_to_even(spark):
 
 # -- series ---------------------------------------------------------------------
 
+def test_far_dates_do_not_explode(make_facts):
+    """A fact dated 9999 stops a gap-free series and adds one row to a sparse one."""
+    facts = make_facts([("a", "t", "x", "2024-01-01", 10, 1), ("a", "t", "x", "2024-01-04", 20, 2), ("a", "t", "x", "9999-12-31", 5, 1)])
+    with pytest.raises(Exception, match="sparse series"):
+        daily_series(facts, ("channel",)).collect()
+    sparse = sparse_series(facts, ("channel",))
+    assert [(r.ds.year, r.gap) for r in sparse.orderBy("ds").collect()] == [
+        (2024, 2), (2024, (date(9999, 12, 31) - date(2024, 1, 4)).days - 1), (9999, 0)]
+    assert with_first_gap_days(sparse, 5).count() == 3 + 2 + 5
+    assert A.detect(with_first_gap_days(sparse), 10_000_000, by_date=True).count() >= 0
+    near = facts.where("ds < '2025-01-01'")
+    dense = daily_series(near, ("channel",))
+    assert gap_free(sparse_series(near, ("channel",))).select(dense.columns).exceptAll(dense).count() == 0
+    with pytest.raises(Exception, match="no facts for 2 days"):
+        gap_free(sparse_series(near, ("channel",)), longest_gap=1).collect()
+
+
+def test_sparse_statistics_equal_the_dense_ones(make_facts):
+    r = random.Random(8)
+    days = sorted(r.sample(range(300), 90)) + [299]
+    facts = make_facts([("a", "t", "x", (date(2024, 1, 1) + timedelta(days=i)).isoformat(), r.random() * 100, 1 + r.random()) for i in days])
+    dense = A.scored(daily_series(facts, ("channel",)), 90)
+    sparse = A.scored(sparse_series(facts, ("channel",)), 90, by_date=True)
+    dense_rows = {x.ds: x for x in dense.collect()}
+    for x in sparse.collect():
+        for c in ("revenue_z", "roas_z", "mean14", "revenue_wow", "spend_wow"):
+            assert x[c] == (dense_rows[x.ds][c] if dense_rows[x.ds][c] is None else pytest.approx(dense_rows[x.ds][c], rel=1e-9, abs=1e-12)), (x.ds, c)
+        assert x.recent == dense_rows[x.ds].recent
+    one_way = {(a.ds, a.type): a.magnitude for a in A.detect(daily_series(facts, ("channel",)), 3000, 1.5, everywhere=True).collect()}
+    other = {(a.ds, a.type): a.magnitude for a in A.detect(
+        with_first_gap_days(sparse_series(facts, ("channel",))), 3000, 1.5, everywhere=True, by_date=True).collect()}
+    assert one_way.keys() == other.keys() and len(other) > 5
+    assert all(other[k] == pytest.approx(v, rel=1e-9) for k, v in one_way.items())
+
+
 def test_gap_is_filled_over_own_range(make_facts):
     facts = make_facts([("a", "t", "n", "2024-01-01", 5, 1), ("a", "t", "n", "2024-01-02", 6, 1),
                         ("a", "t", "n", "2024-01-10", 7, 0), ("b", "t", "m", "2024-01-05", 1, 1),
@@ -378,8 +415,12 @@ def test_joint_fit_per_slice(make_series):
     long = J.joint_coefficients(fitted, EVENTS, design).collect()
     terms = design.terms(EVENTS, cfg.ModelSettings())
     assert len(long) == 2 * (2 * len(terms) - 1)
-    daily = J.predict_joint(fitted, fit_staged(series, EVENTS), EVENTS, design)
-    windows = FC.with_roas(FC.window_sums(daily)).collect()
+    model = joint(design)
+    models = model.fit(series, EVENTS)
+    assert {r.entity: r.coef for r in models.collect()} == {r.entity: r.coef for r in fitted.collect()}
+    windows = FC.forecast(models, EVENTS, predict=model.predict).collect()
+    rich = B.simulate_channels(models, EVENTS, {"a": 1000.0}, model=model).where("entity = 'a' and window_days = 30").head()
+    assert rich.spend_point == 30_000.0 and rich.revenue_point > windows[0].revenue_point
     assert len(windows) == 6 and all(w.revenue_point > 0 and w.revenue_upper >= w.revenue_point for w in windows)
 
 
@@ -441,14 +482,66 @@ def test_contexts_are_json(make_series):
     assert [w["days"] for w in doc["forecast_windows"]] == [30, 60, 90]
     assert set(doc["channel_30d"]) == {"a"} and doc["forecast_windows"][0]["interval_width_pct"] == 80
     assert doc["trailing_30d"]["period"] == "2024-06-19 to 2024-07-18"
-    sim = json.loads(one(N.context_budget(models, EVENTS, {"a": 15.0})).context)
+    windows = N.scenario_windows(models, EVENTS, {"a": 15.0})
+    assert {(w.scenario, w.level) for w in windows.collect()} == {("baseline", "aggregate"), ("baseline", "channel"), ("budget", "channel")}
+    assert json.loads(one(N.context_forecast(windows)).context) == doc
+    sim = json.loads(one(N.context_budget(windows, {"a": 15.0})).context)
     assert sim["total_daily_budget"] == 15.0 and set(sim["portfolio_forecast"]) == {"30", "60", "90"}
     assert sim["channel_30d"]["a"]["budget_30d"] == 450
-    risk = json.loads(one(N.context_risk(forecasts, found, {"a": 15.0})).context)
+    assert sim["baseline_30d"]["revenue"] == doc["forecast_windows"][0]["revenue_point"]
+    risk = json.loads(one(N.context_risk(windows, found, {"a": 15.0})).context)
     assert risk["budget_by_channel"] == {"a": 15.0} and set(risk["channel_concentration"]) == {"a"}
-    prompts = N.prompt_table(models, forecasts, found, EVENTS, {"a": 15.0}).collect()
-    assert {p.prompt_kind for p in prompts} == {"forecast", "budget", "anomalies", "risk"}
-    assert all(len(p.user_text) > 50 for p in prompts)
+    listed = json.loads(one(N.context_anomalies(windows, found)).context)
+    assert listed["trailing_30d"] == doc["trailing_30d"] and len(listed["anomalies"]) == min(6, found.count())
+    prompts = {p.prompt_kind: p for p in N.prompt_table(windows, found, {"a": 15.0}).collect()}
+    assert set(prompts) == {"forecast", "budget", "anomalies", "risk"} and all(p.needs_call for p in prompts.values())
+    assert all(p.context in p.user_text and len(p.user_text) > 50 for p in prompts.values())
+    shown = one(N.preview(windows, found, "a service"))
+    assert json.loads(shown.forecast_explanation_prompt) == doc and shown.anomaly_count == found.count()
+    assert len(shown.top_anomalies) == min(4, found.count()) and shown.service == "a service"
+
+
+def test_prompts_without_anomalies(make_series):
+    series = make_series({"all": noisy(200), "a": noisy(200)})
+    models = fit_staged(series, EVENTS)
+    windows, none = N.scenario_windows(models, EVENTS, {}), A.detect(series, 3000).limit(0)
+    prompts = {p.prompt_kind: p for p in N.prompt_table(windows, none, {"a": 1.0}).collect()}
+    assert not prompts["anomalies"].needs_call and prompts["anomalies"].user_text == cfg.TEXT_NO_RECENT_ANOMALY
+    assert prompts["forecast"].needs_call and one(N.preview(windows, none)).top_anomalies == []
+
+
+def test_documents_read_back_by_their_schema(make_series):
+    series = make_series({"all": noisy(200), "a": noisy(200)})
+    windows, found = N.scenario_windows(fit_staged(series, EVENTS), EVENTS, {"a": 15.0}), A.detect(series, 3000)
+    for kind, made in (("forecast", N.context_forecast(windows)), ("budget", N.context_budget(windows, {"a": 15.0})),
+                       ("anomalies", N.context_anomalies(windows, found)), ("risk", N.context_risk(windows, found, {"a": 15.0}))):
+        doc = json.loads(one(made).context)
+
+        def leaves(value):
+            if isinstance(value, dict):
+                return sum(map(leaves, value.values()))
+            return sum(map(leaves, value)) if isinstance(value, list) else 1
+
+        assert N.document_rows(made, kind).count() == leaves(doc)
+
+
+def test_a_window_that_was_not_fitted_is_an_error(loglog_models):
+    with pytest.raises(Exception, match="no window of 45 days"):
+        B.marginal_curve(loglog_models, EVENTS, "a", [100.0], window_days=45).collect()
+
+
+def test_budgets_without_a_model_fall_back(make_series):
+    """One pass gives modelled channels, channels by ratio, and drops those that have neither."""
+    series = make_series({"all": loglog(200), "a": loglog(200), "b": loglog(50), "c": loglog(50)})
+    models = fit_staged(series, EVENTS)
+    rows = {(r.entity, r.window_days): r for r in B.simulated(B.with_budget(models, {"a": 30.0, "b": 10.0}), EVENTS).collect()}
+    assert {e for e, _ in rows} == {"a", "b"} and rows["a", 30].by_model and not rows["b", 30].by_model
+    fallback = {r.window_days: r for r in B.simulate_fallback(models, {"a": 30.0, "b": 10.0}).collect()}
+    for d in cfg.HORIZONS:
+        for c in ("revenue_lower", "revenue_point", "revenue_upper", "spend_point"):
+            assert rows["b", d][c] == pytest.approx(fallback[d][c])
+    total = {r.window_days: r for r in B.portfolio(models, EVENTS, {"a": 30.0, "b": 10.0}).collect()}
+    assert total[30].revenue_point == pytest.approx(rows["a", 30].revenue_point + rows["b", 30].revenue_point)
 
 
 def test_windows_beyond_ninety_days_sum_all_their_days(spark, make_series):

@@ -77,6 +77,9 @@ FALLBACK_BAND = (0.6, 1.4)
 DISPLAY_MIN_POINT = 100
 TRAILING_DAYS = 30
 
+#: Days without facts that a gap-free series fills at most.
+LONGEST_GAP = 3660
+
 # Anomaly rules.
 Z_WINDOW = 14
 Z_THRESHOLD = 2.5
@@ -95,6 +98,7 @@ TEXT_DECOUPLING = ("Spend rose %s WoW but revenue fell %s WoW. "
 TEXT_CHANNEL = "%s revenue %s (%sσ). Revenue: $%s, spend: $%s."
 TEXT_DIGEST_LINE = "- [%s] %s | %s | %s"
 TEXT_NO_ANOMALY = "No significant anomalies detected in the lookback window."
+TEXT_NO_RECENT_ANOMALY = "No significant anomalies detected in the recent data."
 
 LEVELS = ("aggregate", "channel", "campaign_type", "campaign")
 SLICE = ("level", "entity")

@@ -1,8 +1,12 @@
-"""Rolling frames over gap-free daily series.
+"""Rolling frames over daily series.
 
 Every frame is ``PARTITION BY <slice keys> ORDER BY ds``, so all of them share
 the one exchange that clusters a series. A series holds at most one row per
 calendar day, which bounds each window partition.
+
+Frames of rows need gap-free series. The ``_by_date`` forms have frames of days instead and
+count the days without a row as zeros, so that a sparse series gives the same values on the
+days it has.
 """
 
 from __future__ import annotations
@@ -71,3 +75,41 @@ def in_lookback(days: int, keys: Sequence[str] = cfg.SLICE) -> Column:
     """True on the last ``days`` days before (and on) the series' own last day."""
     last = F.max("ds").over(Window.partitionBy(*keys))
     return F.col("ds") >= F.date_sub(last, days)
+
+
+# -- frames of days, for series whose days without facts have no row -----------------
+
+def days_back(keys: Sequence[str], first: int, last: int = 0) -> WindowSpec:
+    """The rows of the days from ``first`` to ``last`` days before."""
+    day = F.unix_date("ds")
+    return Window.partitionBy(*keys).orderBy(day).rangeBetween(-first, -last)
+
+
+def days_so_far(keys: Sequence[str]) -> Column:
+    """Calendar days of the slice up to and including this one."""
+    return F.datediff("ds", F.min("ds").over(Window.partitionBy(*keys))) + 1
+
+
+def sum_by_date(column: str, days: int, keys: Sequence[str] = cfg.SLICE, need: int | None = None, lag: int = 0) -> Column:
+    """Sum over the ``days`` days that end ``lag`` days before, NULL until ``need`` (default half) of them exist."""
+    enough = days_so_far(keys) - lag >= (days // 2 if need is None else need)
+    total = F.coalesce(F.sum(column).over(days_back(keys, lag + days - 1, lag)), F.lit(0))
+    return F.when(enough, total)
+
+
+def zscore_by_date(value: Column, keys: Sequence[str] = cfg.SLICE, days: int = cfg.Z_WINDOW,
+                   exclude_current: bool = False) -> Column:
+    """As ``rolling_zscore``; the deviations of at most ``days`` values are added up one by one."""
+    last = 1 if exclude_current else 0
+    window = days_back(keys, days - 1 + last, last)
+    n = F.least(F.lit(days), days_so_far(keys) - last)
+    seen = F.collect_list(value).over(window)
+    mean = F.coalesce(F.sum(value).over(window), F.lit(0.0)) / n
+    spread = F.aggregate(seen, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean)) + (n - F.size(seen)) * mean * mean
+    deviation = F.sqrt(spread / F.greatest(n - 1, F.lit(1)))
+    return F.when((n >= days // 2) & (n > 1) & (deviation > 0), (value - mean) / deviation)
+
+
+def full_mean_by_date(value: Column, keys: Sequence[str] = cfg.SLICE, days: int = cfg.Z_WINDOW) -> Column:
+    """Mean of exactly ``days`` days, NULL before that many exist."""
+    return F.when(days_so_far(keys) >= days, F.sum(value).over(days_back(keys, days - 1)) / days)

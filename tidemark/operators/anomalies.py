@@ -8,6 +8,7 @@ day, |z| is at most 3.47, so a z anomaly is never of high severity.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,29 +16,39 @@ from pyspark.sql import functions as F
 from tidemark import config as cfg
 from tidemark.functions import scalars as S
 from tidemark.functions.rolling import (
-    by_day, full_window_mean, in_lookback, rolling_zscore, with_rolling_sums)
+    by_day, full_mean_by_date, full_window_mean, in_lookback, rolling_zscore, sum_by_date, with_rolling_sums, zscore_by_date)
 
 COLUMNS = ("ds", "type", "scope", "magnitude", "magnitude_unit", "severity", "description")
 
 
 def scored(series: DataFrame, lookback_days: int = cfg.LOOKBACK_DAYS,
-           keys: Sequence[str] = cfg.SLICE, exclude_current: bool = False) -> DataFrame:
-    """Daily series with z-scores, week-over-week changes and the lookback flag."""
+           keys: Sequence[str] = cfg.SLICE, exclude_current: bool = False, by_date: bool = False) -> DataFrame:
+    """Daily series with z-scores, week-over-week changes and the lookback flag.
+
+    ``by_date`` is for series that have no rows for (some) days without facts.
+    """
     revenue = F.col("revenue").cast("double")
     roas = S.roas_daily("revenue", "spend")
-    rolled = with_rolling_sums(series, ("revenue", "spend"), (cfg.WEEK_ROWS,), keys,
-                               {cfg.WEEK_ROWS: cfg.WEEK_MIN_ROWS})
-    w = by_day(keys)
-    week = f"_{cfg.WEEK_ROWS}d"
+    n, need = cfg.WEEK_ROWS, cfg.WEEK_MIN_ROWS
+    week = f"_{n}d"
+    if by_date:
+        rolled = series.withColumns({f"{c}{week}": sum_by_date(c, n, keys, need) for c in ("revenue", "spend")})
+        score = partial(zscore_by_date, keys=keys, exclude_current=exclude_current)
+        mean = full_mean_by_date(revenue, keys)
+    else:
+        rolled = with_rolling_sums(series, ("revenue", "spend"), (n,), keys, {n: need})
+        score = partial(rolling_zscore, keys=keys, exclude_current=exclude_current)
+        mean = full_window_mean(revenue, keys)
 
     def wow(c: str) -> Column:
-        return S.relative_change(F.col(c + week), F.lag(c + week, cfg.WEEK_ROWS).over(w))
+        before = sum_by_date(c, n, keys, need, lag=n) if by_date else F.lag(c + week, n).over(by_day(keys))
+        return S.relative_change(F.col(c + week), before)
 
     return rolled.withColumns({
         "roas": roas,
-        "revenue_z": rolling_zscore(revenue, keys, exclude_current=exclude_current),
-        "roas_z": rolling_zscore(F.coalesce(roas, F.lit(0.0)), keys, exclude_current=exclude_current),
-        "mean14": full_window_mean(revenue, keys),
+        "revenue_z": score(revenue),
+        "roas_z": score(F.coalesce(roas, F.lit(0.0))),
+        "mean14": mean,
         "revenue_wow": wow("revenue"),
         "spend_wow": wow("spend"),
         "recent": in_lookback(lookback_days, keys),
@@ -106,9 +117,12 @@ def ordered(anomalies: DataFrame) -> DataFrame:
 
 def detect(series: DataFrame, lookback_days: int = cfg.LOOKBACK_DAYS,
            z_threshold: float = cfg.Z_THRESHOLD, everywhere: bool = False,
-           exclude_current: bool = False) -> DataFrame:
-    """All anomalies of the account and the given other scopes, unordered."""
-    days = scored(series, lookback_days, exclude_current=exclude_current)
+           exclude_current: bool = False, by_date: bool = False) -> DataFrame:
+    """All anomalies of the account and the given other scopes, unordered.
+
+    With ``by_date`` the series may be sparse but for the first days of its gaps.
+    """
+    days = scored(series, lookback_days, exclude_current=exclude_current, by_date=by_date)
     return deduplicated(candidates(days, z_threshold, everywhere))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark import config as cfg
 from tidemark.functions import scalars as S
 from tidemark.operators.forecast import forecast
+from tidemark.operators.models import STAGED, Model
 from tidemark.operators.promo import Event, small_table
 
 
@@ -22,9 +23,10 @@ def with_budget(models: DataFrame, budgets: Mapping[str, float]) -> DataFrame:
 
 
 def simulate_channels(models: DataFrame, events: Sequence[Event], budgets: Mapping[str, float],
-                      settings: cfg.ModelSettings = cfg.ModelSettings(), interval: str = "analytic") -> DataFrame:
+                      settings: cfg.ModelSettings = cfg.ModelSettings(), interval: str = "analytic",
+                      model: Model = STAGED) -> DataFrame:
     """Channel forecasts with future spend set to the budget."""
-    return forecast(with_budget(models, budgets), events, settings=settings, budget="budget", interval=interval)
+    return forecast(with_budget(models, budgets), events, settings=settings, budget="budget", interval=interval, predict=model.predict)
 
 
 def _by_ratio() -> dict[str, Column]:
@@ -36,12 +38,12 @@ def _by_ratio() -> dict[str, Column]:
 
 
 def simulated(budgeted: DataFrame, events: Sequence[Event], settings: cfg.ModelSettings = cfg.ModelSettings(),
-              interval: str = "analytic") -> DataFrame:
+              interval: str = "analytic", keys: Sequence[str] = cfg.SLICE, model: Model = STAGED) -> DataFrame:
     """Windows of slices with a ``budget``: by their model, or, where they have no forecast but a budget, by ratio.
 
     Both are branches of one projection, so that models are fitted in one pass. ``by_model`` tells which.
     """
-    windows = forecast(budgeted, events, settings=settings, budget="budget", interval=interval, everyone=True)
+    windows = forecast(budgeted, events, keys, settings, budget="budget", interval=interval, everyone=True, predict=model.predict)
     model = F.col("eligible")
     return windows.where(model | F.col("budget").isNotNull()).withColumns(
         {c: F.when(model, F.col(c)).otherwise(v) for c, v in _by_ratio().items()}).withColumn("by_model", model)
@@ -58,10 +60,11 @@ def simulate_fallback(models: DataFrame, budgets: Mapping[str, float]) -> DataFr
 
 
 def portfolio(models: DataFrame, events: Sequence[Event], budgets: Mapping[str, float],
-              settings: cfg.ModelSettings = cfg.ModelSettings(), interval: str = "analytic") -> DataFrame:
+              settings: cfg.ModelSettings = cfg.ModelSettings(), interval: str = "analytic",
+              model: Model = STAGED) -> DataFrame:
     """Sum of simulated and fallback channels per window."""
     bounds = ("revenue_lower", "revenue_point", "revenue_upper")
-    sums = simulated(with_budget(models, budgets), events, settings, interval).groupBy("window_days").agg(
+    sums = simulated(with_budget(models, budgets), events, settings, interval, model=model).groupBy("window_days").agg(
         *(F.sum(c).alias(c) for c in bounds), F.sum("spend_point").alias("spend"))
     return sums.withColumns({
         f"roas_{b}": S.roas_floor1(f"revenue_{b}", "spend") for b in ("lower", "point", "upper")})
@@ -69,7 +72,8 @@ def portfolio(models: DataFrame, events: Sequence[Event], budgets: Mapping[str,
 
 def marginal_curve(models: DataFrame, events: Sequence[Event], channel: str,
                    budgets: Sequence[float], window_days: int = 30,
-                   settings: cfg.ModelSettings = cfg.ModelSettings(), interval: str = "analytic") -> DataFrame:
+                   settings: cfg.ModelSettings = cfg.ModelSettings(), interval: str = "analytic",
+                   model: Model = STAGED) -> DataFrame:
     """Projected revenue and ROAS of one channel for a list of daily budgets.
 
     The window has to be one that the models were fitted for; another one stops the query.
@@ -80,7 +84,7 @@ def marginal_curve(models: DataFrame, events: Sequence[Event], channel: str,
     priced = models.where((F.col("level") == "channel") & (F.col("entity") == channel)).withColumns(
         {"daily_budget": grid, "horizons": fitted_for})
     keys = (*cfg.SLICE, "daily_budget")
-    windows = forecast(priced, events, keys, settings, budget="daily_budget", interval=interval)
+    windows = forecast(priced, events, keys, settings, budget="daily_budget", interval=interval, predict=model.predict)
     spend = F.col("daily_budget") * F.lit(window_days)
     return windows.where(F.col("window_days") == window_days).select(
         "entity", "daily_budget", "revenue_point", "revenue_lower", "revenue_upper",
@@ -98,7 +102,7 @@ def budget_pace(models: DataFrame, budgets: Mapping[str, float]) -> DataFrame:
 
 
 def uplift(models: DataFrame, events: Sequence[Event], budgets: Mapping[str, float],
-           settings: cfg.ModelSettings = cfg.ModelSettings()) -> DataFrame:
+           settings: cfg.ModelSettings = cfg.ModelSettings(), model: Model = STAGED) -> DataFrame:
     """Simulated portfolio revenue against the account's baseline forecast, per window.
 
     Account and channels come from the same fitted table: channels carry the
@@ -109,7 +113,7 @@ def uplift(models: DataFrame, events: Sequence[Event], budgets: Mapping[str, flo
     both = models.where(F.col("level").isin("aggregate", "channel")).join(table, "entity", "left")
     budgeted = both.withColumn(
         "budget", F.when(F.col("level") == "channel", F.col("budget")))
-    sides = simulated(budgeted, events, settings).groupBy("window_days").agg(
+    sides = simulated(budgeted, events, settings, model=model).groupBy("window_days").agg(
         F.sum(F.when(F.col("level") == "channel", F.col("revenue_point"))).alias("simulated"),
         F.sum(F.when(F.col("level") == "aggregate", F.col("revenue_point"))).alias("baseline"))
     change = (F.try_divide(F.col("simulated"), F.col("baseline")) - 1.0) * 100.0

@@ -6,7 +6,7 @@ future days; no join with the history is needed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
@@ -182,9 +182,10 @@ def forecast(models: DataFrame, events: Sequence[Event],
              keys: Sequence[str] = cfg.SLICE,
              settings: cfg.ModelSettings = cfg.ModelSettings(),
              budget: str | None = None, floor: bool = True, interval: str = "analytic",
-             days: int = max(cfg.HORIZONS), everyone: bool = False) -> DataFrame:
+             days: int = max(cfg.HORIZONS), everyone: bool = False,
+             predict: Callable[..., DataFrame] = predict_daily) -> DataFrame:
     """Window forecasts of every eligible slice (or of ``everyone``): lower, point, upper of three metrics."""
-    daily = predict_daily(models, events, keys, settings, budget=budget, everyone=everyone)
+    daily = predict(models, events, keys, settings, budget=budget, everyone=everyone)
     return ranges(daily, settings, keys, budget, floor, interval, days)
 
 

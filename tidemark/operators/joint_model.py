@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from tidemark import config as cfg
 from tidemark.functions import scalars as S
-from tidemark.operators.forecast import band_factor
+from tidemark.operators.forecast import band_factor, future_days
 from tidemark.operators.promo import Event, indicator_names, with_event
+from tidemark.operators.slice_model import fit_staged
 
 YEAR_DAYS, WEEK_DAYS = 365.25, 7.0
 BASE_SCALE = 5.0
@@ -213,27 +214,34 @@ def joint_coefficients(fitted: DataFrame, events: Sequence[Event], design: Desig
     return long.where(F.col("coef").isNotNull())
 
 
-def predict_joint(fitted: DataFrame, models: DataFrame, events: Sequence[Event],
-                  design: Design = Design(), keys: Sequence[str] = cfg.SLICE,
+_JOINT = ("span", "y_scale", "z_scale", "spend_mean", "spend_sd", "coef", "sigma", "spend_coef", "spend_sigma", "steps", "optimality")
+
+
+def fit_with_guards(series: DataFrame, events: Sequence[Event], keys: Sequence[str] = cfg.SLICE,
+                    settings: cfg.ModelSettings = cfg.ModelSettings(), horizons: Sequence[int] = cfg.HORIZONS,
+                    carry: Sequence[str] = (), design: Design = Design()) -> DataFrame:
+    """The joint fit beside eligibility, averages and guards: one row per slice, as wide as ``fit_staged`` and more.
+
+    Both halves group the same clustered series.
+    """
+    joint = fit_joint(series.drop(*carry), events, design, keys, settings).select(*keys, *_JOINT)
+    return fit_staged(series, events, keys, settings, horizons, carry).join(joint, list(keys))
+
+
+def predict_joint(models: DataFrame, events: Sequence[Event],
+                  keys: Sequence[str] = cfg.SLICE,
                   settings: cfg.ModelSettings = cfg.ModelSettings(),
-                  horizon: int | None = None) -> DataFrame:
-    """Daily predictions in the shape of ``forecast.predict_daily``.
+                  horizon: int | None = None, budget: str | None = None, everyone: bool = False,
+                  design: Design = Design()) -> DataFrame:
+    """Daily predictions in the shape of ``forecast.predict_daily``, from ``fit_with_guards``.
 
-    ``models`` supplies the eligibility, averages and guards of each slice; both
-    inputs are one row per slice. the slope scales and ``bend_rate`` describe the
-    simulated future trend changes for sampled intervals.
+    ``budget`` names a column with the assumed daily spend. The slope scales and ``bend_rate``
+    describe the simulated future trend changes for sampled intervals.
     """
-    guards = models.where("eligible").select(
-        *keys, "channel", "average_spend", "floors", "roas_cvs", "horizons",
-        "trailing_revenue", "trailing_spend", "total_revenue", "total_spend")
-    future = (
-        fitted.join(guards, list(keys))
-        .withColumn("h", F.explode(F.sequence(
-            F.lit(1), F.lit(horizon) if horizon is not None else F.array_max("horizons").cast("int"))))
-        .withColumn("ds", F.date_add("last_ds", F.col("h")))
-    )
+    future = future_days(models, horizon, everyone)
+    assumed = F.col("average_spend") if budget is None else F.coalesce(F.col(budget), F.col("average_spend"))
     u = F.datediff("ds", "first_ds") / F.col("span")
-    standard = (S.to_log("average_spend") - F.col("spend_mean")) / F.col("spend_sd")
+    standard = (S.to_log(assumed) - F.col("spend_mean")) / F.col("spend_sd")
     future = with_event(future, events).withColumn("row", design_row(design, events, u, standard))
 
     def dot(coef: str) -> Column:
@@ -258,5 +266,4 @@ def predict_joint(fitted: DataFrame, models: DataFrame, events: Sequence[Event],
     for m, s in (("revenue", "y_sigma"), ("spend", "x_sigma")):
         out = out.withColumns({f"{m}_yhat_lower": F.col(f"{m}_yhat") - z * F.col(s),
                                f"{m}_yhat_upper": F.col(f"{m}_yhat") + z * F.col(s)})
-    return out.drop("row", "coef", "spend_coef", "sigma", "spend_sigma", "first_ds", "span", "event", "n",
-                    "y_scale", "z_scale", "spend_mean", "spend_sd", "steps", "optimality")
+    return out.drop("row", "event", "first_ds", "t", *_JOINT)

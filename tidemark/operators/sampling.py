@@ -105,8 +105,10 @@ def with_draws(daily: DataFrame, keys: Sequence[str], settings: cfg.ModelSetting
     rows = _drawn(daily.join(F.broadcast(table.select("h", *(f"{m}_noise" for m in METRICS))), "h", "left"), "revenue_noise")
     sigma = {"revenue": F.coalesce("y_sigma", F.lit(0.0)), "spend": F.coalesce("x_sigma", F.lit(0.0))}
     if not has_trend_changes(daily):
-        return rows.withColumns({f"{m}_draws": F.transform(f"{m}_noise", lambda z, m=m: F.col(f"{m}_yhat") + sigma[m] * z)
-                                 for m in METRICS}).drop(*(f"{m}_noise" for m in METRICS))
+        def plain(m: str) -> Column:
+            return F.transform(f"{m}_noise", lambda z: F.col(f"{m}_yhat") + sigma[m] * z)
+
+        return rows.withColumns({f"{m}_draws": plain(m) for m in METRICS}).drop(*(f"{m}_noise" for m in METRICS))
     rows = rows.join(_shifts(daily, table, keys, settings.uncertainty_samples), list(keys))
 
     def value(m: str) -> Column:

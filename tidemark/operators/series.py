@@ -69,23 +69,68 @@ def daily_totals(facts: DataFrame, levels: Sequence[str] = cfg.LEVELS,
                           "ds", "revenue", "spend")
 
 
-def densify(totals: DataFrame, keys: Sequence[str] = cfg.SLICE) -> DataFrame:
+def densify(totals: DataFrame, keys: Sequence[str] = cfg.SLICE, longest_gap: int | None = cfg.LONGEST_GAP,
+            most: int | None = None) -> DataFrame:
     """Fill each series' own calendar from its first to its last day with zeros.
 
     Each day is repeated up to the day before the next one, so no calendar table
-    is joined and the facts are not scanned again.
+    is joined and the facts are not scanned again. A gap of more than ``longest_gap``
+    days stops the query, since a date such as 9999-01-01 would make millions of
+    days. ``most`` fills only the first days of a gap and has no such limit.
     """
-    until = F.coalesce(F.date_sub("next_ds", 1), F.col("ds"))
-    spread = (
-        totals.withColumn("next_ds", F.lead("ds").over(by_day(keys)))
-        .withColumn("day", F.explode(F.sequence("ds", until, F.expr("interval 1 day"))))
-    )
-    real = F.col("day") == F.col("ds")
+    totals = totals.withColumn("gap", F.coalesce(F.datediff(F.lead("ds").over(by_day(keys)), "ds") - 1, F.lit(0)))
+    gap = F.col("gap")
+    if most is not None:
+        gap = F.least(gap, F.lit(most))
+    elif longest_gap is not None:
+        far = F.concat(F.lit("no facts for "), gap.cast("string"), F.lit(" days after "), F.col("ds").cast("string"), F.lit(" in "),
+                       F.col(keys[-1]), F.lit("; use a sparse series, or raise longest_gap"))
+        gap = F.when(gap <= longest_gap, gap).otherwise(F.raise_error(far).cast("int"))
+    spread = totals.withColumn("after", F.explode(F.sequence(F.lit(0), gap)))
+    real = F.col("after") == 0
     zero = F.lit(0).cast("decimal(1,0)")
     return spread.withColumns({
+        "ds": F.date_add("ds", F.col("after")),
         "revenue": F.when(real, F.col("revenue")).otherwise(zero),
         "spend": F.when(real, F.col("spend")).otherwise(zero),
-    }).drop("ds", "next_ds").withColumnRenamed("day", "ds")
+    }).drop("after", "gap")
+
+
+def _gated(totals: DataFrame, levels: Sequence[str], min_nonzero_days: int) -> DataFrame:
+    """Campaign types and campaigns need enough revenue days; the account and the channels are kept as they are."""
+    gated = [lv for lv in levels if lv in ("campaign_type", "campaign")]
+    if not gated:
+        return totals
+    nonzero = F.count_if(F.col("revenue") > 0).over(Window.partitionBy(*cfg.SLICE))
+    return (
+        totals.withColumn("nonzero_days", nonzero)
+        .where(~F.col("level").isin(*gated) | (F.col("nonzero_days") >= min_nonzero_days))
+        .drop("nonzero_days")
+    )
+
+
+def sparse_series(facts: DataFrame, levels: Sequence[str] = cfg.LEVELS,
+                  min_nonzero_days: int = cfg.MIN_NONZERO_DAYS,
+                  start: str | None = None, end: str | None = None) -> DataFrame:
+    """Daily series without the days that have no facts: never more rows than facts, whatever the dates.
+
+    ``gap`` is the number of days without facts after each row. The ``_by_date`` frames give on
+    these days what the gap-free series gives; ``with_first_gap_days`` adds those that still
+    differ from day to day, ``gap_free`` all of them.
+    """
+    totals = _gated(daily_totals(facts, levels, start, end), levels, min_nonzero_days)
+    gap = F.coalesce(F.datediff(F.lead("ds").over(by_day(cfg.SLICE)), "ds") - 1, F.lit(0))
+    return totals.select("level", "entity", "channel", "ds", "revenue", "spend", gap.alias("gap"))
+
+
+def with_first_gap_days(sparse: DataFrame, days: int = cfg.Z_WINDOW) -> DataFrame:
+    """The first days of every gap as rows of zeros: behind them all frames of ``days`` days are empty."""
+    return densify(sparse.drop("gap"), most=days)
+
+
+def gap_free(sparse: DataFrame, longest_gap: int | None = cfg.LONGEST_GAP) -> DataFrame:
+    """The gap-free series, on demand."""
+    return densify(sparse.drop("gap"), longest_gap=longest_gap)
 
 
 def daily_series(facts: DataFrame, levels: Sequence[str] = cfg.LEVELS,
@@ -94,15 +139,7 @@ def daily_series(facts: DataFrame, levels: Sequence[str] = cfg.LEVELS,
                  with_roas: bool = False) -> DataFrame:
     """Gap-free daily series. Campaign types and campaigns need enough revenue days;
     the account and the channels are kept as they are."""
-    totals = daily_totals(facts, levels, start, end)
-    gated = [lv for lv in levels if lv in ("campaign_type", "campaign")]
-    if gated:
-        nonzero = F.count_if(F.col("revenue") > 0).over(Window.partitionBy(*cfg.SLICE))
-        totals = (
-            totals.withColumn("nonzero_days", nonzero)
-            .where(~F.col("level").isin(*gated) | (F.col("nonzero_days") >= min_nonzero_days))
-            .drop("nonzero_days")
-        )
+    totals = _gated(daily_totals(facts, levels, start, end), levels, min_nonzero_days)
     series = densify(totals).select("level", "entity", "channel", "ds", "revenue", "spend")
     if with_roas:
         series = series.withColumn("roas", S.roas_daily("revenue", "spend"))

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import config as cfg
-from tidemark.operators.forecast import predict_daily, window_sums
+from tidemark.operators.forecast import window_sums
+from tidemark.operators.models import STAGED, Model
 from tidemark.operators.promo import Event
-from tidemark.operators.slice_model import fit_staged
 
 FOLD = ("cutoff", *cfg.SLICE)
 
@@ -49,15 +49,15 @@ def _actual(horizons: Sequence[int]) -> Column:
 def walk_forward(series: DataFrame, events: Sequence[Event], cutoffs: Sequence[str],
                  horizons: Sequence[int] = cfg.HORIZONS,
                  settings: cfg.ModelSettings = cfg.ModelSettings(),
-                 test_end: str | None = None) -> DataFrame:
+                 test_end: str | None = None, model: Model = STAGED) -> DataFrame:
     """Predicted range against the actual sum for every cutoff, slice and window.
 
     Predictions assume the mean spend of the training days and use no floor.
     """
     folds = training_folds(series, cutoffs, horizons, test_end)
-    models = fit_staged(folds, events, FOLD, settings, horizons,
-                        carry=[f"actual_{h}" for h in horizons])
-    daily = predict_daily(models, events, FOLD, settings, max(horizons))
+    models = model.fit(folds, events, FOLD, settings, horizons,
+                       carry=[f"actual_{h}" for h in horizons])
+    daily = model.predict(models, events, FOLD, settings, max(horizons))
     windows = window_sums(daily, FOLD, floor=False)
     actual, predicted = F.col("actual"), F.col("revenue_point")
     return windows.withColumn("actual", _actual(horizons)).where(actual.isNotNull()).select(
@@ -70,9 +70,9 @@ def walk_forward(series: DataFrame, events: Sequence[Event], cutoffs: Sequence[s
 def backtest(series: DataFrame, events: Sequence[Event], cutoff: str,
              horizon: int = max(cfg.HORIZONS),
              settings: cfg.ModelSettings = cfg.ModelSettings(),
-             test_end: str | None = None) -> DataFrame:
+             test_end: str | None = None, model: Model = STAGED) -> DataFrame:
     """One cutoff, one window."""
-    return walk_forward(series, events, [cutoff], [horizon], settings, test_end)
+    return walk_forward(series, events, [cutoff], [horizon], settings, test_end, model)
 
 
 def coverage_summary(folds: DataFrame, target: float = cfg.ModelSettings.interval_width) -> DataFrame:

@@ -6,9 +6,9 @@ from tidemark import config as cfg
 from tidemark.operators import budget as B
 from tidemark.operators import forecast as FC
 from tidemark.plans import sqlblocks as Q
-from tidemark.plans.catalog.forecasts import cells_sql, shown
+from tidemark.plans.catalog.forecasts import LEAST, cells_sql, shown
 from tidemark.plans.catalog.registry import (
-    BUDGET_VALUES, BUDGETS, EVENTS, TOP_LEVELS, models_of, query, rounded)
+    BUDGET_VALUES, BUDGETS, EVENTS, TOP_LEVELS, models_of, query, rounded, series_of)
 
 CHANNEL = ("channel",)
 SIM = Q.forecasts(EVENTS, CHANNEL, budget_values=BUDGET_VALUES)
@@ -31,6 +31,16 @@ def simulate_channels(spark, folder):
     return shown(B.simulate_channels(models_of(spark, folder, CHANNEL), EVENTS, BUDGETS))
 
 
+@query("simulate_channels_joint", sql=Q.query(
+    f"budgets(entity, budget) AS (VALUES {BUDGET_VALUES})", Q.series(CHANNEL), Q.rolling(), Q.guards(), Q.slices(), Q.least_squares(),
+    Q.least_future(budget="LEFT JOIN budgets USING (entity)", spend="coalesce(budget, average_spend)"),
+    Q.windows(budget="LEFT JOIN budgets USING (entity)", planned="budget * window_days"), select=cells_sql()))
+def simulate_channels_joint(spark, folder):
+    """Budgets on channels that the joint model's smallest design was fitted to."""
+    models = LEAST.fit(series_of(spark, folder, CHANNEL), ())
+    return shown(B.simulate_channels(models, (), BUDGETS, model=LEAST))
+
+
 def _fallback(spark, folder):
     models = models_of(spark, folder, CHANNEL, NO_CHANNEL)
     return rounded(B.simulate_fallback(models, BUDGETS), 2, "revenue_lower", "revenue_point", "revenue_upper")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tidemark import config as cfg
 from tidemark.operators import forecast as FC
 from tidemark.operators import joint_model as J
-from tidemark.operators.slice_model import fit_staged, model_coefficients, staged_residuals
+from tidemark.operators.models import joint
+from tidemark.operators.slice_model import model_coefficients, staged_residuals
 from tidemark.plans import sqlblocks as Q
 from tidemark.plans.catalog.registry import (
     EVENTS, TOP_LEVELS, models_of, query, rounded, series_of)
@@ -119,27 +120,21 @@ def fit_joint_optimality(spark, folder):
                          (F.col("optimality") < 1e-6).alias("optimal"))
 
 
-@query("forecast_joint", sql=Q.query(Q.series(), Q.rolling(), Q.guards(), Q.slices(), Q.least_squares(), f"""predicted AS (
-  SELECT level, entity, h, (base + slope * (date_diff('day', lo, last_ds) + h) / span
-           + log_spend * (ln(1 + average_spend) - x_mean) / x_sd) * y_scale AS revenue_yhat,
-         (z_base + z_slope * (date_diff('day', lo, last_ds) + h) / span) * x_scale AS spend_yhat,
-         CAST({FC.band_factor(0.8)!r} AS DOUBLE) * sigma * y_scale AS y_half,
-         CAST({FC.band_factor(0.8)!r} AS DOUBLE) * z_sigma * x_scale AS x_half
-  FROM slices JOIN least USING (level, entity) JOIN scales USING (level, entity) CROSS JOIN range(1, 91) AS days(h) WHERE eligible)""",
-    Q.windows(), select=cells_sql()))
+LEAST = joint(J.least_squares())
+LEAST_FORECASTS = ",\n".join([Q.series(), Q.rolling(), Q.guards(), Q.slices(), Q.least_squares(), Q.least_future(), Q.windows()])
+
+
+@query("forecast_joint", sql=Q.query(LEAST_FORECASTS, select=cells_sql()))
 def forecast_joint(spark, folder):
     """Window forecasts of the jointly fitted smallest design, in one plan with the guards."""
-    series, design = series_of(spark, folder), J.least_squares()
-    daily = J.predict_joint(J.fit_joint(series, (), design), fit_staged(series, EVENTS), (), design)
-    return shown(FC.ranges(daily))
+    return shown(FC.forecast(LEAST.fit(series_of(spark, folder), ()), (), predict=LEAST.predict))
 
 
 @query("forecast_joint_full")
 def forecast_joint_full(spark, folder):
     """Window forecasts of the joint model with all terms."""
-    series = series_of(spark, folder)
-    daily = J.predict_joint(J.fit_joint(series, EVENTS), fit_staged(series, EVENTS), EVENTS)
-    return shown(FC.ranges(daily))
+    full = joint()
+    return shown(FC.forecast(full.fit(series_of(spark, folder), EVENTS), EVENTS, predict=full.predict))
 
 
 @query("predict_daily", sql=Q.query(Q.series(), Q.slices(), Q.fit(EVENTS), Q.future(), select="""
@@ -181,9 +176,9 @@ def interval_monte_carlo_path(spark, folder):
 @query("interval_monte_carlo_joint")
 def interval_monte_carlo_joint(spark, folder):
     """Bounds of whole paths with the trend changes that the joint model has found."""
-    series = series_of(spark, folder)
-    daily = J.predict_joint(J.fit_joint(series, EVENTS), fit_staged(series, EVENTS), EVENTS)
-    return shown(FC.ranges(daily, PATHS, interval="path"))
+    full = joint()
+    models = full.fit(series_of(spark, folder), EVENTS)
+    return shown(FC.forecast(models, EVENTS, settings=PATHS, interval="path", predict=full.predict))
 
 
 WITHOUT_SPEND = cfg.ModelSettings(use_spend_regressor=False)
@@ -256,7 +251,7 @@ def train_models(spark, folder):
     return rounded(model_coefficients(model_store.load_models(spark, path)), 9, "coef")
 
 
-@query("predictions", sql=Q.query(Q.forecasts(EVENTS), select="""
+_PREDICTIONS = """
 SELECT window_days, level, entity, round_even(revenue_lower, 2) AS revenue_lower,
        round_even(revenue_point, 2) AS revenue_point, round_even(revenue_upper, 2) AS revenue_upper,
        round_even(spend_point, 2) AS spend_point, round_even(roas_lower, 4) AS roas_lower,
@@ -265,7 +260,30 @@ UNION ALL
 SELECT 0, 'trailing_30d', 'all', round_even(trailing_revenue, 2), round_even(trailing_revenue, 2),
        round_even(trailing_revenue, 2), round_even(trailing_spend, 2), round_even(trailing_revenue / trailing_spend, 4),
        round_even(trailing_revenue / trailing_spend, 4), round_even(trailing_revenue / trailing_spend, 4)
-FROM recent_days WHERE level = 'aggregate'"""))
+FROM recent_days WHERE level = 'aggregate'"""
+
+
+@query("predictions", sql=Q.query(Q.forecasts(EVENTS), select=_PREDICTIONS))
 def predictions(spark, folder):
     models = models_of(spark, folder)
     return FC.prediction_table(models, FC.forecast(models, EVENTS))
+
+
+@query("predictions_joint", sql=Q.query(LEAST_FORECASTS, select=_PREDICTIONS))
+def predictions_joint(spark, folder):
+    """The scored table of all levels by the joint model's smallest design."""
+    models = LEAST.fit(series_of(spark, folder), ())
+    return FC.prediction_table(models, FC.forecast(models, (), predict=LEAST.predict))
+
+
+@query("refit_joint", sql=Q.query(Q.series(), Q.least_squares(), select="""
+SELECT level, entity, count(*) AS n_days, any_value(round(base, 6)) AS base, any_value(round(log_spend, 6)) AS log_spend
+FROM series JOIN least USING (level, entity) GROUP BY level, entity"""))
+def refit_joint(spark, folder):
+    """A store with staged fits of the account and the channels becomes one of joint fits of all slices."""
+    path = shared_folder(spark, "models")
+    model_store.save_models(models_of(spark, folder, TOP_LEVELS), path, EVENTS)
+    series = series_of(spark, folder)
+    table = model_store.refit_changed(series, model_store.load_models(spark, path), (), model=LEAST)
+    return rounded(table.where("refitted").select(
+        "level", "entity", "n_days", F.col("coef")[0].alias("base"), F.col("coef")[2].alias("log_spend")), 6, "base", "log_spend")

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import config as cfg
-from tidemark.functions.rolling import full_window_mean, in_lookback, rolling_zscore, with_rolling_sums
+from tidemark.functions.rolling import full_window_mean, in_lookback, rolling_zscore, sum_by_date, with_rolling_sums
 from tidemark.functions import scalars as S
 from tidemark.operators import anomalies as A
 from tidemark.operators import budget as B
 from tidemark.operators import forecast as FC
 from tidemark.operators import summary as M
 from tidemark.operators.promo import promo_calendar, with_event
-from tidemark.operators.series import daily_totals, densify
+from tidemark.operators.series import daily_totals, densify, sparse_series, with_first_gap_days
 from tidemark.plans import sqlblocks as Q
 from tidemark.plans.catalog.registry import (
     BUDGET_VALUES, BUDGETS, EVENTS, LOOKBACK, TOP_LEVELS, doubles, models_of, query, rounded, series_of)
@@ -162,3 +162,36 @@ SELECT level, entity, ds, round(mean14, 6) AS mean14 FROM scored"""))
 def full_window_mean14(spark, folder):
     mean = full_window_mean(F.col("revenue").cast("double"))
     return series_of(spark, folder).select("level", "entity", "ds", F.round(mean, 6).alias("mean14"))
+
+
+# -- the same on series without rows for days without facts ------------------------
+
+@query("sparse_series", sql=Q.query(Q.series(), select="""
+SELECT t.level, t.entity, t.ds, CAST(t.revenue AS DOUBLE) AS revenue, CAST(t.spend AS DOUBLE) AS spend,
+       coalesce(date_diff('day', t.ds, lead(t.ds) OVER (PARTITION BY t.level, t.entity ORDER BY t.ds)) - 1, 0) AS gap
+FROM totals t JOIN series s ON s.level = t.level AND s.entity = t.entity AND s.ds = t.ds"""))
+def sparse(spark, folder):
+    return doubles(sparse_series(ad_facts(spark, folder)).select("level", "entity", "ds", "revenue", "spend", "gap"), "revenue", "spend")
+
+
+@query("sparse_statistics", sql=Q.query(Q.series(), Q.rolling(), Q.scored(), select="""
+SELECT t.level, t.entity, t.ds, round(revenue_z, 6) + 0 AS revenue_z, round(roas_z, 6) + 0 AS roas_z, round(mean14, 6) + 0 AS mean14,
+       round(revenue_wow, 6) + 0 AS revenue_wow, round(spend_wow, 6) + 0 AS spend_wow, """ + ", ".join(
+    f"CAST(r.{c} AS DOUBLE) AS {c}" for c in _SUMS) + """
+FROM totals t JOIN scored s ON s.level = t.level AND s.entity = t.entity AND s.ds = t.ds
+JOIN rolling r ON r.level = t.level AND r.entity = t.entity AND r.ds = t.ds"""))
+def sparse_statistics(spark, folder):
+    """All rolling statistics on the days that have facts, from frames of days."""
+    days = A.scored(sparse_series(ad_facts(spark, folder)), by_date=True)
+    days = days.withColumns({f"{c}_{h}d": sum_by_date(c, h) for h in cfg.HORIZONS for c in ("revenue", "spend")})
+    shown = ("revenue_z", "roas_z", "mean14", "revenue_wow", "spend_wow")
+    return doubles(rounded(days.select("level", "entity", "ds", *shown, *_SUMS), 6, *shown), *_SUMS)
+
+
+@query("sparse_anomalies", sql=Q.query(Q.series(), Q.scored(), Q.anomalies(), select="""
+SELECT DISTINCT ds, type, scope, round(magnitude, 6) AS magnitude, severity, description FROM anomalies"""))
+def sparse_anomalies(spark, folder):
+    """All anomalies, with only the first days of every gap filled."""
+    days = with_first_gap_days(sparse_series(ad_facts(spark, folder)))
+    found = A.detect(days, LOOKBACK, by_date=True)
+    return rounded(found.select("ds", "type", "scope", "magnitude", "severity", "description"), 6, "magnitude")

@@ -102,7 +102,7 @@ def read_mixed_layouts(spark, folder):
     target = _two_layouts(spark, folder)
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")  # the other platforms are absent
-        return _per_day(platform_csv.load_all(spark, target))
+        return per_day(platform_csv.load_all(spark, target))
 
 
 @query("read_ads_csv", sql=Q.query(Q.ADS, select="""
@@ -132,7 +132,7 @@ PLATFORM_SQL = {
 }
 
 
-def _per_day(facts):
+def per_day(facts):
     return doubles(facts.groupBy("channel", "campaign_type", "campaign_name", "ds").agg(
         F.count(F.lit(1)).alias("n"), F.sum("revenue").alias("revenue"), F.sum("spend").alias("spend")),
         "revenue", "spend")
@@ -140,22 +140,22 @@ def _per_day(facts):
 
 @query("normalize_bing", sql=PLATFORM_SQL["bing"])
 def normalize_bing(spark, folder):
-    return _per_day(platform_csv.load_platform(spark, exported(spark, folder, "bing"), "bing"))
+    return per_day(platform_csv.load_platform(spark, exported(spark, folder, "bing"), "bing"))
 
 
 @query("normalize_meta", sql=PLATFORM_SQL["meta"])
 def normalize_meta(spark, folder):
-    return _per_day(platform_csv.load_platform(spark, exported(spark, folder, "meta"), "meta"))
+    return per_day(platform_csv.load_platform(spark, exported(spark, folder, "meta"), "meta"))
 
 
 @query("normalize_google", sql=PLATFORM_SQL["google"])
 def normalize_google(spark, folder):
-    return _per_day(platform_csv.load_platform(spark, exported(spark, folder, "google"), "google"))
+    return per_day(platform_csv.load_platform(spark, exported(spark, folder, "google"), "google"))
 
 
 @query("union_raw", sql="SELECT * FROM (" + ") UNION ALL SELECT * FROM (".join(PLATFORM_SQL.values()) + ")")
 def union_raw(spark, folder):
-    return _per_day(platform_csv.load_all(spark, exported(spark, folder)))
+    return per_day(platform_csv.load_all(spark, exported(spark, folder)))
 
 
 FROM, TO = "1996-03-01", "1999-08-31"

@@ -6,13 +6,14 @@ from collections.abc import Sequence
 
 from tidemark.operators import validation as V
 from tidemark.plans import sqlblocks as Q
+from tidemark.plans.catalog.forecasts import LEAST
 from tidemark.plans.catalog.registry import CUTOFFS, EVENTS, TOP_LEVELS, query, rounded, series_of
 
 FOLD = "cutoff, level, entity"
 
 
 def folds_sql(levels: Sequence[str], cutoffs: Sequence[str], horizons: Sequence[int],
-              test_end: str | None = None) -> str:
+              test_end: str | None = None, joint: bool = False) -> str:
     cuts = ", ".join(f"(DATE '{c}')" for c in cutoffs)
     spans = ", ".join(f"({h})" for h in horizons)
     end = f"DATE '{test_end}'" if test_end else "cutoff + CAST(window_days AS INTEGER)"
@@ -23,7 +24,8 @@ def folds_sql(levels: Sequence[str], cutoffs: Sequence[str], horizons: Sequence[
   SELECT cutoff, level, entity, window_days, CAST(sum(revenue) AS DOUBLE) AS actual
   FROM series JOIN cutoffs ON ds >= cutoff JOIN tests ON ds < {end} GROUP BY ALL)""",
         Q.slices(FOLD, "train"), Q.rolling(FOLD, "train", horizons), Q.guards(FOLD, horizons),
-        Q.fit(EVENTS, FOLD, "train"), Q.future(FOLD, max(horizons)),
+        *([Q.least_squares(FOLD, "train"), Q.least_future(FOLD, max(horizons))] if joint else
+          [Q.fit(EVENTS, FOLD, "train"), Q.future(FOLD, max(horizons))]),
         Q.windows(FOLD, floor=False, horizons=horizons),
         f"""folds AS (
   SELECT {FOLD}, window_days, actual, revenue_point AS predicted, revenue_lower, revenue_upper,
@@ -56,6 +58,12 @@ def walk_forward(spark, folder):
     return _shown(V.walk_forward(series_of(spark, folder, TOP_LEVELS), EVENTS, CUTOFFS))
 
 
+@query("walk_forward_joint", sql=Q.query(folds_sql(TOP_LEVELS, CUTOFFS, (30, 60, 90), joint=True), select=SHOWN))
+def walk_forward_joint(spark, folder):
+    """The folds by the joint model's smallest design."""
+    return _shown(V.walk_forward(series_of(spark, folder, TOP_LEVELS), (), CUTOFFS, model=LEAST))
+
+
 @query("coverage_summary", sql=Q.query(folds_sql(TOP_LEVELS, CUTOFFS, (30, 60, 90)), select="""
 SELECT window_days, count(*) AS n_folds, avg(CAST(covered AS INTEGER)) AS coverage,
        round(avg(ape_pct), 6) AS mean_ape_pct, CAST(0.8 AS DOUBLE) AS target FROM folds GROUP BY window_days"""))

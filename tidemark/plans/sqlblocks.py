@@ -7,10 +7,11 @@ they share no technique with the DataFrame operators they verify.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from tidemark import config as cfg
-from tidemark.operators.forecast import band_factor
-from tidemark.operators.promo import Event, event_days
+
+Event = tuple[str, str, int, int]
 
 ADS = """ads AS (
   SELECT l_returnflag AS channel, p_type AS campaign_type, p_brand AS campaign_name,
@@ -60,9 +61,19 @@ series AS (
 
 
 def event_table(events: Sequence[Event]) -> str:
-    days = sorted({(day, label) for _, _, day, label in event_days(events)})
-    values = ", ".join(f"(DATE '{d}', '{label}')" for d, label in days)
-    return f"promo(ds, event) AS (VALUES {values})"
+    """Every day of every event window with the labels of all events on it."""
+    values = ", ".join(f"('{name}', DATE '{day}', {low}, {high})" for name, day, low, high in events)
+    low, high = min(e[2] for e in events), max(e[3] for e in events)
+    return f"""promo AS (
+  SELECT ds, string_agg(label, '|' ORDER BY label) AS event FROM (
+    SELECT DISTINCT CAST(day + CAST(o AS INTEGER) AS DATE) AS ds, name || printf('%+d', o) AS label
+    FROM (VALUES {values}) AS e(name, day, low, high), range({low}, {high + 1}) AS r(o) WHERE o BETWEEN low AND high)
+  GROUP BY ds)"""
+
+
+def normal_quantile(width: float) -> str:
+    """What leaves ``width`` of a standard normal between minus and plus itself."""
+    return f"CAST({NormalDist().inv_cdf(0.5 + width / 2)!r} AS DOUBLE)"
 
 
 def rolling(keys: str = "level, entity", source: str = "series",
@@ -162,12 +173,21 @@ least AS (
                covar_pop(z, u) AS czu FROM scaled GROUP BY {k}))"""
 
 
+def least_future(keys: str = "level, entity", horizon: int = max(cfg.HORIZONS), budget: str = "", spend: str = "average_spend") -> str:
+    """Daily predictions of ``least_squares`` in the shape of ``future``."""
+    z, u = normal_quantile(0.8), "CAST(date_diff('day', lo, last_ds) + h AS DOUBLE) / span"
+    return f"""predicted AS (
+  SELECT {keys}, h, (base + slope * {u} + log_spend * (ln(1 + CAST({spend} AS DOUBLE)) - x_mean) / x_sd) * y_scale AS revenue_yhat,
+         (z_base + z_slope * {u}) * x_scale AS spend_yhat, {z} * sigma * y_scale AS y_half, {z} * z_sigma * x_scale AS x_half
+  FROM slices JOIN least USING ({keys}) JOIN scales USING ({keys}) {budget} CROSS JOIN range(1, {horizon + 1}) AS days(h) WHERE eligible)"""
+
+
 def future(keys: str = "level, entity", horizon: int = max(cfg.HORIZONS),
            width: float = 0.80, budget: str = "", spend: str = "average_spend", with_spend: bool = True) -> str:
     """Daily predictions; ``budget`` is an extra join that may provide the ``spend`` expression."""
     k = keys
     beta, sigma = ("beta", "y_sigma") if with_spend else ("0", "stages_sigma")
-    z = f"CAST({band_factor(width)!r} AS DOUBLE)"
+    z = normal_quantile(width)
     return f"""future AS (
   SELECT {k}, h, first_ds, last_ds, CAST(last_ds + CAST(h AS INTEGER) AS DATE) AS ds, ln(1 + CAST({spend} AS DOUBLE)) AS x_future
   FROM slices {budget} CROSS JOIN range(1, {horizon + 1}) AS days(h) WHERE eligible),

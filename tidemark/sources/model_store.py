@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark import config as cfg
 from tidemark.functions import scalars as S
+from tidemark.operators.models import STAGED, Model
 from tidemark.operators.promo import Event
-from tidemark.operators.slice_model import fit_staged
 
 
 def events_key(events: Sequence[Event]) -> str:
@@ -20,9 +20,10 @@ def events_key(events: Sequence[Event]) -> str:
     return hashlib.sha256(repr(sorted(tuple(e) for e in events)).encode()).hexdigest()
 
 
-def with_settings(models: DataFrame, events: Sequence[Event], settings: cfg.ModelSettings) -> DataFrame:
-    """Add the hyperparameters, the key of the event calendar and the last training day to every fitted slice."""
+def with_settings(models: DataFrame, events: Sequence[Event], settings: cfg.ModelSettings, model: Model = STAGED) -> DataFrame:
+    """Add the kind of model, its hyperparameters, the key of the event calendar and the last training day to every fitted slice."""
     return models.withColumns({
+        "fitted_model": F.lit(model.name),
         "fitted_events": F.lit(events_key(events)),
         **{f"setting_{k}": F.lit(v).cast("double") for k, v in asdict(settings).items()},
         "trained_through": F.col("last_ds"),
@@ -38,8 +39,8 @@ def _stored(models: DataFrame) -> DataFrame:
 
 
 def save_models(models: DataFrame, path: str, events: Sequence[Event],
-                settings: cfg.ModelSettings = cfg.ModelSettings()) -> None:
-    _stored(with_settings(models, events, settings)).write.mode("errorifexists").partitionBy("level", "shard").parquet(path)
+                settings: cfg.ModelSettings = cfg.ModelSettings(), model: Model = STAGED) -> None:
+    _stored(with_settings(models, events, settings, model)).write.mode("errorifexists").partitionBy("level", "shard").parquet(path)
 
 
 def load_models(spark: SparkSession, path: str) -> DataFrame:
@@ -64,8 +65,8 @@ def fingerprints(series: DataFrame) -> DataFrame:
     return series.groupBy(*cfg.SLICE).agg(F.bit_xor(S.day_print("ds", "revenue", "spend")).alias("fingerprint"))
 
 
-def _same_fit(events: Sequence[Event], settings: cfg.ModelSettings, horizons: Sequence[int]) -> Column:
-    same = (F.col("fitted_events") == events_key(events)) & (
+def _same_fit(events: Sequence[Event], settings: cfg.ModelSettings, horizons: Sequence[int], model: Model) -> Column:
+    same = (F.col("fitted_model") == model.name) & (F.col("fitted_events") == events_key(events)) & (
         F.col("horizons") == F.array(*(F.lit(int(h)) for h in horizons)))
     for k, v in asdict(settings).items():
         same = same & F.col(f"setting_{k}").eqNullSafe(F.lit(v).cast("double"))
@@ -73,37 +74,37 @@ def _same_fit(events: Sequence[Event], settings: cfg.ModelSettings, horizons: Se
 
 
 def _with_stored(series: DataFrame, stored: DataFrame, events: Sequence[Event], settings: cfg.ModelSettings,
-                 horizons: Sequence[int]) -> DataFrame:
+                 horizons: Sequence[int], model: Model) -> DataFrame:
     """Each day with ``stored``: its slice's row in the store if that was fitted on the same content in the same way, else NULL.
 
     The fingerprint is a window value over the clustering that the series has already, so the facts
     are read once; the store has one row per slice.
     """
-    fresh = stored.where(_same_fit(events, settings, horizons)).select(*cfg.SLICE, "fingerprint", F.struct(*stored.columns).alias("stored"))
+    fresh = stored.where(_same_fit(events, settings, horizons, model)).select(*cfg.SLICE, "fingerprint", F.struct(*stored.columns).alias("stored"))
     print_ = F.bit_xor(S.day_print("ds", "revenue", "spend")).over(Window.partitionBy(*cfg.SLICE))
     return series.withColumn("fingerprint", print_).join(fresh, [*cfg.SLICE, "fingerprint"], "left").drop("fingerprint")
 
 
 def stale_slices(series: DataFrame, stored: DataFrame, events: Sequence[Event],
                  settings: cfg.ModelSettings = cfg.ModelSettings(),
-                 horizons: Sequence[int] = cfg.HORIZONS) -> DataFrame:
+                 horizons: Sequence[int] = cfg.HORIZONS, model: Model = STAGED) -> DataFrame:
     """Slices without a stored fit of the same content, event calendar, hyperparameters and horizons."""
-    return _with_stored(series, stored, events, settings, horizons).where("stored is null").select(*cfg.SLICE).distinct()
+    return _with_stored(series, stored, events, settings, horizons, model).where("stored is null").select(*cfg.SLICE).distinct()
 
 
 def refit_changed(series: DataFrame, stored: DataFrame, events: Sequence[Event],
                   settings: cfg.ModelSettings = cfg.ModelSettings(),
-                  horizons: Sequence[int] = cfg.HORIZONS) -> DataFrame:
+                  horizons: Sequence[int] = cfg.HORIZONS, model: Model = STAGED) -> DataFrame:
     """A complete model table with ``refitted``: stored rows where nothing changed, new fits elsewhere.
 
     Of a slice that needs no fit a single day goes on, which brings its stored row.
     """
-    days = _with_stored(series, stored, events, settings, horizons)
+    days = _with_stored(series, stored, events, settings, horizons, model)
     first = F.col("ds") == F.min("ds").over(Window.partitionBy(*cfg.SLICE))
     needed = days.withColumn("first", first).where("stored is null or first").drop("first")
     fitted = with_settings(
-        fit_staged(needed, events, settings=settings, horizons=horizons, carry=("stored",)),
-        events, settings)
+        model.fit(needed, events, settings=settings, horizons=horizons, carry=("stored",)),
+        events, settings, model)
     known = F.col("stored").isNotNull()
     columns = [c for c in fitted.columns if c != "stored"]
     return fitted.select(*((F.when(known, F.col(f"stored.{c}")).otherwise(F.col(c)) if c in stored.columns else F.col(c)).alias(c)
@@ -112,16 +113,16 @@ def refit_changed(series: DataFrame, stored: DataFrame, events: Sequence[Event],
 
 def update_models(series: DataFrame, path: str, events: Sequence[Event],
                   settings: cfg.ModelSettings = cfg.ModelSettings(),
-                  horizons: Sequence[int] = cfg.HORIZONS) -> None:
+                  horizons: Sequence[int] = cfg.HORIZONS, model: Model = STAGED) -> None:
     """Brings a store up to date: only the parts that have a refitted slice are written again."""
-    table = _stored(refit_changed(series, load_models(series.sparkSession, path), events, settings, horizons))
+    table = _stored(refit_changed(series, load_models(series.sparkSession, path), events, settings, horizons, model))
     touched = F.max("refitted").over(Window.partitionBy("level", "shard"))
     (table.withColumn("touched", touched).where("touched").drop("touched", "refitted")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("level", "shard").parquet(path))
 
 
 def train_models(series: DataFrame, events: Sequence[Event],
-                 settings: cfg.ModelSettings = cfg.ModelSettings()) -> DataFrame:
+                 settings: cfg.ModelSettings = cfg.ModelSettings(), model: Model = STAGED) -> DataFrame:
     """Account and eligible channels, fitted and ready to store."""
     wanted = series.where(F.col("level").isin("aggregate", "channel"))
-    return fit_staged(wanted, events, settings=settings).where("eligible")
+    return model.fit(wanted, events, settings=settings).where("eligible")
