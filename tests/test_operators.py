@@ -475,9 +475,12 @@ def test_folds_in_one_job_equal_single_folds(make_series):
 # -- narrative ---------------------------------------------------------------------------------
 
 def test_contexts_are_json(make_series):
-    series = make_series({"all": noisy(200), "a": noisy(200)})
+    days = noisy(200)
+    days[150] = (900.0, 10.0)
+    series = make_series({"all": days, "a": days})
     models = fit_staged(series, EVENTS)
     forecasts, found = FC.forecast(models, EVENTS), A.detect(series, 3000)
+    assert found.count() > 0
     doc = json.loads(one(N.context_forecast(forecasts)).context)
     assert [w["days"] for w in doc["forecast_windows"]] == [30, 60, 90]
     assert set(doc["channel_30d"]) == {"a"} and doc["forecast_windows"][0]["interval_width_pct"] == 80
