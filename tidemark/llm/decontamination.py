@@ -23,57 +23,73 @@ from pyspark.sql import functions as F
 from tidemark.llm import text as T
 from tidemark.llm.common import giving_back, table
 
-#: Benchmark bytes that one broadcast holds at most; a larger benchmark is scanned in several such blocks.
-BLOCK_BYTES = 32_000_000
+#: Benchmark bytes that one broadcast holds at most; a larger benchmark is scanned in several such blocks. A block
+#: takes about six times its text: 16 bytes a window, 16 a word, and the text itself.
+BLOCK_BYTES = 16_000_000
 SCAN = "row long, doc_id {id}, n_words long, spans array<struct<s:int,e:int>>, items array<string>"
 
 
 class TestGrams:
-    """Windows of a block of items: for each window length, sorted hashes with the words and items behind them."""
+    """Windows of a block of items: for each window length, sorted hashes with the first word and the item of each.
+
+    Words are places in the items' joined text, so that a window takes a few bytes whatever its length.
+    """
 
     def __init__(self, ids: list[str], texts: pa.Array, n: int) -> None:
-        found: dict[int, dict[int, tuple[tuple[bytes, ...], set[str]]]] = defaultdict(dict)
-        self.collisions: dict[int, dict[int, list[tuple[tuple[bytes, ...], set[str]]]]] = defaultdict(dict)
+        self.ids = ids
+        raws, starts, ends = [], [], []
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
+        n_bytes = n_words = 0
         for block in T.blocks(texts):
             w = T.words(block, T.ALNUM, lower=True)
             rolling = T.Rolling(w.hashes())
-            for i in range(len(block)):
-                low, high = int(w.first[i]), int(w.first[i + 1])
-                k = min(n, high - low)
-                if not k:
-                    continue
-                at = np.arange(low, high - k + 1)
-                parts = w.bytes_of(low, high)
-                for p, h in zip(at, rolling.of(at, at + k).tolist(), strict=True):
-                    content = tuple(parts[p - low : p - low + k])
-                    known = found[k].setdefault(h, (content, set()))
-                    if known[0] != content:
-                        others = self.collisions[k].setdefault(h, [])
-                        known = next((o for o in others if o[0] == content), None) or (content, set())
-                        if known not in others:
-                            others.append(known)
-                    known[1].add(ids[block.lo + i])
-        self.by_length = {
-            k: (np.array(sorted(v), dtype=np.uint64), v) for k, v in sorted(found.items())
-        }
-        for k, (hashes, _) in self.by_length.items():
+            short = np.flatnonzero((w.counts > 0) & (w.counts < n))
+            whole = T.window_starts(w.first, n)
+            sides = [(n, whole, np.searchsorted(w.first, whole, side="right") - 1)]
+            sides += [(int(k), w.first[i], i) for k in np.unique(w.counts[short]) for i in (short[w.counts[short] == k],)]
+            for k, at, item in sides:
+                found[k].append((rolling.of(at, at + k), (n_words + at).astype(np.int64), (block.lo + item).astype(np.int32)))
+            raws.append(w.raw)
+            starts.append(n_bytes + w.start)
+            ends.append(n_bytes + w.end)
+            n_bytes, n_words = n_bytes + len(w.raw), n_words + len(w.start)
+        self.raw, self.start, self.end = (np.concatenate(x) if x else np.zeros(0, t) for x, t in (
+            (raws, np.uint8), (starts, np.int64), (ends, np.int64)))
+        self.by_length = {}
+        for k, parts in sorted(found.items()):
+            hashes, at, item = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if not len(hashes):
+                continue
+            order = np.argsort(hashes, kind="stable")
             bits = np.zeros(1 << 20, dtype=bool)
             bits[hashes >> np.uint64(44)] = True
-            self.by_length[k] = (*self.by_length[k], bits)
+            self.by_length[k] = hashes[order], at[order], item[order], bits
+        self.seen: dict[tuple[int, int], list[tuple[tuple[bytes, ...], set[str]]]] = {}
+
+    def _windows(self, k: int, low: int, high: int) -> list[tuple[tuple[bytes, ...], set[str]]]:
+        """(words, items) of the different windows behind one hash; kept for hashes that have been hit."""
+        if (k, low) not in self.seen:
+            _, at, item, _ = self.by_length[k]
+            known: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
+            for p, i in zip(at[low:high].tolist(), item[low:high].tolist(), strict=True):
+                words = tuple(self.raw[a:b].tobytes() for a, b in zip(self.start[p : p + k], self.end[p : p + k], strict=True))
+                known[words].add(self.ids[i])
+            self.seen[k, low] = list(known.items())
+        return self.seen[k, low]
 
     def occurrences(self, w: T.Words) -> Iterator[tuple[int, int, set[str]]]:
         """(first word, length, items) of every window occurrence in a block; hash hits are compared word by word."""
         rolling = T.Rolling(w.hashes())
-        for k, (hashes, known, bits) in self.by_length.items():
+        for k, (hashes, _, _, bits) in self.by_length.items():
             at = T.window_starts(w.first, k)
             h = rolling.of(at, at + k)
             likely = bits[h >> np.uint64(44)]
             at, h = at[likely], h[likely]
-            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = hashes[place] == h
-            for p, x in zip(at[hit].tolist(), h[hit].tolist(), strict=True):
+            low, high = np.searchsorted(hashes, h, side="left"), np.searchsorted(hashes, h, side="right")
+            hit = high > low
+            for p, a, b in zip(at[hit].tolist(), low[hit].tolist(), high[hit].tolist(), strict=True):
                 here = tuple(w.bytes_of(p, p + k))
-                for content, items in [known[x], *self.collisions[k].get(x, [])]:
+                for content, items in self._windows(k, a, b):
                     if content == here:
                         yield p, k, items
 
