@@ -251,7 +251,7 @@ def train_models(spark, folder):
     return rounded(model_coefficients(model_store.load_models(spark, path)), 9, "coef")
 
 
-_PREDICTIONS = """
+PREDICTIONS_SQL = """
 SELECT window_days, level, entity, round_even(revenue_lower, 2) AS revenue_lower,
        round_even(revenue_point, 2) AS revenue_point, round_even(revenue_upper, 2) AS revenue_upper,
        round_even(spend_point, 2) AS spend_point, round_even(roas_lower, 4) AS roas_lower,
@@ -263,13 +263,13 @@ SELECT 0, 'trailing_30d', 'all', round_even(trailing_revenue, 2), round_even(tra
 FROM recent_days WHERE level = 'aggregate'"""
 
 
-@query("predictions", sql=Q.query(Q.forecasts(EVENTS), select=_PREDICTIONS))
+@query("predictions", sql=Q.query(Q.forecasts(EVENTS), select=PREDICTIONS_SQL))
 def predictions(spark, folder):
     models = models_of(spark, folder)
     return FC.prediction_table(models, FC.forecast(models, EVENTS))
 
 
-@query("predictions_joint", sql=Q.query(LEAST_FORECASTS, select=_PREDICTIONS))
+@query("predictions_joint", sql=Q.query(LEAST_FORECASTS, select=PREDICTIONS_SQL))
 def predictions_joint(spark, folder):
     """The scored table of all levels by the joint model's smallest design."""
     models = LEAST.fit(series_of(spark, folder), ())

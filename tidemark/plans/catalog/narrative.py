@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tidemark import config as cfg
 from tidemark.operators import anomalies as A
 from tidemark.operators import narrative as N
-from tidemark.operators.forecast import forecast, prediction_table
+from tidemark.operators.forecast import PREDICTION_COLUMNS, forecast, prediction_table
 from tidemark.plans import sqlblocks as Q
+from tidemark.plans.catalog.forecasts import PREDICTIONS_SQL
 from tidemark.plans.catalog.registry import (
     BUDGET_VALUES, BUDGETS, EVENTS, LOOKBACK, TOP_LEVELS, models_of, query, rounded, series_of)
 from tidemark.session import shared_folder
@@ -161,7 +162,15 @@ def prompt_preview(spark, folder):
         "anomaly_count", "place", "a.type", "a.channel", "a.severity", "a.date", "revenue_30d")
 
 
-@query("predictions_compat")
+_TEXTS = ", ".join(f"regexp_replace(CAST(CAST({c} AS DECIMAL(38,4)) AS VARCHAR), '\\.?0+$', '') AS {c}" for c in PREDICTION_COLUMNS[3:])
+_TOP_ANOMALIES = f"found AS (WITH {Q.series(TOP_LEVELS)},\n{_SCORED} SELECT DISTINCT * FROM anomalies)"
+
+
+@query("predictions_compat", sql=Q.query(Q.forecasts(EVENTS), _TOP_ANOMALIES, f"scored_rows AS ({PREDICTIONS_SQL})", select=f"""
+SELECT CAST(window_days AS VARCHAR) AS window_days, level, entity, {_TEXTS} FROM scored_rows
+UNION ALL
+SELECT '0', 'anomaly', scope || '/' || type, CAST(ds AS VARCHAR), severity, CAST(round_even(magnitude, 3) AS VARCHAR), '0', '0', '0', '0'
+FROM (SELECT *, row_number() OVER (ORDER BY ds DESC, magnitude DESC, type, scope) AS place FROM found QUALIFY place <= 20) AS t"""))
 def predictions_compat(spark, folder):
     path = shared_folder(spark, "models")
     model_store.save_models(models_of(spark, folder, cfg.LEVELS), path, EVENTS)
