@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from tidemark.llm import text as T
 from tidemark.llm.common import bounded, content_key, giving_back, split_join, written
 
-#: Ranges that are broadcast at most, at 8 bytes each; with more, texts and ranges meet by shuffle.
-BROADCAST_RANGES = 4_000_000
+#: Spots (24 bytes each, some 100 MB as a relation) and removed ranges that are broadcast at most; with more, texts
+#: and ranges meet by shuffle. Ranges follow the text even where little of it is compared, so they are shuffled early.
+BROADCAST_SPOTS = 2_000_000
+BROADCAST_RANGES = 100_000
 
 #: Symbols of a block and its documents' offsets into them: bytes or words.
 Symbols = Callable[[T.Block], tuple[np.ndarray, np.ndarray]]
@@ -85,7 +87,7 @@ def texts_with(docs: DataFrame, keyed: DataFrame, how: str = "inner") -> DataFra
     """(key, doc_id, text) of docs joined with the spots of keyed; broadcast only below the checked number of spots."""
     texts = docs.select(content_key().alias("key"), "doc_id", "text")
     spots = keyed.agg(F.sum(F.size("spots"))).first()[0] or 0
-    return texts.join(bounded(keyed, spots, BROADCAST_RANGES // 2), "key", how)
+    return texts.join(bounded(keyed, spots, BROADCAST_SPOTS), "key", how)
 
 
 def kept_parts(docs: DataFrame, ranges: DataFrame, window: int, words: bool, keep: list[str] | None = None) -> DataFrame:

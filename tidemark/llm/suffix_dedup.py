@@ -11,7 +11,9 @@ Strings are judged on the input; a byte is removed when any 400-byte string that
 in the same document or another; overlaps count; matches never cross documents.
 
 Defined cases: null text is empty; shorter texts keep everything; repeated rows repeat each other and lose every byte
-that lies in a 400-byte string; cuts may fall inside a character, so what is kept is bytes; other columns are ignored.
+that lies in a 400-byte string; cuts may fall inside a character, so what is kept is bytes; texts of any length are
+judged whole, one document in one task; equal strings are no tie to break, all go; an empty table gives no rows; other
+columns are ignored.
 Text beyond the 24 leading bytes is compared through 64-bit fingerprints.
 """
 
@@ -238,7 +240,7 @@ def ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
     whole = placed.where("times > 1").select("key", "s", "n")
     some = placed.where("times = 1").select("key", F.explode("partly").alias("p"), "s").select(
         "key", (F.col("s") + F.col("p.lo")).alias("s"), (F.col("p.hi") - F.col("p.lo") + 1).alias("n"))
-    return whole.union(some)
+    return whole.union(some).distinct()  # equal rows share a key, and each has found the same ranges
 
 
 def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
