@@ -8,8 +8,8 @@ diagonal must be complete. Only DataFrame functions run; the template table is f
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased.
 
 Defined cases: null and empty text have no words, no places, empty labels and score 0; repeated rows give one row
-each; overlapping places all count; ties between templates of one label give the label once; an empty table gives no
-rows; other columns are ignored.
+each; overlapping places all count; ties between templates of one label give the label once; a very long text
+costs in proportion to its words, and only its hits become rows; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

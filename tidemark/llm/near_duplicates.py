@@ -16,7 +16,8 @@ No pair is lost: dropped node pairs hold no link, or only links between document
 
 Defined cases: null text, empty text and text of white space have an empty set and are linked with nothing; fewer
 words than a shingle give one shingle of all words; repeated rows and equal texts share a set and are linked; a null
-doc_id is never the smallest of a component; an empty table gives no rows; other columns are ignored by `linked` and
+doc_id is never the smallest of a component; texts of any length are read whole; an
+empty table gives no rows; other columns are ignored by `linked` and
 carried through by `one_of_each`. Shingles are compared as 64-bit hashes.
 """
 

@@ -17,8 +17,9 @@ of toxicity abstain the scorer alone decides. It is kept from 0.5.
 
 Defined cases: null text is empty text: no words, all style labellers vote against it or abstain, and it is scored like
 any other; repeated rows get one row each with equal values; several labels rows of a doc_id count by their minimum
-quality and maximum toxic; a null doc_id has no labels; without labels the heuristics alone decide; an empty table gives
-no rows; other columns are ignored.
+quality and maximum toxic; a null doc_id has no labels; without labels the heuristics alone decide; texts of any length are
+scored whole; equal posteriors need no order, a document at exactly 0.5 is kept; the sample is of the smallest content
+keys, each once; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

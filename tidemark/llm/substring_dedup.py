@@ -11,7 +11,8 @@ the input. Words `[^\\x20\\x09-\\x0D]+` are taken unchanged and compared as 64-b
 
 Defined cases: null text has no words and stays null where text is returned; documents of fewer than 50 words keep
 everything; rows with the same doc_id do not remove each other; a null doc_id removes and loses nothing; repeated
-windows inside one document stay; other columns are ignored by `removed` and carried through by `deduplicated`.
+windows inside one document stay; of equal windows that of the smallest doc_id stays; texts of any length are read whole,
+one document in one task; an empty table gives no rows; other columns are ignored by `removed` and carried through by `deduplicated`.
 """
 
 from __future__ import annotations
