@@ -1,8 +1,10 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names for every operator."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import (
     common, decontamination, embedding_dedup, language, licenses, lm_scoring, near_duplicates, packing, quality,
     substring_dedup, suffix_dedup,
@@ -172,6 +174,59 @@ def test_packing_round_trip(odd, none):
     assert packing.packed(none, packing.public_path()).count() == 0
 
 
+def test_packing_takes_the_cheapest_sequence_with_room():
+    """Plain version: one document after another, by falling length, ties in order of reading."""
+    rng = np.random.default_rng(4)
+    for lengths in (rng.integers(1, 90, 60), np.array([7, 7, 7, 7, 50, 50, 64, 64, 130]), np.ones(9, dtype=np.int64)):
+        room, rest = 64, int(lengths.sum()) % 64
+        sizes = [room] * (int(lengths.sum()) // room) + [1 << b for b in range(6, -1, -1) if rest >> b & 1]
+        used, cost = [0] * len(sizes), [0.0] * len(sizes)
+        expected, opened = [], 0
+        for doc in sorted(range(len(lengths)), key=lambda d: -lengths[d]):
+            start, n = 0, int(lengths[doc])
+            while n >= room and opened < len(sizes) and sizes[opened] == room and used[opened] == 0:
+                expected.append((doc, start, room, opened, 0))
+                used[opened], opened, start, n = room, opened + 1, start + room, n - room
+            while n:
+                free = [i for i in range(len(sizes)) if sizes[i] - used[i] >= n] or [i for i in range(len(sizes)) if used[i] < sizes[i]]
+                i = min(free, key=lambda i: (cost[i], i))
+                size = min(n, sizes[i] - used[i])
+                expected.append((doc, start, size, i, used[i]))
+                used[i] += size
+                cost[i] += size + size * size / packing.QUADRATIC_AT
+                start, n = start + size, n - size
+        assert packing.pack(lengths.astype(np.int64), room) == expected
+
+
+def test_odd_rows_pass_the_whole_pipeline(odd, none, spark, tmp_path):
+    spark.createDataFrame([(1, "word7 word8 word9"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = spark.createDataFrame([(20 + i, "the quick brown fox jumps over the lazy dog again and " * 3 + str(i), "en", "s", 1, 1, "w", 2, "d")
+                                  for i in range(3)], SCHEMA)
+    for rows in (odd.unionByName(long), none):
+        docs = rows
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = common.written(stage(spark, docs, str(tmp_path)), "odd-pipeline")
+            if k < 4:
+                assert docs.columns == odd.columns
+        assert docs.where("length <= 0").count() == 0 and (docs.count() > 0) == (rows is not none)
+
+
+def test_columns_named_like_internal_ones(spark):
+    names = ("chunk", "target", "spots", "row", "bad", "held_out", "gram", "tid", "ids", "s", "ext", "copies", "words", "start", "pos", "here")
+    rows = [(i, f"a mit license text number {i % 2} of some words", "en", *("x",) * len(names)) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"`{n}` string" for n in names))
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "mit license")], "item_id long, text string")
+    assert licenses.spans(docs).count() >= 2 and near_duplicates.one_of_each(docs).columns == docs.columns
+    assert substring_dedup.deduplicated(docs).columns == docs.columns and suffix_dedup.removed(docs).count() == 4
+    assert decontamination.remove_documents(docs, items).count() == 0 and packing.packed(docs, packing.public_path()).count() >= 4
+    assert language.identify(docs, language.learn(language.training_rows(docs))).count() == 4
+    rows = lm_scoring.target_rows(docs, labels)
+    assert lm_scoring.scored(rows, lm_scoring.counts(rows)).count() == 4
+    rows = quality.labelled(docs, labels)
+    assert quality.scored(rows, quality.train(rows)).count() == 4
+
+
 def test_embeddings(spark):
     nan = float("nan")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.1], 1), (4, [1.0, 0.0], 2), (5, [1.0, 0.0], None), (6, None, 1),
