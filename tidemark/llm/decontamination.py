@@ -24,7 +24,7 @@ from tidemark.llm import text as T
 from tidemark.llm.common import giving_back, table
 
 #: Benchmark bytes that one broadcast holds at most; a larger benchmark is scanned in several such blocks. A block
-#: takes about six times its text: 16 bytes a window, 16 a word, and the text itself.
+#: takes about seven times its text: 20 bytes a window, 16 a word, and the text itself.
 BLOCK_BYTES = 16_000_000
 SCAN = "row long, doc_id {id}, n_words long, spans array<struct<s:int,e:int>>, items array<string>"
 
