@@ -106,6 +106,19 @@ def test_suffix_dedup_of_many_equal_rows(spark):
     assert sorted(map(tuple, got)) == [(7, len(text), 2000), (8, 0, 1)]
 
 
+def test_suffix_dedup_of_passages_around_the_limit(spark):
+    """Passages of over 50 words in unrelated documents: 400 bytes go from every copy, the first too; 399 stay, unless less is asked for."""
+    rows = []
+    for first, size in ((0, 399), (5, 400)):
+        passage = " ".join(f"{'st'[size - 399]}{k:05d}" for k in range(60))[:size]
+        for i in range(first, first + 5):
+            filler = " ".join(f"d{i}w{k}" for k in range(80 + 7 * i))
+            rows.append((i, f"{filler} {'abcdefghij'[i]}{passage}{'ABCDEFGHIJ'[i]} {filler[::-1]}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_id(suffix_dedup.removed(docs), "n_removed", "n_spans") == {i: (0, 0) if i < 5 else (400, 1) for i in range(10)}
+    assert by_id(suffix_dedup.removed(docs, 300, 200), "n_removed", "n_spans") == {i: (399 if i < 5 else 400, 1) for i in range(10)}
+
+
 def test_long_words_that_a_polynomial_confuses(spark):
     """The Thue-Morse word over two letters and its complement have equal polynomial hashes modulo 2^64."""
     a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
