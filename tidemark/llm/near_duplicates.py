@@ -4,8 +4,9 @@
 2. Blocks. Sets of similarity t share a shingle among the first n - ceil(t n) + 1 of each under any one global order.
    The order puts rare shingles first: document frequencies of all shingles are summed into a sketch of bounded size,
    so a common line or passage stands at the end of every set and is hardly ever probed, and a shingle known to be
-   in one document only is not sent at all. Nodes that share a prefix shingle are joined to its least node;
-   connected nodes form a block, and every link lies inside one block.
+   in one document only is not sent at all. Nodes of compatible size that share a prefix shingle are a pair; a pair
+   whose common prefix shingles are too few for the threshold is dropped. Where a shingle has many such pairs its
+   nodes are chained by size instead. Connected nodes form a block, and every link lies inside one block.
 3. Signature trees. A block is cut by set size into leaves of bounded membership; compatible leaf pairs are dealt
    out as tasks. A task builds a tree over each leaf whose nodes hold the OR of the members' token bitmaps and the
    range of their sizes, and walks both trees together: a node pair is dropped when its largest possible overlap
@@ -43,6 +44,10 @@ LEAF = 256
 BITS = 4096
 #: Ratio between the size classes into which a block is cut.
 SIZE_STEP = 1.1
+#: Nodes that share a prefix shingle are paired if they are at most GROUP and their pairs at most PAIRS for each of them.
+GROUP, PAIRS = 64, 2
+#: Probes that a task pairs at a time, and pairs that it looks at together.
+HELD_PROBES, HELD_PAIRS = 200_000, 1_000_000
 
 
 def shingle_sets(block: T.Block, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +147,10 @@ def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def signed_documents(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(key, doc_id, n, node, prefix): set size, identity of the set, and its rarest shingles, for every row."""
+    """(key, doc_id, n, node, last, prefix): set size, identity of the set, and its rarest shingles, for every row.
+
+    last is the place of the prefix's last shingle in the global order, to 32 bits.
+    """
     sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, k))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -153,7 +161,7 @@ def signed_documents(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 grams, at = shingle_sets(block, k)
                 n = np.diff(at)
                 doc = np.repeat(np.arange(len(block)), n)
-                sums = np.concatenate([[0], np.cumsum(T.mix(grams), dtype=np.uint64)]).astype(np.uint64)
+                sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(T.mix(grams), dtype=np.uint64)])
                 node = T.mix((sums[at[1:]] - sums[at[:-1]]) + n.astype(np.uint64))
                 level = often.level(grams)
                 order = np.lexsort((grams, level, doc))
@@ -163,14 +171,99 @@ def signed_documents(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 sent = (rank < np.repeat(size, n)) & (level[order] > 1)
                 chosen = grams[order][sent]
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[sent], minlength=len(block)))]).astype(np.int32)
+                last = np.zeros(len(block), dtype=np.int64)
+                some = np.flatnonzero(np.diff(offsets))
+                place = (level[order][sent].astype(np.int64) << 28) | (chosen >> np.uint64(36)).astype(np.int64)
+                last[some] = place[offsets[1:][some] - 1]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("key").slice(block.lo, len(block)), batch.column("doc_id").slice(block.lo, len(block)),
-                     pa.array(n.astype(np.int64)), pa.array(T.signed(node), mask=n == 0),
+                     pa.array(n.astype(np.int64)), pa.array(T.signed(node), mask=n == 0), pa.array(last),
                      pa.ListArray.from_arrays(pa.array(offsets), pa.array(T.signed(chosen)))],
-                    names=["key", "doc_id", "n", "node", "prefix"])
+                    names=["key", "doc_id", "n", "node", "last", "prefix"])
 
     return docs.select(content_key().alias("key"), "doc_id", "text").mapInArrow(
-        giving_back(run), f"key long, doc_id {id_type}, n long, node long, prefix array<long>")
+        giving_back(run), f"key long, doc_id {id_type}, n long, node long, last long, prefix array<long>")
+
+
+def _candidates(token: np.ndarray, node: np.ndarray, size: np.ndarray, hot: int | None, num: int, den: int) -> list[np.ndarray]:
+    """(a, b, need) of nodes that share a shingle, from probes in order of token, size and node; hot is only chained.
+
+    need is the least number of common prefix shingles with which the pair can reach the threshold. Of two prefixes
+    the one that ends first in the global order lies whole before the end of the other, so what it has in common with
+    the other set it has in common with the other prefix: the overlap is at most that plus its set's rest.
+    """
+    new = np.ones(len(token), dtype=bool)
+    new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+    token, node, size = token[new], node[new], size[new]
+    n, last = size >> 32, size & 0xFFFFFFFF
+    rest = n - prefix_length(n, num, den)
+    same = token[1:] == token[:-1]
+    start = np.flatnonzero(np.concatenate([[True], ~same]))
+    count = np.diff(np.append(start, len(token)))
+    chain = (count > GROUP) | (False if hot is None else token[start] == hot)
+    found: list[list[np.ndarray]] = [[], [], []]
+    for c in np.unique(count[(count > 1) & ~chain]):
+        i, j = np.triu_indices(c, 1)
+        groups, step = np.flatnonzero((count == c) & ~chain), max(1, HELD_PAIRS // len(i))
+        for at in range(0, len(groups), step):
+            lo = start[groups[at : at + step]]
+            x, y = lo[:, None] + i, lo[:, None] + j
+            fits = n[x] * den >= n[y] * num
+            dense = fits.sum(axis=1) > PAIRS * c
+            chain[groups[at : at + step]] = dense
+            fits[dense] = False
+            x, y = x[fits], y[fits]
+            most = np.where(last[x] < last[y], rest[x], np.where(last[x] > last[y], rest[y], np.maximum(rest[x], rest[y])))
+            least = -(-num * (n[x] + n[y]) // (num + den))
+            for column, values in zip(found, (node[x], node[y], least - most), strict=True):
+                column.append(values)
+    # nodes of compatible size are connected by those of sizes between them
+    x = np.flatnonzero(chain.repeat(count)[:-1] & same & (n[:-1] * den >= n[1:] * num))
+    for column, values in zip(found, (node[x], node[x + 1], np.zeros(len(x), dtype=np.int64)), strict=True):
+        column.append(values)
+    return [np.concatenate(column) for column in found]
+
+
+def _pairs(num: int, den: int):
+    """Reads probes sorted by token, size and node and yields the candidate pairs of each token."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        hot: int | None = None
+
+        def out(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal hot
+            token, node, size = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            # the last token's probes wait for the rest of them; if it alone fills what is held, it is chained on from its last
+            now = keep = len(token) if final else int(np.searchsorted(token, token[-1]))
+            if now == 0:
+                now, keep, hot = len(token), len(token) - 1, token[-1]
+            held.append([x[keep:] for x in (token, node, size)])
+            a, b, need = _candidates(token[:now], node[:now], size[:now], hot, num, den)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)], names=["a", "b", "need"])
+
+        waiting = 0
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            waiting += batch.num_rows
+            if waiting >= HELD_PROBES:
+                yield from out(False)
+                waiting = 0
+        if held:
+            yield from out(True)
+    return run
+
+
+def candidate_pairs(signed: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): pairs of nodes that connect all links; a link is a pair itself or connected by chains."""
+    parts = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # two different sets of n and more shingles are at most n / (n + 1) similar
+    probes = signed.where("node is not null").where(F.col("n") * (den - num) >= num).select(
+        F.explode("prefix").alias("token"), "node", F.expr("shiftleft(n, 32) | last").alias("size"))
+    pairs = probes.repartition(parts, "token").sortWithinPartitions("token", "size", "node").mapInArrow(
+        giving_back(_pairs(num, den)), "a long, b long, need long")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("need").alias("need")).where("common >= need").select("a", "b")
 
 
 class Tree:
@@ -276,13 +369,7 @@ def linked(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     component_id is the smallest doc_id reachable by links, the row's own if there are none.
     """
     signed = written(signed_documents(docs, k, num, den), "shingle-prefixes")
-    probes = signed.where("node is not null").select(F.explode("prefix").alias("token"), "node")
-    shared = probes.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last")
-    candidates = (
-        split_join(probes, shared.select("token", "leader"), "token").where("node <> leader")
-        .select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    )
-    blocks = components(candidates, "shingle-blocks")
+    blocks = components(candidate_pairs(signed, num, den), "shingle-blocks")
     # leaves: by size class, and by hash within a class
     sizes = signed.where("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("key").alias("key"))
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int")
