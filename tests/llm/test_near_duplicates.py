@@ -39,6 +39,18 @@ def test_shared_passages_make_no_block(spark, monkeypatch):
     assert len(members) == 2
 
 
+def test_each_kept_text_is_moved_by_one_join(spark, monkeypatch):
+    """Without broadcasts the joins that choose the rows to keep shuffle whole rows once, and once more for repeated ones."""
+    monkeypatch.setattr(near_duplicates, "bounded", lambda df, rows: df)
+    words = [" ".join(f"d{d}w{i}" for i in range(30)) for d in range(6)]
+    rows = list(enumerate(words)) + [(10, words[0]), (3, words[3]), (3, words[3]), (1, words[1] + " more"), (None, words[2]), (7, None), (7, None)]
+    left = near_duplicates.one_of_each(spark.createDataFrame(rows, SCHEMA))
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftAnti") == 1 and plan.count("Join Inner") == 1 and plan.count("Join") == 2
+    kept = sorted(((r.doc_id, r.text) for r in left.collect()), key=lambda r: (r[0], r[1] or ""))
+    assert kept == [(0, words[0]), (1, words[1]), (1, words[1] + " more"), *[(d, words[d]) for d in (2, 3, 4, 5)], (7, None)]
+
+
 @pytest.mark.parametrize("held", [7, 100_000])
 def test_candidate_pairs_connect_every_link(monkeypatch, held):
     """Sets of tokens in order of their number: rare ones high and low, common ones in between, in small and large groups."""

@@ -435,13 +435,14 @@ def _with_components(signed: DataFrame, joined: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs without those whose component holds a smaller doc_id; of equal rows one stays."""
     found = linked(docs, k, num, den)
-    gone = found.where("component_id < doc_id or doc_id is null and component_id is not null").select("key").distinct()
+    gone = written(found.where("component_id < doc_id or doc_id is null and component_id is not null").select("key").distinct(), "shingle-gone")
     every = docs.select(F.struct(*docs.columns).alias("doc"), content_key().alias("key"))
-    left = every.join(bounded(gone, gone.count()), "key", "left_anti")
-    twice = left.groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("twice"))
-    marked = left.join(bounded(twice, twice.count()), "key", "left")
-    repeated = marked.where("twice").groupBy("key").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc")).select("doc.*")
-    return marked.where("twice is null").select("doc.*").unionByName(repeated)
+    left = every.select("key").join(bounded(gone, gone_rows := gone.count()), "key", "left_anti")
+    twice = written(left.groupBy("key").count().where("count > 1").select("key"), "shingle-twice")
+    # one join decides about whole rows: beyond a broadcast it moves every text
+    other = bounded(gone.union(twice), gone_rows + (twice_rows := twice.count()))
+    repeated = every.join(bounded(twice, twice_rows), "key").groupBy("key").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+    return every.join(other, "key", "left_anti").select("doc.*").unionByName(repeated.select("doc.*"))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
